@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +18,15 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 500
 #: Text bytes that a task gathers before it hands its partial groups on.
 CHUNK_BYTES = 24 << 20
-#: Distinct words that a worker remembers before it starts anew.
-MEMO_WORDS = 200_000
 #: Words in a shingle.
 SHINGLE = 5
+#: Bits of the broadcast filter before joins on few keys; a bound on its size.
+FILTER_BITS = 1 << 24
+#: Bytes between words.
+BLANKS = b" \t\n\x0b\x0c\r"
+#: Bytes of a text that are hashed at once.
+_PART = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
 
 _MULT = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
@@ -96,23 +100,92 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-class Memo(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def words_of(text: str) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, in UTF-8."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def word_hashes(words: list[bytes], memo: Memo) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+def matching(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``wanted`` on ``key``, where few rows match: the others stay out of the shuffle.
+
+    A bitmap of FILTER_BITS hash values, whatever the tables' sizes, is broadcast as at most
+    FILTER_BITS / 64 rows; what passes it meets ``wanted`` in a merge join.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, CAST(_at & 63 AS INT))")
+    words = wanted.select(place.alias("_at")).select(F.shiftright("_at", 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    hashed = rows.withColumn("_at", place)
+    passed = hashed.join(F.broadcast(words), (F.shiftright("_at", 6) == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi").drop("_at")
+    return passed.join(wanted.hint("merge"), key)
+
+
+class Hasher:
+    """64-bit hashes of the words of a text, over whole byte arrays: sums of random values times powers.
+
+    ``blanks`` separate words. With ``fold``, A-Z hash as a-z. Long texts go in parts that end
+    between words. Made on the worker; tables depend on nothing but the arguments.
+    """
+
+    def __init__(self, blanks: bytes = BLANKS, fold: bool = True):
+        self.value = np.random.default_rng(20240501).integers(0, 1 << 64, 256, dtype=np.uint64)
+        self.blank = np.zeros(256, bool)
+        self.blank[list(blanks)] = True
+        self.value[self.blank] = 0
+        if fold:
+            self.value[65:91] = self.value[97:123]
+        self.grow(1 << 16)
+
+    def grow(self, n: int) -> None:
+        self.n, self.up, self.down = n, _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+
+    def words(self, text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        if len(raw) <= _PART:
+            return self.part(raw)
+        out, at = [], 0
+        while at < len(raw):
+            end = min(at + _PART, len(raw))
+            if end < len(raw):
+                gaps = np.flatnonzero(self.blank[raw[at:end]])
+                while not len(gaps) and end < len(raw):  # a word longer than a part
+                    gaps = np.flatnonzero(self.blank[raw[end : end + _PART]]) + (end - at)
+                    end = min(end + _PART, len(raw))
+                end = at + int(gaps[-1]) + 1 if len(gaps) else len(raw)
+            out.append(self.part(raw[at:end]))
+            at = end
+        return np.concatenate(out)
+
+    def part(self, raw: np.ndarray) -> np.ndarray:
+        n = len(raw)
+        if not n:
+            return np.empty(0, np.uint64)
+        if n > self.n:
+            self.grow(1 << (n - 1).bit_length())
+        gap = self.blank[raw]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if not gap[0]:
+            edge = np.r_[0, edge]
+        start = edge[::2]
+        if not len(start):
+            return np.empty(0, np.uint64)
+        v = self.value[raw]
+        v *= self.up[:n]
+        v = np.add.reduceat(v, start)
+        v *= self.down[start]
+        return mixed(v)
+
+    def shingles(self, text: str | None) -> np.ndarray:
+        return shingle_hashes(self.words(text)) if text else np.empty(0, np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, k = np.ones(n, np.uint64), 1
+    while k < n:
+        m = min(k, n - k)
+        out[k : k + m] = out[:m] * np.uint64(pow(base, k, 1 << 64))
+        k *= 2
+    return out
+
+
+def distinct(s: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    s = np.sort(s)
+    return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -146,8 +219,10 @@ def int64(values) -> pa.Array:
 
 
 def fragments(spark: SparkSession, df: DataFrame, per: int = 16 << 20, least: int = 64) -> int:
-    """A power of two of hash ranges, in proportion to the bytes that ``df`` scans."""
+    """A power of two of hash ranges, in proportion to the bytes that ``df`` scans; texts are measured where the plan does not know."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 52:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = least
     while n * per < size:
         n *= 2

@@ -10,10 +10,12 @@ hash with probability 2^-64). Two documents link when 100 * |intersection| >= 80
 2. A class posts only its prefix, the first n - ceil(0.8 n) + 1 shingles of the order: linked
    classes share one of them. Chunks group their own postings first and ship one entry a shingle,
    so no shingle fills a task; entries that stay alone fall away.
-3. Candidates: each shingle's classes against the smallest class, then, after components are
-   known, what is left between different components, all under length and position bounds. So a
+3. Candidates, all under length and position bounds: a shingle of a few classes pairs them all; one
+   of many pairs each class with a few leaders per band of lengths, in turns that leave out what
+   components already join, and last whatever is left between different components. So a
    group of copies costs its size and not its square, and no link between components is missed.
-4. Verification cuts the hash order of shingles into fragments; each (class, fragment) is a row,
+4. Each class has a bitmap of parities, which bounds the overlap of a pair from above and drops
+   most pairs that do not link. Verification cuts the hash order of shingles into fragments; each (class, fragment) is a row,
    partial overlaps are counted fragment by fragment and summed per pair.
 
 Cases: null, empty or blank text: n_shingles 0, component_id its own doc_id, no link. Fewer than
@@ -25,7 +27,9 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +39,15 @@ from pyspark.sql import functions as F
 
 from hornspark.llm.common import (
     CHUNK_BYTES,
-    Memo,
+    Hasher,
     Scratch,
+    distinct,
     fragments,
     int64,
-    mixed,
+    matching,
     record_slices,
-    shingle_hashes,
     small_batches,
     texts,
-    word_hashes,
-    words_of,
 )
 from hornspark.llm.components import components
 
@@ -55,47 +57,61 @@ NUM, DEN = 4, 5
 HEAVY = 1 << 17
 #: Classes of one chunk that hold a shingle before it is reported as heavy.
 HEAVY_LOCAL = 3
+#: Bits of a class's bitmap.
+BITS = 1024
 #: Fragments in which a pair's overlap is counted.
 CUTS = 4
+#: Classes that share a shingle and are all paired at once; beyond, leaders come first.
+FEW = 8
+#: Leaders of a shingle and band in one turn, and turns, while they find links, before what is left between components is paired.
+LEADERS = 4
+TURNS = 6
 
 _ENTRY = np.dtype([("tok", "<u8"), ("nid", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
-def shingle_set(text: str | None, memo: Memo) -> np.ndarray:
+def shingle_set(text: str | None, hasher: Hasher) -> np.ndarray:
     """The sorted distinct shingles."""
-    return np.unique(shingle_hashes(word_hashes(words_of(text), memo))) if text else np.empty(0, np.uint64)
+    return distinct(hasher.shingles(text))
 
 
 def class_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The parity of the shingles in each of BITS classes. Two bitmaps differ in at most as many bits as two sets in shingles."""
+    return np.packbits(np.bincount((s >> np.uint64(3)).astype(np.int64) & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, nid) of each row and (null, count, shingle) of what is heavy in a chunk."""
-    memo, seen, held, size = Memo(), set(), [], 0
+    hasher, seen, held, size = Hasher(), set(), [], 0
+    names = ["doc_id", "n", "nid", "heavy", "bits"]
 
     def heavy() -> pa.RecordBatch:
         all_, count = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]), return_counts=True)
         many = count >= HEAVY_LOCAL
         k = int(many.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), int64(count[many]), int64(all_[many].view(np.int64)), pa.array([True] * k, pa.bool_())], ["doc_id", "n", "nid", "heavy"])
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), int64(count[many]), int64(all_[many].view(np.int64)), pa.array([True] * k, pa.bool_()), pa.nulls(k, pa.list_(pa.int64()))], names)
 
     for batch in batches:
-        ns, ids = [], []
+        ns, ids, bits = [], [], []
         for text in texts(batch):
-            s = shingle_set(text, memo)
+            s = shingle_set(text, hasher)
             nid = class_id(s) if len(s) else None
             ns.append(len(s))
             ids.append(nid)
+            bits.append(np.frombuffer(bitmap(s), np.int64) if nid is not None and nid not in seen else None)
             if nid is not None and nid not in seen:
                 seen.add(nid)
                 held.append(s)
                 size += s.nbytes
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), int64(ns), pa.array(ids, pa.int64()), pa.array([False] * len(ns), pa.bool_())], ["doc_id", "n", "nid", "heavy"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), int64(ns), pa.array(ids, pa.int64()), pa.array([False] * len(ns), pa.bool_()), pa.array(bits, pa.list_(pa.int64()))], names)
         if size > CHUNK_BYTES:
             yield heavy()
             seen, held, size = set(), [], 0
@@ -106,7 +122,7 @@ def _postings(heavy: np.ndarray, rank: np.ndarray, parts: int):
     """Prefix entries in groups (part, sub): sub 0 to be grouped with other chunks', else known to be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, held, size = Memo(), set(), [], 0
+        hasher, seen, held, size = Hasher(), set(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
@@ -125,7 +141,7 @@ def _postings(heavy: np.ndarray, rank: np.ndarray, parts: int):
 
         for batch in batches:
             for text in texts(batch):
-                s = shingle_set(text, memo)
+                s = shingle_set(text, hasher)
                 n = len(s)
                 if not n or (nid := class_id(s)) in seen:
                     continue
@@ -134,7 +150,8 @@ def _postings(heavy: np.ndarray, rank: np.ndarray, parts: int):
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                     late = np.where(heavy[at] == s, rank[at], 0)
-                    s = s[np.lexsort((s, late))]
+                    if late.any():
+                        s = s[np.argsort(late, kind="stable")]
                 e = np.empty(k, _ENTRY)
                 e["tok"], e["nid"], e["n"], e["pos"] = s[:k], nid, n, np.arange(k)
                 held.append(e)
@@ -168,16 +185,17 @@ def _bounds(a: str, b: str):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(nid, cut, shingles): the fragments of each class."""
-    memo = Memo()
+    """(nid, is_a, is_b, cut, shingles): the fragments of each class."""
+    hasher = Hasher()
     for batch in batches:
         rows = []
-        for text, nid in zip(texts(batch), batch.column(batch.schema.get_field_index("nid")).to_pylist(), strict=True):
-            s = shingle_set(text, memo)
+        for text, nid, a, b in zip(texts(batch), *(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            s = shingle_set(text, hasher)
             if len(s) and class_id(s) == nid:
-                edge = np.searchsorted(s, np.arange(1, CUTS, dtype=np.uint64) << np.uint64(62))
-                rows += [(nid, i, x.tobytes()) for i, x in enumerate(np.split(s, edge))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["nid", "cut", "shingles"])
+                edge = np.searchsorted(s, np.arange(1, CUTS, dtype=np.uint64) * np.uint64((1 << 64) // CUTS))
+                rows += [(nid, a, b, i, x.tobytes()) for i, x in enumerate(np.split(s, edge))]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["nid", "is_a", "is_b", "cut", "shingles"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,38 +208,111 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) that link: partial overlaps by fragment, summed."""
     cut = pairs.withColumn("cut", F.explode(F.array(*[F.lit(i) for i in range(CUTS)])))
-    right = sets.select(F.col("nid").alias("b"), "cut", F.col("shingles").alias("sb"))
-    left = sets.select(F.col("nid").alias("a"), "cut", F.col("shingles").alias("sa"))
-    joined = cut.join(right, ["b", "cut"]).join(left, ["a", "cut"]).select("a", "b", "na", "nb", "sa", "sb")
+    right = sets.filter("is_b = 1").select(F.col("nid").alias("b"), "cut", F.col("shingles").alias("sb"))
+    left = sets.filter("is_a = 1").select(F.col("nid").alias("a"), "cut", F.col("shingles").alias("sa"))
+    joined = cut.hint("merge").join(right, ["b", "cut"]).hint("merge").join(left, ["a", "cut"]).select("a", "b", "na", "nb", "sa", "sb")
     counted = joined.mapInArrow(_overlaps, "a long, b long, na long, nb long, both long")
     return counted.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("both").alias("both")).filter(F.col("both") * DEN >= (F.col("na") + F.col("nb") - F.col("both")) * NUM)
 
 
+def _useful(entries: DataFrame) -> DataFrame:
+    """Entries that can have a partner.
+
+    With ``room`` = 5 n - 9 pos, the position bound of a pair reads room(x) >= 4 n(y) and room(y) >= 4 n(x).
+    Lengths that are alike lie in one band of ratio 5/4 or in neighbours, so the least length and the most
+    room per shingle and three bands decide whether anything can pass.
+    """
+    e = entries.withColumn("band", F.floor(F.log(F.col("n")) / math.log(DEN / NUM)).cast("int")).withColumn("room", DEN * F.col("n") - (NUM + DEN) * F.col("pos"))
+    own = e.groupBy("tok", "band").agg(F.min("n").alias("least"), F.max("room").alias("most"), F.count(F.lit(1)).alias("c"))
+    near = own.withColumn("band", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1))))).groupBy("tok", "band")
+    near = near.agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("c").alias("c")).filter("c > 1")
+    return e.join(near, ["tok", "band"]).filter((F.col("room") >= NUM * F.col("least")) & (F.col("most") >= NUM * F.col("n"))).select("tok", "nid", "n", "pos")
+
+
+def _leaders(entries: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each class with some leaders per shingle and band of lengths.
+
+    The first turn takes the classes that hold the shingle earliest in their order, as these have the
+    fewest shingles of their own; later turns take others at random.
+    """
+    found = []
+    for k in range(LEADERS if turn else 2):
+        band = F.floor(F.log(F.col("n")) / math.log(DEN / NUM) + k % 2 / 2).cast("int")
+        first = F.xxhash64("nid", F.lit(turn * LEADERS + k)) if turn else F.col("pos")
+        e = entries.withColumn("band", band)
+        lead = e.groupBy("tok", "band").agg(F.min(F.struct(first.alias("first"), "nid", "n", "pos", "comp")).alias("l")).select("tok", "band", "l.*")
+        found.append(_pairs(e.alias("x").join(lead.alias("y"), ["tok", "band"]).filter((F.col("x.nid") != F.col("y.nid")) & (F.col("x.comp") != F.col("y.comp")) & _bounds("x", "y"))))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _all_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs of classes of different components that share a shingle."""
+    x, y = entries.alias("x"), entries.alias("y")
+    return _pairs(x.join(y, "tok").filter((F.col("x.nid") < F.col("y.nid")) & (F.col("x.comp") != F.col("y.comp")) & _bounds("x", "y")))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    swap = F.col("x.nid") > F.col("y.nid")
+    pick = [F.when(swap, F.col(f"{b}.{c}")).otherwise(F.col(f"{a}.{c}")).alias(n) for a, b, c, n in (("x", "y", "nid", "a"), ("y", "x", "nid", "b"), ("x", "y", "n", "na"), ("y", "x", "n", "nb"))]
+    return found.select(*pick).distinct()
+
+
+def _bitmap_passed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose bitmaps allow the similarity: sets that differ in d shingles overlap in (na + nb - d) / 2."""
+    bits = classes.select("nid", "bits").hint("merge")
+    both = pairs.join(bits.toDF("a", "xa"), "a").join(bits.toDF("b", "xb"), "b")
+    differ = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    size = F.col("na") + F.col("nb")
+    return both.filter((size - differ) * (NUM + DEN) >= size * 2 * NUM).select("a", "b", "na", "nb")
+
+
+def _open(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """Entries with their components, of shingles that several components hold."""
+    tagged = entries.drop("comp").join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    several = tagged.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
+    return tagged.join(several, "tok", "left_semi").select("tok", "nid", "n", "pos", "comp")
+
+
 def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, heavy: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of the classes that link with another."""
     top = heavy.groupBy(F.col("nid").alias("tok")).agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "tok").limit(HEAVY).toPandas()
     tok = top["tok"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tok)
     tok, rank = tok[order], top["c"].to_numpy(np.int64)[order]
-    parts = fragments(spark, docs)
-    posted = docs.select("text").mapInArrow(_postings(tok, rank, parts), "part int, sub int, entries binary")
+    posted = docs.select("text").mapInArrow(_postings(tok, rank, fragments(spark, docs)), "part int, sub int, entries binary")
     entries = scratch.keep(posted.groupBy("part", "sub").applyInArrow(_shared, "tok long, nid long, n long, pos long").distinct())
-    lead = scratch.keep(entries.groupBy("tok").agg(F.min(F.struct("nid", "n", "pos")).alias("l")).select("tok", F.col("l.nid").alias("nid"), F.col("l.n").alias("n"), F.col("l.pos").alias("pos")))
-    found = entries.alias("e").join(lead.alias("l"), "tok").filter((F.col("e.nid") != F.col("l.nid")) & _bounds("e", "l"))
-    pairs = scratch.keep(found.select(F.col("l.nid").alias("a"), F.col("e.nid").alias("b"), F.col("l.n").alias("na"), F.col("e.n").alias("nb")).distinct())
-    wanted = entries.select("nid").distinct().join(classes, "nid").select("nid", F.col("root").alias("doc_id"))
-    held = docs.select("doc_id", "text").join(scratch.keep(wanted), "doc_id").select("nid", "text").mapInArrow(_sets, "nid long, cut int, shingles binary")
-    sets = scratch.keep(held.dropDuplicates(["nid", "cut"]))
-    links = scratch.keep(verified(pairs, sets).select("a", "b"))
-    comps = components(links, scratch)
-    tagged = scratch.keep(entries.join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid")))
-    open_ = tagged.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-    rest = scratch.keep(tagged.join(open_, "tok", "left_semi"))
-    across = rest.alias("x").join(rest.alias("y"), "tok").filter((F.col("x.nid") < F.col("y.nid")) & (F.col("x.comp") != F.col("y.comp")) & _bounds("x", "y"))
-    more = across.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    both = more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    late = scratch.keep(verified(both, sets).select("a", "b"))
-    return components(links.unionByName(late), scratch) if late.limit(1).count() else comps
+    entries = scratch.keep(_useful(entries))
+    held = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("k"))
+    entries = scratch.keep(entries.join(held, "tok").withColumn("comp", F.col("nid")))
+    few, many = entries.filter(F.col("k") <= FEW).drop("k"), entries.filter(F.col("k") > FEW).drop("k")
+    first = scratch.keep(_all_pairs(few).unionByName(_leaders(many, 0)).distinct())
+    twice = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count()
+
+    def resolve(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that link."""
+        pairs = scratch.keep(_bitmap_passed(pairs, classes))
+        sides = pairs.select(F.col("a").alias("nid"), F.lit(1).alias("is_a"), F.lit(0).alias("is_b")).union(pairs.select("b", F.lit(0), F.lit(1)))
+        nids = sides.groupBy("nid").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
+        wanted = scratch.keep(nids.join(classes, "nid").select("nid", F.col("root").alias("doc_id"), "is_a", "is_b"))
+        sets = matching(docs, wanted, "doc_id").select("nid", "is_a", "is_b", "text").mapInArrow(_sets, "nid long, is_a int, is_b int, cut int, shingles binary")
+        sets = scratch.keep(sets.dropDuplicates(["nid", "cut"]) if twice else sets)
+        return scratch.keep(verified(pairs, sets).select("a", "b"))
+
+    links = resolve(first)
+    comps, done, turn, found = components(links, scratch), first, 1, 1
+    while True:
+        rest = scratch.keep(_open(many, comps))
+        last = not found or turn > TURNS
+        more = _all_pairs(rest) if last else _leaders(rest, turn)
+        more = scratch.keep(more.join(done.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
+        new = resolve(more)
+        found, turn = new.limit(1).count(), turn + 1
+        if found:
+            links = links.unionByName(new)
+            comps = components(links, scratch)
+        if last:
+            return comps
+        done = done.unionByName(more)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -229,9 +320,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
     small_batches(spark)
     scratch = Scratch(spark, "ngram")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = scratch.keep(docs.mapInArrow(_survey, "doc_id long, n long, nid long, heavy boolean"))
-    info = survey.filter("not heavy").select("doc_id", "n", "nid")
-    classes = scratch.keep(info.filter("nid is not null").groupBy("nid").agg(F.min("doc_id").alias("root"), F.count(F.lit(1)).alias("rows")))
+    survey = scratch.keep(docs.mapInArrow(_survey, "doc_id long, n long, nid long, heavy boolean, bits array<long>"))
+    info = survey.filter("not heavy").select("doc_id", "n", "nid", "bits")
+    classes = scratch.keep(info.filter("nid is not null").groupBy("nid").agg(F.min("doc_id").alias("root"), F.count(F.lit(1)).alias("rows"), F.first("bits", ignorenulls=True).alias("bits")))
     comps = link_classes(spark, docs, classes, survey.filter("heavy"), scratch)
     named = classes.join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     least = named.groupBy("comp").agg(F.min("root").alias("component_id"), F.sum("rows").alias("component_rows"))
