@@ -6,21 +6,86 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hornspark.llm import (
+    best_fit_packing,
+    chat_windows,
+    layout_text,
+    license_templates,
+    quality_ledger,
+    spaced_seeds,
+    substring_dedup,
+    url_templates,
+    warc_legacy,
+)
 from hornspark.llm.common import read_table
 from hornspark.llm.ngram_jaccard import ngram_jaccard
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op2_warc_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_legacy.legacy_to_warc(spark, read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ledger.result(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.contaminated(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_templates.license_scan(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_windows.with_probe(spark, read_table(spark, sf_dir, "conversations"))
+    return chat_windows.read_back(chat_windows.chat_windows(spark, turns))
+
+
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.url_verdicts(spark, read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout_text.layout_text(spark, read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
-    "op5_ngram_jaccard": op5_ngram_jaccard,
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_warc_legacy,
+        op3_quality_ledger,
+        op4_spaced_seeds,
+        op5_ngram_jaccard,
+        op6_license_templates,
+        op7_best_fit_packing,
+        op8_chat_windows,
+        op9_url_templates,
+        op10_layout_text,
+    )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_warc_legacy": warc_legacy.SQL,
+    "op3_quality_ledger": quality_ledger.SQL,
+    "op6_license_templates": license_templates.SQL,
+    "op9_url_templates": url_templates.SQL,
+}
 
 SQL["op5_ngram_jaccard"] = r"""
 WITH RECURSIVE w AS (
