@@ -74,7 +74,13 @@ class Scratch:
         where = self.path()
         df.write.parquet(where)
         release(self.spark)
-        return self.spark.read.schema(df.schema).parquet(where)
+        out = self.spark.read.schema(df.schema).parquet(where)
+        out._scratch = where
+        return out
+
+    def free(self, df: DataFrame) -> None:
+        """Remove one table that ``keep`` has made."""
+        self._delete(df._scratch)
 
     def finish(self, df: DataFrame) -> DataFrame:
         """``df`` cut from the scratch tables, which go."""
@@ -84,11 +90,13 @@ class Scratch:
         return out
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(self.base)
         release(self.spark)
 
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished jobs."""
@@ -100,18 +108,29 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def matching(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with ``wanted`` on ``key``, where few rows match: the others stay out of the shuffle.
+def split_by(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have their key in ``wanted``, rows that do not), without a shuffle of ``rows``.
 
     A bitmap of FILTER_BITS hash values, whatever the tables' sizes, is broadcast as at most
-    FILTER_BITS / 64 rows; what passes it meets ``wanted`` in a merge join.
+    FILTER_BITS / 64 rows.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
     bit = F.expr("shiftleft(1L, CAST(_at & 63 AS INT))")
     words = wanted.select(place.alias("_at")).select(F.shiftright("_at", 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    hashed = rows.withColumn("_at", place)
-    passed = hashed.join(F.broadcast(words), (F.shiftright("_at", 6) == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi").drop("_at")
-    return passed.join(wanted.hint("merge"), key)
+    marked = rows.withColumn("_at", place).join(F.broadcast(words), F.shiftright("_at", 6) == F.col("_word"), "left")
+    marked = marked.withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
+    return marked.filter("_hit").select(rows.columns), marked.filter("not _hit").select(rows.columns)
+
+
+def matching(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``wanted`` on ``key``, where few rows match: the others stay out of the shuffle."""
+    return split_by(rows, wanted, key)[0].join(wanted.hint("merge"), key)
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key is not in ``ids``; only those that may be meet ``ids`` in a join."""
+    some, others = split_by(rows, ids, key)
+    return others.unionByName(some.join(ids.hint("merge"), key, "left_anti"))
 
 
 class Hasher:

@@ -15,14 +15,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     rounds grow with the logarithm of a path. Labels and edges stay in tables; only a count of
     changed rows comes to the driver.
     """
-    both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    pairs = both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = table = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("via"))
         up = labels.select(F.col("node").alias("via"), F.col("comp").alias("up"))
         after = scratch.keep(step.join(up, "via").select("node", "old", F.least("via", "up").alias("comp")))
         changed = after.filter("old <> comp").limit(1).count()
-        labels = after.select("node", "comp")
+        scratch.free(table)
+        labels, table = after.select("node", "comp"), after
         if not changed:
+            scratch.free(pairs)
             return labels
