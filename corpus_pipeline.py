@@ -9,10 +9,9 @@ written as Parquet and read again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hornspark.llm import best_fit_packing, quality_ledger, spaced_seeds, substring_dedup
-from hornspark.llm.common import Scratch, read_table
+from hornspark.llm.common import Scratch, read_table, without
 from hornspark.llm.ngram_jaccard import ngram_jaccard
 
 
@@ -22,8 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component, the document that names it; rows without an id stay."""
-    first = ngram_jaccard(spark, docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, ngram_jaccard(spark, docs).filter("doc_id <> component_id").select("doc_id"), "doc_id").select(docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornspark.llm.common import Hasher, int64, mixed, small_batches, texts
+from hornspark.llm.common import Hasher, Scratch, int64, mixed, small_batches, texts, without
 
 #: Offsets of the words that count.
 MASKS = [(0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 6, 7), (0, 2, 4, 6, 8, 10), (0, 1, 4, 5, 8, 9)]
@@ -150,5 +150,6 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark; a null doc_id stays."""
-    hits = contaminated(spark, docs, benchmark).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    scratch = Scratch(spark, "seeds")
+    hits = scratch.finish(contaminated(spark, docs, benchmark).select("doc_id").distinct())
+    return without(docs, hits, "doc_id")
