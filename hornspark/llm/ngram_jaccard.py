@@ -66,8 +66,10 @@ FEW = 8
 #: Leaders of a shingle and band in one turn, and turns, while they find links, before what is left between components is paired.
 LEADERS = 4
 TURNS = 6
+#: Classes per shingle, on average over entries, up to which what is left is paired without more turns.
+DENSE = 400
 
-_ENTRY = np.dtype([("tok", "<u8"), ("nid", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+_ENTRY = np.dtype([("tok", "<u8"), ("nid", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("shared", "u1")])
 
 
 def shingle_set(text: str | None, hasher: Hasher) -> np.ndarray:
@@ -132,11 +134,11 @@ def _postings(heavy: np.ndarray, rank: np.ndarray, parts: int):
             _, first, count = np.unique(e["tok"], return_index=True, return_counts=True)
             ship = np.zeros(len(e), bool)
             ship[first] = True
-            shared = np.repeat(count > 1, count)
+            shared = e["shared"] = np.repeat(count > 1, count)
             part = (e["tok"] >> np.uint64(32)).astype(np.int64) & (parts - 1)
             sub = 1 + (int(e["nid"][0]) & 1023)
             out = [(k, 0, s.tobytes()) for k, s in record_slices(part[ship], e[ship])]
-            out += [(k, sub, s.tobytes()) for k, s in record_slices(part[shared], e[shared])]
+            out += [(k, sub, s.tobytes()) for k, s in record_slices(part[shared & ~ship], e[shared & ~ship])]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["part", "sub", "entries"])
 
         for batch in batches:
@@ -168,11 +170,11 @@ def _shared(table: pa.Table) -> pa.Table:
     """Entries whose shingle two classes hold."""
     e = np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in table.column("entries")])
     if not table.column("sub")[0].as_py():
-        e = e[np.lexsort((e["nid"], e["tok"]))]
+        e = e[np.lexsort((-e["shared"].astype(np.int8), e["nid"], e["tok"]))]
+        e = e[np.r_[True, (e["tok"][1:] != e["tok"][:-1]) | (e["nid"][1:] != e["nid"][:-1])]]
         start = np.flatnonzero(np.r_[True, e["tok"][1:] != e["tok"][:-1]])
         count = np.diff(np.r_[start, len(e)])
-        several = np.maximum.reduceat(e["nid"], start) != np.minimum.reduceat(e["nid"], start)
-        e = e[np.repeat(several, count)]
+        e = e[np.repeat((count > 1) | (np.maximum.reduceat(e["shared"], start) > 0), count)]
     return pa.table({"tok": int64(e["tok"].view(np.int64) if e["tok"].flags.c_contiguous else e["tok"].copy().view(np.int64)), "nid": int64(e["nid"]), "n": int64(e["n"]), "pos": int64(e["pos"])})
 
 
@@ -280,10 +282,12 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, heavy
     order = np.argsort(tok)
     tok, rank = tok[order], top["c"].to_numpy(np.int64)[order]
     posted = docs.select("text").mapInArrow(_postings(tok, rank, fragments(spark, docs)), "part int, sub int, entries binary")
-    entries = scratch.keep(posted.groupBy("part", "sub").applyInArrow(_shared, "tok long, nid long, n long, pos long").distinct())
-    entries = scratch.keep(_useful(entries))
+    entries = scratch.keep(posted.groupBy("part", "sub").applyInArrow(_shared, "tok long, nid long, n long, pos long"))
+    whole, entries = entries, scratch.keep(_useful(entries))
+    scratch.free(whole)
     held = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("k"))
-    entries = scratch.keep(entries.join(held, "tok").withColumn("comp", F.col("nid")))
+    useful, entries = entries, scratch.keep(entries.join(held, "tok").withColumn("comp", F.col("nid")))
+    scratch.free(useful)
     few, many = entries.filter(F.col("k") <= FEW).drop("k"), entries.filter(F.col("k") > FEW).drop("k")
     first = scratch.keep(_all_pairs(few).unionByName(_leaders(many, 0)).distinct())
     twice = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count()
@@ -296,15 +300,22 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, heavy
         wanted = scratch.keep(nids.join(classes, "nid").select("nid", F.col("root").alias("doc_id"), "is_a", "is_b"))
         sets = matching(docs, wanted, "doc_id").select("nid", "is_a", "is_b", "text").mapInArrow(_sets, "nid long, is_a int, is_b int, cut int, shingles binary")
         sets = scratch.keep(sets.dropDuplicates(["nid", "cut"]) if twice else sets)
-        return scratch.keep(verified(pairs, sets).select("a", "b"))
+        out = scratch.keep(verified(pairs, sets).select("a", "b"))
+        for table in (pairs, wanted, sets):
+            scratch.free(table)
+        return out
 
     links = resolve(first)
     comps, done, turn, found = components(links, scratch), first, 1, 1
     while True:
         rest = scratch.keep(_open(many, comps))
-        last = not found or turn > TURNS
+        sizes = rest.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("pairs")).first()
+        if not sizes.n:
+            return comps
+        last = not found or turn > TURNS or sizes.pairs <= DENSE * sizes.n
         more = _all_pairs(rest) if last else _leaders(rest, turn)
         more = scratch.keep(more.join(done.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
+        scratch.free(rest)
         new = resolve(more)
         found, turn = new.limit(1).count(), turn + 1
         if found:
