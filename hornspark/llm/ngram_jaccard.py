@@ -186,35 +186,33 @@ def _bounds(a: str, b: str):
     return alike & (most * (NUM + DEN) >= (na + nb) * NUM)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(nid, is_a, is_b, cut, shingles): the fragments of each class."""
-    hasher = Hasher()
-    for batch in batches:
-        rows = []
-        for text, nid, a, b in zip(texts(batch), *(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            s = shingle_set(text, hasher)
-            if len(s) and class_id(s) == nid:
-                edge = np.searchsorted(s, np.arange(1, CUTS, dtype=np.uint64) * np.uint64((1 << 64) // CUTS))
-                rows += [(nid, a, b, i, x.tobytes()) for i, x in enumerate(np.split(s, edge))]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["nid", "is_a", "is_b", "cut", "shingles"])
-
-
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, cut, both): the overlap of two texts in each fragment of the shingle order."""
+    hasher, edges = Hasher(), np.arange(1, CUTS, dtype=np.uint64) * np.uint64((1 << 64) // CUTS)
+    last: tuple = (None, None)
     for batch in batches:
-        sa, sb = (batch.column(batch.schema.get_field_index(c)) for c in ("sa", "sb"))
-        both = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in zip(sa, sb, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), int64(both)], ["a", "b", "na", "nb", "both"])
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) that link: partial overlaps by fragment, summed."""
-    cut = pairs.withColumn("cut", F.explode(F.array(*[F.lit(i) for i in range(CUTS)])))
-    right = sets.filter("is_b = 1").select(F.col("nid").alias("b"), "cut", F.col("shingles").alias("sb"))
-    left = sets.filter("is_a = 1").select(F.col("nid").alias("a"), "cut", F.col("shingles").alias("sa"))
-    joined = cut.hint("merge").join(right, ["b", "cut"]).hint("merge").join(left, ["a", "cut"]).select("a", "b", "na", "nb", "sa", "sb")
-    counted = joined.mapInArrow(_overlaps, "a long, b long, na long, nb long, both long")
-    return counted.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("both").alias("both")).filter(F.col("both") * DEN >= (F.col("na") + F.col("nb") - F.col("both")) * NUM)
+        a, b, na, nb = (batch.column(i).to_pylist() for i in range(4))
+        rows = []
+        for k in range(batch.num_rows):
+            text = batch.column(4)[k].as_py()
+            if last[0] != text:
+                last = (text, shingle_set(text, hasher))
+            sa, sb = last[1], shingle_set(batch.column(5)[k].as_py(), hasher)
+            if class_id(sa) != a[k] or class_id(sb) != b[k]:
+                continue  # another row with the doc_id
+            for cut, (x, y) in enumerate(zip(np.split(sa, np.searchsorted(sa, edges)), np.split(sb, np.searchsorted(sb, edges)), strict=True)):
+                rows.append((a[k], b[k], na[k], nb[k], cut, len(np.intersect1d(x, y, assume_unique=True))))
+        yield pa.RecordBatch.from_arrays([int64([r[i] for r in rows]) for i in range(6)], ["a", "b", "na", "nb", "cut", "both"])
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) that link: partial overlaps by fragment, summed. held: (nid, is_a, is_b, text)."""
+    tb = held.filter("is_b = 1").select(F.col("nid").alias("b"), F.col("text").alias("tb"))
+    ta = held.filter("is_a = 1").select(F.col("nid").alias("a"), F.col("text").alias("ta"))
+    joined = pairs.hint("merge").join(tb, "b").hint("merge").join(ta, "a").select("a", "b", "na", "nb", "ta", "tb")
+    parts = joined.mapInArrow(_overlaps, "a long, b long, na long, nb long, cut long, both long").groupBy("a", "b", "cut").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("both").alias("both"))
+    counted = parts.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("both").alias("both"))
+    return counted.filter(F.col("both") * DEN >= (F.col("na") + F.col("nb") - F.col("both")) * NUM)
 
 
 def _useful(entries: DataFrame) -> DataFrame:
@@ -265,7 +263,7 @@ def _bitmap_passed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     both = pairs.join(bits.toDF("a", "xa"), "a").join(bits.toDF("b", "xb"), "b")
     differ = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     size = F.col("na") + F.col("nb")
-    return both.filter((size - differ) * (NUM + DEN) >= size * 2 * NUM).select("a", "b", "na", "nb")
+    return both.withColumn("differ", differ).filter((size - F.col("differ")) * (NUM + DEN) >= size * 2 * NUM).select("a", "b", "na", "nb", "differ")
 
 
 def _open(entries: DataFrame, comps: DataFrame) -> DataFrame:
@@ -290,23 +288,31 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, heavy
     scratch.free(useful)
     few, many = entries.filter(F.col("k") <= FEW).drop("k"), entries.filter(F.col("k") > FEW).drop("k")
     first = scratch.keep(_all_pairs(few).unionByName(_leaders(many, 0)).distinct())
-    twice = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count()
 
     def resolve(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that link."""
-        pairs = scratch.keep(_bitmap_passed(pairs, classes))
         sides = pairs.select(F.col("a").alias("nid"), F.lit(1).alias("is_a"), F.lit(0).alias("is_b")).union(pairs.select("b", F.lit(0), F.lit(1)))
         nids = sides.groupBy("nid").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
         wanted = scratch.keep(nids.join(classes, "nid").select("nid", F.col("root").alias("doc_id"), "is_a", "is_b"))
-        sets = matching(docs, wanted, "doc_id").select("nid", "is_a", "is_b", "text").mapInArrow(_sets, "nid long, is_a int, is_b int, cut int, shingles binary")
-        sets = scratch.keep(sets.dropDuplicates(["nid", "cut"]) if twice else sets)
-        out = scratch.keep(verified(pairs, sets).select("a", "b"))
-        for table in (pairs, wanted, sets):
+        held = scratch.keep(matching(docs, wanted, "doc_id").select("nid", "is_a", "is_b", "text"))
+        out = scratch.keep(verified(pairs, held).select("a", "b"))
+        for table in (wanted, held):
             scratch.free(table)
         return out
 
-    links = resolve(first)
-    comps, done, turn, found = components(links, scratch), first, 1, 1
+    passed = scratch.keep(_bitmap_passed(first, classes))
+    best = passed.groupBy("b").agg(F.min(F.struct("differ", "a", "na", "nb")).alias("m")).select("m.a", "b", "m.na", "m.nb")
+    best = scratch.keep(best)  # one likely partner each joins most groups
+    links = resolve(best)
+    comps = components(links, scratch)
+    label = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    apart = passed.join(best.select("a", "b"), ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    apart = scratch.keep(apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "na", "nb"))
+    new = resolve(apart)
+    if new.limit(1).count():
+        links = links.unionByName(new)
+        comps = components(links, scratch)
+    done, turn, found = first, 1, 1
     while True:
         rest = scratch.keep(_open(many, comps))
         sizes = rest.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("pairs")).first()
@@ -316,7 +322,7 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, heavy
         more = _all_pairs(rest) if last else _leaders(rest, turn)
         more = scratch.keep(more.join(done.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
         scratch.free(rest)
-        new = resolve(more)
+        new = resolve(scratch.keep(_bitmap_passed(more, classes)))
         found, turn = new.limit(1).count(), turn + 1
         if found:
             links = links.unionByName(new)
