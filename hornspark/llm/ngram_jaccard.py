@@ -69,7 +69,10 @@ TURNS = 6
 #: Classes per shingle, on average over entries, up to which what is left is paired without more turns.
 DENSE = 400
 
-_ENTRY = np.dtype([("tok", "<u8"), ("nid", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("shared", "u1")])
+#: The top bit of ``pos`` marks a shingle that several classes of the chunk hold. A shingle is known by its part and 32 more
+#: bits; where two meet in these, candidates grow by a pair that verification drops.
+_ENTRY = np.dtype([("tok", "<u4"), ("nid", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+_SHARED = np.uint32(1 << 31)
 
 
 def shingle_set(text: str | None, hasher: Hasher) -> np.ndarray:
@@ -124,18 +127,21 @@ def _postings(heavy: np.ndarray, rank: np.ndarray, parts: int):
     """Prefix entries in groups (part, sub): sub 0 to be grouped with other chunks', else known to be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, held, size = Hasher(), set(), [], 0
+        hasher, seen, held, places, size = Hasher(), set(), [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
             e = np.concatenate(held)
-            e = e[np.argsort(e["tok"], kind="stable")]
-            _, first, count = np.unique(e["tok"], return_index=True, return_counts=True)
+            part = np.concatenate(places)
+            order = np.lexsort((e["tok"], part))
+            e, part = e[order], part[order]
+            key = part << 32 | e["tok"]
+            _, first, count = np.unique(key, return_index=True, return_counts=True)
             ship = np.zeros(len(e), bool)
             ship[first] = True
-            shared = e["shared"] = np.repeat(count > 1, count)
-            part = (e["tok"] >> np.uint64(32)).astype(np.int64) & (parts - 1)
+            shared = np.repeat(count > 1, count)
+            e["pos"][shared] |= _SHARED
             sub = 1 + (int(e["nid"][0]) & 1023)
             out = [(k, 0, s.tobytes()) for k, s in record_slices(part[ship], e[ship])]
             out += [(k, sub, s.tobytes()) for k, s in record_slices(part[shared & ~ship], e[shared & ~ship])]
@@ -155,27 +161,42 @@ def _postings(heavy: np.ndarray, rank: np.ndarray, parts: int):
                     if late.any():
                         s = s[np.argsort(late, kind="stable")]
                 e = np.empty(k, _ENTRY)
-                e["tok"], e["nid"], e["n"], e["pos"] = s[:k], nid, n, np.arange(k)
+                e["tok"], e["nid"], e["n"], e["pos"] = s[:k] & np.uint64(0xFFFFFFFF), nid, n, np.arange(k)
                 held.append(e)
+                places.append((s[:k] >> np.uint64(32)).astype(np.int64) & (parts - 1))
                 size += e.nbytes
             if size > CHUNK_BYTES:
                 yield from flush()
-                seen, held, size = set(), [], 0
+                seen, held, places, size = set(), [], [], 0
         yield from flush()
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Entries whose shingle two classes hold."""
+    """Entries whose shingle two classes hold; of small groups that are all here, those that have a partner within bounds."""
     e = np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in table.column("entries")])
+    marked, pos = (e["pos"] & _SHARED) > 0, (e["pos"] & ~_SHARED).astype(np.int64)
+    tok, nid, n = e["tok"].astype(np.int64) | table.column("part")[0].as_py() << 32, e["nid"], e["n"].astype(np.int64)
     if not table.column("sub")[0].as_py():
-        e = e[np.lexsort((-e["shared"].astype(np.int8), e["nid"], e["tok"]))]
-        e = e[np.r_[True, (e["tok"][1:] != e["tok"][:-1]) | (e["nid"][1:] != e["nid"][:-1])]]
-        start = np.flatnonzero(np.r_[True, e["tok"][1:] != e["tok"][:-1]])
-        count = np.diff(np.r_[start, len(e)])
-        e = e[np.repeat((count > 1) | (np.maximum.reduceat(e["shared"], start) > 0), count)]
-    return pa.table({"tok": int64(e["tok"].view(np.int64) if e["tok"].flags.c_contiguous else e["tok"].copy().view(np.int64)), "nid": int64(e["nid"]), "n": int64(e["n"]), "pos": int64(e["pos"])})
+        order = np.lexsort((nid, tok))
+        tok, nid, n, pos, marked = (x[order] for x in (tok, nid, n, pos, marked))
+        first = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (nid[1:] != nid[:-1])])
+        pos, marked = np.minimum.reduceat(pos, first), np.logical_or.reduceat(marked, first)
+        tok, nid, n = tok[first], nid[first], n[first]
+        start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+        count = np.diff(np.r_[start, len(tok)])
+        elsewhere = np.logical_or.reduceat(marked, start)
+        keep = np.repeat(elsewhere | (count > FEW), count)
+        small = np.repeat(~elsewhere & (count <= FEW), count)
+        room = DEN * n - (NUM + DEN) * pos
+        for d in range(1, min(FEW, len(tok))):
+            i = np.flatnonzero(small[:-d] & (tok[d:] == tok[:-d]))
+            j = i + d
+            fit = (np.minimum(n[i], n[j]) * DEN >= np.maximum(n[i], n[j]) * NUM) & (room[i] >= NUM * n[j]) & (room[j] >= NUM * n[i])
+            keep[i[fit]] = keep[j[fit]] = True
+        tok, nid, n, pos = tok[keep], nid[keep], n[keep], pos[keep]
+    return pa.table({"tok": int64(tok), "nid": int64(nid), "n": int64(n), "pos": int64(pos)})
 
 
 def _bounds(a: str, b: str):
