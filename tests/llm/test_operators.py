@@ -191,6 +191,22 @@ def test_substring_dedup_near_and_empty(spark):
     assert {r.doc_id for r in substring_dedup.substring_dedup(spark, docs_of(spark, [(1, same), (2, same), (2, same)])).collect()} == {2}
 
 
+def near_passages(change, n, trials):
+    """Pairs of documents with a passage of ``n`` words between unrelated texts, changed in its middle in the second."""
+    rng, rows = random.Random(n), []
+    for k in range(trials):
+        passage = prose(rng, n, 10**6).split()
+        near = passage[: n // 2] + ["changed"] + passage[n // 2 + (change == "replaced") :]
+        rows += [(2 * k + j, " ".join([prose(rng, 60, 10**6), *words, prose(rng, 60, 10**6)])) for j, words in enumerate((passage, near))]
+    return rows
+
+
+@pytest.mark.parametrize(("n", "least"), [(50, 0.80), (60, 0.82)])
+def test_substring_dedup_near_passage_recall(spark, n, least):
+    found = {r.doc_id for r in substring_dedup.substring_dedup(spark, docs_of(spark, near_passages("replaced", n, 200))).collect()}
+    assert all(d % 2 for d in found) and len(found) >= least * 200
+
+
 def test_quality_ledger(spark, corpus):
     rows = quality_ledger.with_verdict(quality_ledger.ledger(spark, docs_of(spark, corpus))).collect()
     texts = defaultdict(list)
