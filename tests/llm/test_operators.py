@@ -207,6 +207,19 @@ def test_substring_dedup_near_passage_recall(spark, n, least):
     assert all(d % 2 for d in found) and len(found) >= least * 200
 
 
+def test_substring_dedup_exact_around_a_frequent_line(spark):
+    rng, rows, pairs = random.Random(17), [], []
+    for k in range(15):  # 40 documents share a line of 40 words; two of them share the ten words around it too
+        line, ends = prose(rng, 40, 10**6), (prose(rng, 5, 10**6), prose(rng, 5, 10**6))
+        x, y = sorted(rng.sample(range(5, 40), 2))
+        for j in range(40):
+            a, b = ends if j in (x, y) else (prose(rng, 5, 10**6), prose(rng, 5, 10**6))
+            rows.append((100 * k + j, f"{prose(rng, 40, 10**6)} {a} {line} {b} {prose(rng, 40, 10**6)}"))
+        pairs.append((100 * k + x, 100 * k + y))
+    found = {(r.source_doc_id, r.doc_id, r.start_word, r.n_words) for r in substring_dedup.substring_dedup(spark, docs_of(spark, rows)).collect()}
+    assert {(x, y, 40, 50) for x, y in pairs} <= {(x, y, max(a, 40), min(n, 50)) for x, y, a, n in found}
+
+
 def test_quality_ledger(spark, corpus):
     rows = quality_ledger.with_verdict(quality_ledger.ledger(spark, docs_of(spark, corpus))).collect()
     texts = defaultdict(list)
