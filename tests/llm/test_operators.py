@@ -220,6 +220,36 @@ def test_substring_dedup_exact_around_a_frequent_line(spark):
     assert {(x, y, 40, 50) for x, y in pairs} <= {(x, y, max(a, 40), min(n, 50)) for x, y, a, n in found}
 
 
+@pytest.mark.parametrize("kinds", [30, 200, 10**6])
+def test_repeated_starts_slides_over_all_starts(kinds):
+    rng, t = np.random.default_rng(kinds), 46
+    for _ in range(20):
+        x = rng.integers(0, kinds, 200).astype(np.uint64)
+        at = int(rng.integers(60, 100))
+        y = np.r_[rng.integers(0, kinds, 40).astype(np.uint64), x[40:at], rng.integers(0, kinds, 5).astype(np.uint64), x[at:150], rng.integers(0, kinds, 40).astype(np.uint64)]
+        for d in (0, -5):
+            a, b = max(0, -d) + 10, min(len(y), len(x) - d) - t - 3
+            want = []
+            for i in range(len(y) - t + 1):
+                p, q = set(y[i : i + t].tolist()), set(x[max(0, i + d) : max(0, i + d + t)].tolist())
+                want.append(a <= i <= b and len(p & q) * 5 >= len(p | q) * 4)
+            got = substring_dedup.repeated_starts(y, x, np.array([a]), np.array([b]), np.array([d]), t)
+            position = [a <= i <= b and int((y[i : i + t] == x[i + d : i + d + t]).sum()) * 5 >= (2 * t - int((y[i : i + t] == x[i + d : i + d + t]).sum())) * 4 for i in range(len(y) - t + 1)]
+            assert got.tolist() == [w or p for w, p in zip(want, position, strict=True)]
+
+
+def test_joined_runs_keep_every_start():
+    rng = np.random.default_rng(5)
+    source, i0, shift = rng.integers(0, 4, 200), rng.integers(0, 400, 200), rng.integers(-2, 2, 200)
+    i1 = i0 + rng.integers(0, 9, 200)
+    rows = substring_dedup.joined(source, i0, i1, shift)
+
+    def starts(rows):
+        return [(s, d, i) for s, a, b, d in rows for i in range(a, b + 1)]
+
+    assert sorted(starts(rows.tolist())) == sorted(set(starts(zip(source.tolist(), i0.tolist(), i1.tolist(), shift.tolist(), strict=True))))
+
+
 def test_quality_ledger(spark, corpus):
     rows = quality_ledger.with_verdict(quality_ledger.ledger(spark, docs_of(spark, corpus))).collect()
     texts = defaultdict(list)
