@@ -238,9 +238,9 @@ def _heads(kb: KB, least: int) -> list[str]:
 _TARGETS = ("customerNation", "didEvent", "marketSegment", "supplierNation")
 
 
-def _generation_2(kb: KB, kind: str) -> DataFrame:
-    """Supports of all atoms of one kind next to the heads of at least 100 facts, at a head coverage of 0.01; atoms with constants for some head targets."""
-    heads = [h for h in _heads(kb, 100) if kind != "instantiated" or h in _TARGETS]
+def _generation_2(kb: KB, kind: str, targets: tuple[str, ...] | None = None) -> DataFrame:
+    """Supports of all atoms of one kind next to the heads of at least 100 facts (of ``targets``), at a head coverage of 0.01."""
+    heads = [h for h in _heads(kb, 100) if targets is None or h in targets]
     parents = [(k, (("?a", p, "?b"),), max(1, -(-kb.relation_sizes[p] // 100))) for k, p in enumerate(heads)]
     asked = {"dangling": [("dangling", v, side) for v in ("?a", "?b") for side in "so"], "closing": [("closing", "?a", "?b"), ("closing", "?b", "?a")], "instantiated": [("instantiated", v, side) for v in ("?a", "?b") for side in "so"]}[kind]
     names = F.broadcast(kb.spark.createDataFrame(list(enumerate(heads)), "rid long, head string"))
@@ -270,7 +270,9 @@ def _refine_sql(kind: str) -> str:
 
 
 for _kind in ("dangling", "closing", "instantiated"):
-    _add(f"refine_{_kind}_gen2", lambda kb, kind=_kind: _generation_2(kb, kind), _refine_sql(_kind))
+    _add(f"refine_{_kind}_gen2", lambda kb, kind=_kind: _generation_2(kb, kind, _TARGETS if kind == "instantiated" else None), _refine_sql(_kind))
+# its SQL keeps four heads; this one has all
+_add("refine_instantiated_gen2_all", lambda kb: _generation_2(kb, "instantiated"), None)
 
 
 def _pair_rules(kb: KB) -> DataFrame:

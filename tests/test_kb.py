@@ -188,3 +188,27 @@ def test_streaming(spark, tmp_path):
     run = live.distinct_facts(stream).writeStream.foreachBatch(live.append_new_facts(f"{tmp_path}/kb", changed.append)).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert changed == [["r"]] and spark.read.parquet(f"{tmp_path}/kb").count() == 1
+
+
+def test_instantiated_generation_has_all_heads(spark):
+    from hornspark.operators.catalogue import _generation_2
+
+    rng = random.Random(23)
+    facts = {(f"x{rng.randrange(40)}", p, f"y{rng.randrange(5)}") for p in ("likes", "owns", "didEvent") for _ in range(400)}
+    want = {}
+    for head in ("likes", "owns", "didEvent"):
+        pairs = {(s, o) for s, p, o in facts if p == head}
+        if len(pairs) < 100:
+            continue
+        for u, own in (("a", 0), ("b", 1)):
+            for side in (0, 2):
+                found = {}
+                for s, p, o in facts:
+                    value, constant = (s, o) if side == 0 else (o, s)
+                    found.setdefault((p, constant), set()).update(x for x in pairs if x[own] == value)
+                for (p, constant), rows in found.items():
+                    if len({x[own] for x in rows}) >= 2 and len(rows) >= max(1, -(-len(pairs) // 100)):
+                        want[head, f"{u} {'s' if side == 0 else 'o'}", p, constant] = len(rows)
+    kb = KB(spark.createDataFrame(sorted(facts), "s string, p string, o string"))
+    assert {k[0] for k in want} == {"likes", "owns", "didEvent"}
+    assert {(r["head"], r.place, r.p, r.c): r.support for r in _generation_2(kb, "instantiated").collect()} == want
