@@ -321,13 +321,18 @@ def _mined(config: MiningConfig, typed: bool = False):
 
 
 _PATHS = ("?a customerNation ?z  ?b supplierNation ?z", "?z placedBy ?a  ?z suppliedBy ?b")
-QUERIES["mine_default"] = _mined(MiningConfig(head_targets=("customerNation", "supplierNation")))
-QUERIES["mine_std_skyline"] = _mined(MiningConfig(head_targets=("supplierNation", "inRegion"), min_initial_support=25, std=True, skyline="intended", bounds=True, heuristics=True))
-QUERIES["mine_onevar"] = _mined(MiningConfig(bias="one_variable", head_targets=("supplierNation",)))
-QUERIES["mine_const"] = _mined(MiningConfig(constants=True, head_targets=("inRegion", "didEvent"), max_depth=2, min_head_coverage=0.05))
-QUERIES["mine_chain"] = _mined(MiningConfig(bias="chain", head_targets=("customerNation",)))
-QUERIES["mine_signatured"] = _mined(MiningConfig(bias="signatured", head_targets=("supplierNation",), body_targets=("buysFrom", "customerNation")), typed=True)
-QUERIES["mine_existential"] = _mined(MiningConfig(bias="existential", head_targets=("didEvent",), max_depth=2))
+#: Options and whether the store has types; all over the whole store.
+MINED = {
+    "mine_default": (MiningConfig(), False),
+    "mine_std_skyline": (MiningConfig(min_initial_support=25, std=True, skyline="intended", bounds=True, heuristics=True), False),
+    "mine_onevar": (MiningConfig(bias="one_variable"), False),
+    "mine_const": (MiningConfig(constants=True, min_head_coverage=0.05), False),
+    "mine_chain": (MiningConfig(bias="chain"), False),
+    "mine_signatured": (MiningConfig(bias="signatured"), True),
+    "mine_existential": (MiningConfig(bias="existential"), False),
+}
+for _name, (_config, _typed) in MINED.items():
+    QUERIES[_name] = _mined(_config, _typed)
 
 
 def _initial(kb: KB, **more) -> DataFrame:
