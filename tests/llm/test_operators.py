@@ -392,6 +392,19 @@ def test_encoder_matches_tokenizer():
         assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_matches_the_plain_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), best_fit_packing.Encoder(path)
+    assert encoder.ids("a<|endoftext|>b").tolist() == [64, 50256, 65]
+    rng, parts = random.Random(29), ["<|endoftext|>", "<|endoftext|", " ", "\n", "word", "é", "12", "  <|"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def conversations(rng):
     odd = ["<|im_end|>", "%3C|", "%25%0A", "", "a\nb", "<|im_start|>assistant\nx"]
     rows = [(1, 0, "system", "be brief"), (2, None, None, None), (2, 1, "assistant", "x"), (2, 1, "assistant", "x"), (None, 0, "user\nodd", "q"), (-7, 0, "assistant", "%")]
