@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
 import shutil
 import tempfile
-import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is configured."""
+    """The folder that all executors share. One of our own serves a single machine alone; a cluster has to name one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="hornspark-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(own)
@@ -108,18 +111,36 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, with underscores where ``taken`` has them already (Spark does not tell cases apart)."""
+    used, out = {n.lower() for n in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by name, whatever characters a name has."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def split_by(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have their key in ``wanted``, rows that do not), without a shuffle of ``rows``.
+    """(rows that may have their key in ``wanted``, rows that do not), without a shuffle of ``rows``; null is a key like others.
 
     A bitmap of FILTER_BITS hash values, whatever the tables' sizes, is broadcast as at most
     FILTER_BITS / 64 rows.
     """
+    at, word, bit, bits, hit = fresh([*rows.columns, key], "_at", "_word", "_bit", "_bits", "_hit")
     place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
-    bit = F.expr("shiftleft(1L, CAST(_at & 63 AS INT))")
-    words = wanted.select(place.alias("_at")).select(F.shiftright("_at", 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    marked = rows.withColumn("_at", place).join(F.broadcast(words), F.shiftright("_at", 6) == F.col("_word"), "left")
-    marked = marked.withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
-    return marked.filter("_hit").select(rows.columns), marked.filter("not _hit").select(rows.columns)
+    own = F.expr(f"shiftleft(1L, CAST({at} & 63 AS INT))")
+    words = wanted.select(place.alias(at)).select(F.shiftright(at, 6).alias(word), own.alias(bit)).groupBy(word).agg(F.bit_or(bit).alias(bits))
+    marked = rows.withColumn(at, place).join(F.broadcast(words), F.shiftright(at, 6) == F.col(word), "left")
+    marked = marked.withColumn(hit, F.coalesce(F.col(bits).bitwiseAND(own) != 0, F.lit(False)))
+    columns = named(rows.columns)
+    return marked.filter(F.col(hit)).select(*columns), marked.filter(~F.col(hit)).select(*columns)
 
 
 def matching(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

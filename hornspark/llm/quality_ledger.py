@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from hornspark.llm.common import SHINGLE, Hasher, int64, shingle_hashes, small_batches, texts
+from hornspark.llm.common import SHINGLE, Hasher, fresh, int64, named, shingle_hashes, small_batches, texts
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_stutter"]
 
@@ -105,13 +105,19 @@ def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(int64(rows[:, i]) for i in range(len(MEASURES)))], ["doc_id", *MEASURES])
 
 
+def fail_bits(names: dict[str, str] | None = None) -> str:
+    """The failure bits as SQL over the measurements, which may go by other ``names``."""
+    called = names or {m: m for m in MEASURES}
+    rules = [(BIT[name], " ".join(called.get(w, w) for w in rule.split(" "))) for name, rule in RULES]
+    return "CAST(" + " + ".join(f"CASE WHEN {rule} THEN {bit} ELSE 0 END" for bit, rule in rules) + " AS BIGINT)"
+
+
 def ledger(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, the measurements, and fail_bits: bit i is set where rule i fails."""
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(_measures, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = " + ".join(f"CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END" for name, rule in RULES)
-    return rows.withColumn("fail_bits", F.expr(f"CAST({bits} AS BIGINT)"))
+    return rows.withColumn("fail_bits", F.expr(fail_bits()))
 
 
 def with_verdict(rows: DataFrame, policy: Policy = POLICIES[CURRENT]) -> DataFrame:
@@ -142,24 +148,24 @@ def ablations(rows: DataFrame, policies: list[Policy] | None = None) -> DataFram
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame, policy: Policy = POLICIES[CURRENT]) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the policy keeps; decided row by row, without a join."""
+    """The rows of ``docs``, with all their columns, that the policy keeps; decided row by row, without a join.
+
+    The measurements travel beside the columns of ``docs`` under names that these do not have.
+    """
     small_batches(spark)
     names = docs.columns
+    own = fresh(names, *(f"_{m}" for m in MEASURES), "_bits")
+    *measures, bits = own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(fold=False)
         for batch in batches:
             rows = np.array([measure(t, hasher) for t in texts(batch)], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(int64(rows[:, i]) for i in range(len(MEASURES)))], [*names, *(f"_m{i}" for i in range(len(MEASURES)))])
-
-    schema = StructType([*docs.schema.fields, *(StructField(f"_m{i}", LongType()) for i in range(len(MEASURES)))])
-    rows = docs.mapInArrow(run, schema)
-    bits = " + ".join(f"CASE WHEN {_renamed(rule)} THEN {BIT[name]} ELSE 0 END" for name, rule in RULES)
-    return rows.withColumn("_bits", F.expr(f"CAST({bits} AS BIGINT)")).filter(f"(_bits & {BASE}) = 0 AND NOT {policy.rejects('_bits')}").select(names)
-
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(int64(rows[:, i]) for i in range(len(MEASURES)))], [*names, *measures])
 
-def _renamed(rule: str) -> str:
-    return " ".join({m: f"_m{i}" for i, m in enumerate(MEASURES)}.get(w, w) for w in rule.split(" "))
+    rows = docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(m, LongType()) for m in measures)]))
+    kept = f"({bits} & {BASE}) = 0 AND NOT {policy.rejects(bits)}"
+    return rows.withColumn(bits, F.expr(fail_bits(dict(zip(MEASURES, measures, strict=True))))).filter(kept).select(*named(names))
 
 
 SQL = r"""
