@@ -4,9 +4,9 @@ A document is the set of its 5-word shingles (64-bit hashes; two different shing
 hash with probability 2^-64). Two documents link when 100 * |intersection| >= 80 * |union|.
 
 1. Equal sets are one class. One pass gives each row its class and counts, per chunk of text, the
-   shingles that several classes of the chunk hold; the heaviest (a bounded list) form the tail of
-   the global order, by count, and all others come before them, by hash. Any order is exact; this
-   one keeps common passages out of prefixes.
+   shingles that several classes of the chunk hold. The counts add up in a sketch of fixed size, whose
+   estimate (as a power of two) is a shingle's rank: the global order is by rank, then by hash. Any
+   order is exact; this one keeps common passages out of prefixes, at every size of the corpus.
 2. A class posts only its prefix, the first n - ceil(0.8 n) + 1 shingles of the order: linked
    classes share one of them. Chunks group their own postings first and ship one entry a shingle,
    so no shingle fills a task; entries that stay alone fall away.
@@ -14,15 +14,21 @@ hash with probability 2^-64). Two documents link when 100 * |intersection| >= 80
    of many pairs each class with a few leaders per band of lengths, in turns that leave out what
    components already join, and last whatever is left between different components. So a
    group of copies costs its size and not its square, and no link between components is missed.
-4. Each class has a bitmap of parities, which bounds the overlap of a pair from above and drops
-   most pairs that do not link. Verification cuts the hash order of shingles into fragments; each (class, fragment) is a row,
-   partial overlaps are counted fragment by fragment and summed per pair.
+   Each class has a bitmap of parities, which bounds the overlap of a pair from above and drops
+   most pairs that do not link.
+4. Pivots cut the global order into fragments: CUTS ranges of hashes among the shingles of rank 0,
+   and those of higher ranks. Each (class, fragment) is a row of its own, with the class's shingles
+   in that fragment. A pair meets once in each fragment, where its partial overlap is counted
+   without the rest of either document; the partial overlaps are summed per pair.
+
+Classes are known by the hash of their set in all of this, never by doc_id.
 
 Cases: null, empty or blank text: n_shingles 0, component_id its own doc_id, no link. Fewer than
-five words: one shingle. Equal texts: one class, linked. A null doc_id keeps its row and never
-names a component while another id is there. Repeated rows stay; rows with one doc_id and
-different texts count as different documents. Columns other than doc_id and text are ignored.
-An empty table gives an empty result.
+five words: one shingle. Equal texts: one class, linked. Rows with a null doc_id link as others do,
+also between others, and never name a component while another id is there. Repeated rows stay;
+rows with one doc_id and different texts are documents of their own, in ``kept_documents``, too.
+Columns other than doc_id and text are ignored (``kept_documents`` returns them). An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,30 +42,34 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from hornspark.llm.common import (
     CHUNK_BYTES,
+    FILTER_BITS,
     Hasher,
     Scratch,
     distinct,
     fragments,
+    fresh,
     int64,
-    matching,
+    named,
     record_slices,
     small_batches,
+    split_by,
     texts,
 )
 from hornspark.llm.components import components
 
 #: Similarity as a fraction of whole numbers.
 NUM, DEN = 4, 5
-#: Entries of the tail of the global order; a bound on what is broadcast. It steers cost, not results.
-HEAVY = 1 << 17
-#: Classes of one chunk that hold a shingle before it is reported as heavy.
+#: Counters in each of the two rows of the sketch; a bound on what is broadcast, as one byte each. It steers cost, not results.
+CELLS = 1 << 20
+#: Classes of one chunk that hold a shingle before it is counted.
 HEAVY_LOCAL = 3
 #: Bits of a class's bitmap.
 BITS = 1024
-#: Fragments in which a pair's overlap is counted.
+#: Fragments of the order's shingles of rank 0; those of higher ranks are one more.
 CUTS = 4
 #: Classes that share a shingle and are all paired at once; beyond, leaders come first.
 FEW = 8
@@ -89,20 +99,34 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s >> np.uint64(3)).astype(np.int64) & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).tobytes()
 
 
+def counters(s: np.ndarray) -> np.ndarray:
+    """The counters of shingles in the sketch: the first row's for all, then the second row's."""
+    low, shift = np.uint64(CELLS - 1), np.uint64(CELLS.bit_length() - 1)
+    return np.concatenate([s & low, (s >> shift & low) + np.uint64(CELLS)]).astype(np.int64)
+
+
+def ranks(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The rank of each shingle: the lesser of its two counters."""
+    at = counters(s)
+    return np.minimum(sketch[at[: len(s)]], sketch[at[len(s) :]])
+
+
 def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, nid) of each row and (null, count, shingle) of what is heavy in a chunk."""
+    """(doc_id, n, nid) of each row and (null, count, counter) of what is heavy in a chunk."""
     hasher, seen, held, size = Hasher(), set(), [], 0
     names = ["doc_id", "n", "nid", "heavy", "bits"]
 
     def heavy() -> pa.RecordBatch:
         all_, count = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]), return_counts=True)
         many = count >= HEAVY_LOCAL
-        k = int(many.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), int64(count[many]), int64(all_[many].view(np.int64)), pa.array([True] * k, pa.bool_()), pa.nulls(k, pa.list_(pa.int64()))], names)
+        cells, which = np.unique(counters(all_[many]), return_inverse=True)
+        sums = np.bincount(which.ravel(), np.tile(count[many], 2), len(cells))
+        k = len(cells)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), int64(sums), int64(cells), pa.array([True] * k, pa.bool_()), pa.nulls(k, pa.list_(pa.int64()))], names)
 
     for batch in batches:
         ns, ids, bits = [], [], []
@@ -123,7 +147,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield heavy()
 
 
-def _postings(heavy: np.ndarray, rank: np.ndarray, parts: int):
+def _postings(sketch, parts: int):
     """Prefix entries in groups (part, sub): sub 0 to be grouped with other chunks', else known to be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +179,9 @@ def _postings(heavy: np.ndarray, rank: np.ndarray, parts: int):
                     continue
                 seen.add(nid)
                 k = prefix_length(n)
-                if len(heavy):
-                    at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-                    late = np.where(heavy[at] == s, rank[at], 0)
-                    if late.any():
-                        s = s[np.argsort(late, kind="stable")]
+                late = ranks(s, sketch.value)
+                if late.any():
+                    s = s[np.argsort(late, kind="stable")]
                 e = np.empty(k, _ENTRY)
                 e["tok"], e["nid"], e["n"], e["pos"] = s[:k] & np.uint64(0xFFFFFFFF), nid, n, np.arange(k)
                 held.append(e)
@@ -207,32 +229,45 @@ def _bounds(a: str, b: str):
     return alike & (most * (NUM + DEN) >= (na + nb) * NUM)
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb, cut, both): the overlap of two texts in each fragment of the shingle order."""
-    hasher, edges = Hasher(), np.arange(1, CUTS, dtype=np.uint64) * np.uint64((1 << 64) // CUTS)
-    last: tuple = (None, None)
-    for batch in batches:
-        a, b, na, nb = (batch.column(i).to_pylist() for i in range(4))
-        rows = []
-        for k in range(batch.num_rows):
-            text = batch.column(4)[k].as_py()
-            if last[0] != text:
-                last = (text, shingle_set(text, hasher))
-            sa, sb = last[1], shingle_set(batch.column(5)[k].as_py(), hasher)
-            if class_id(sa) != a[k] or class_id(sb) != b[k]:
-                continue  # another row with the doc_id
-            for cut, (x, y) in enumerate(zip(np.split(sa, np.searchsorted(sa, edges)), np.split(sb, np.searchsorted(sb, edges)), strict=True)):
-                rows.append((a[k], b[k], na[k], nb[k], cut, len(np.intersect1d(x, y, assume_unique=True))))
-        yield pa.RecordBatch.from_arrays([int64([r[i] for r in rows]) for i in range(6)], ["a", "b", "na", "nb", "cut", "both"])
-
-
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) that link: partial overlaps by fragment, summed. held: (nid, is_a, is_b, text)."""
-    tb = held.filter("is_b = 1").select(F.col("nid").alias("b"), F.col("text").alias("tb"))
-    ta = held.filter("is_a = 1").select(F.col("nid").alias("a"), F.col("text").alias("ta"))
-    joined = pairs.hint("merge").join(tb, "b").hint("merge").join(ta, "a").select("a", "b", "na", "nb", "ta", "tb")
-    parts = joined.mapInArrow(_overlaps, "a long, b long, na long, nb long, cut long, both long").groupBy("a", "b", "cut").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("both").alias("both"))
-    counted = parts.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("both").alias("both"))
+def _segments(sketch, wanted):
+    """(nid, cut, part): the shingles of wanted classes in each fragment of the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen, size = Hasher(), set(), 0
+        edges = np.arange(1, CUTS, dtype=np.uint64) * np.uint64((1 << 64) // CUTS)
+        for batch in batches:
+            nids, cuts, parts = [], [], []
+            for text in texts(batch):
+                s = shingle_set(text, hasher)
+                if not len(s) or (nid := class_id(s)) in seen or not wanted.value[nid & (FILTER_BITS - 1)]:
+                    continue
+                seen.add(nid)
+                size += s.nbytes
+                late = ranks(s, sketch.value) > 0
+                own = s[~late]
+                for cut, part in enumerate([*np.split(own, np.searchsorted(own, edges)), s[late]]):
+                    if len(part):
+                        nids.append(nid)
+                        cuts.append(cut)
+                        parts.append(part.view(np.int64))
+            ends = np.cumsum([0, *map(len, parts)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), int64(np.concatenate(parts or [np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([int64(nids), pa.array(cuts, pa.int32()), lists], ["nid", "cut", "part"])
+            if size > CHUNK_BYTES:
+                seen, size = set(), 0
+
+    return run
+
+
+def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) that link: the overlap in each fragment, summed. segments: (nid, cut, part)."""
+    held = split_by(segments, pairs.select(F.explode(F.array("a", "b")).alias("nid")), "nid")[0]
+    sides = [held.select(F.col("nid").alias(x), "cut", F.col("part").alias(f"part_{x}")) for x in "ab"]
+    met = pairs.withColumn("cut", F.explode(F.array(*map(F.lit, range(CUTS + 1)))))
+    for x, side in zip("ba", sides[::-1], strict=True):
+        met = met.hint("merge").join(side, [x, "cut"])
+    partial = met.select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("both"))
+    counted = partial.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("both").alias("both"))
     return counted.filter(F.col("both") * DEN >= (F.col("na") + F.col("nb") - F.col("both")) * NUM)
 
 
@@ -294,13 +329,28 @@ def _open(entries: DataFrame, comps: DataFrame) -> DataFrame:
     return tagged.join(several, "tok", "left_semi").select("tok", "nid", "n", "pos", "comp")
 
 
+def sketched(heavy: DataFrame) -> np.ndarray:
+    """The sketch: how often, as a power of two, what meets in each counter was found. heavy: (n, nid), a counter's counts."""
+    sums = heavy.groupBy("nid").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * CELLS rows
+    out = np.zeros(2 * CELLS, np.uint8)
+    out[sums["nid"].to_numpy(np.int64)] = np.log2(sums["n"].to_numpy(np.float64)).astype(np.uint8)
+    return out
+
+
+def bit_table(nids: DataFrame) -> np.ndarray:
+    """Of FILTER_BITS classes by the low bits of ``nid``, which are there; at most FILTER_BITS / 64 rows come to the driver."""
+    at = F.col("nid").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = nids.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, CAST(nid & 63 AS INT))").alias("bit"))
+    rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = np.zeros(FILTER_BITS // 64, "<i8")
+    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+
+
 def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, heavy: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of the classes that link with another."""
-    top = heavy.groupBy(F.col("nid").alias("tok")).agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "tok").limit(HEAVY).toPandas()
-    tok = top["tok"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tok)
-    tok, rank = tok[order], top["c"].to_numpy(np.int64)[order]
-    posted = docs.select("text").mapInArrow(_postings(tok, rank, fragments(spark, docs)), "part int, sub int, entries binary")
+    sketch = spark.sparkContext.broadcast(sketched(heavy))
+    posted = docs.select("text").mapInArrow(_postings(sketch, fragments(spark, docs)), "part int, sub int, entries binary")
     entries = scratch.keep(posted.groupBy("part", "sub").applyInArrow(_shared, "tok long, nid long, n long, pos long"))
     whole, entries = entries, scratch.keep(_useful(entries))
     scratch.free(whole)
@@ -310,18 +360,15 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, heavy
     few, many = entries.filter(F.col("k") <= FEW).drop("k"), entries.filter(F.col("k") > FEW).drop("k")
     first = scratch.keep(_all_pairs(few).unionByName(_leaders(many, 0)).distinct())
 
+    passed = scratch.keep(_bitmap_passed(first, classes))
+    wanted = spark.sparkContext.broadcast(bit_table(passed.select(F.explode(F.array("a", "b")).alias("nid")).unionByName(many.select("nid"))))
+    parts = docs.select("text").mapInArrow(_segments(sketch, wanted), "nid long, cut int, part array<long>")
+    segments = scratch.keep(parts.groupBy("nid", "cut").agg(F.first("part").alias("part")))
+
     def resolve(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that link."""
-        sides = pairs.select(F.col("a").alias("nid"), F.lit(1).alias("is_a"), F.lit(0).alias("is_b")).union(pairs.select("b", F.lit(0), F.lit(1)))
-        nids = sides.groupBy("nid").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
-        wanted = scratch.keep(nids.join(classes, "nid").select("nid", F.col("root").alias("doc_id"), "is_a", "is_b"))
-        held = scratch.keep(matching(docs, wanted, "doc_id").select("nid", "is_a", "is_b", "text"))
-        out = scratch.keep(verified(pairs, held).select("a", "b"))
-        for table in (wanted, held):
-            scratch.free(table)
-        return out
+        return scratch.keep(verified(pairs, segments).select("a", "b"))
 
-    passed = scratch.keep(_bitmap_passed(first, classes))
     best = passed.groupBy("b").agg(F.min(F.struct("differ", "a", "na", "nb")).alias("m")).select("m.a", "b", "m.na", "m.nb")
     best = scratch.keep(best)  # one likely partner each joins most groups
     links = resolve(best)
@@ -353,17 +400,63 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, heavy
         done = done.unionByName(more)
 
 
-def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, and the size of its component."""
+def grouped(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, nid) of every row, and (nid, comp, component_id, component_rows) of the classes whose component has several rows."""
     small_batches(spark)
-    scratch = Scratch(spark, "ngram")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = scratch.keep(docs.mapInArrow(_survey, "doc_id long, n long, nid long, heavy boolean, bits array<long>"))
-    info = survey.filter("not heavy").select("doc_id", "n", "nid", "bits")
-    classes = scratch.keep(info.filter("nid is not null").groupBy("nid").agg(F.min("doc_id").alias("root"), F.count(F.lit(1)).alias("rows"), F.first("bits", ignorenulls=True).alias("bits")))
+    info = survey.filter("not heavy").select("doc_id", "n", "nid")
+    held = survey.filter("not heavy and nid is not null").groupBy("nid")
+    classes = scratch.keep(held.agg(F.min("doc_id").alias("root"), F.count(F.lit(1)).alias("rows"), F.first("bits", ignorenulls=True).alias("bits")))
     comps = link_classes(spark, docs, classes, survey.filter("heavy"), scratch)
-    named = classes.join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    least = named.groupBy("comp").agg(F.min("root").alias("component_id"), F.sum("rows").alias("component_rows"))
-    labels = scratch.keep(scratch.keep(named.select("nid", "comp")).join(scratch.keep(least), "comp").select("nid", "component_id", "component_rows"))
-    out = info.join(labels, "nid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_rows", F.lit(1)).alias("component_rows"))
+    known = classes.join(comps.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "root", "rows", F.coalesce("comp", "nid").alias("comp"))
+    groups = known.groupBy("comp").agg(F.min("root").alias("component_id"), F.sum("rows").alias("component_rows")).filter("component_rows > 1")
+    return info, scratch.keep(known.select("nid", "comp").join(scratch.keep(groups), "comp").select("nid", "comp", "component_id", "component_rows"))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, and the size of its component. Only rows of larger components meet the table of these."""
+    scratch = Scratch(spark, "ngram")
+    info, labels = grouped(spark, docs, scratch)
+    some, others = split_by(info, labels, "nid")
+    rows = some.join(labels, "nid", "left").unionByName(others, allowMissingColumns=True)
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_rows", F.lit(1)).alias("component_rows"))
     return scratch.finish(out)
+
+
+def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near copies: one row of each component stays.
+
+    It is the one with the smallest doc_id (any id before null; of several texts under that id the one whose
+    class has the smallest hash; of equal rows one). Rows are told apart by doc_id and class, so a document that
+    shares its id with a copy of another stays. Rows without words have no copies, and all stay.
+    """
+    scratch = Scratch(spark, "copies")
+    info, labels = grouped(spark, docs, scratch)
+    rows = split_by(info, labels, "nid")[0].join(labels.select("nid", "comp"), "nid").groupBy("comp", "nid", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    rows = scratch.keep(rows)
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "nid")).alias("k"))
+    stays = F.col("k.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("k.nid") == F.col("nid"))
+    names = docs.columns
+    doc, theirs, nid, own, verdict = fresh(names, "_doc", "_judged", "_nid", "_own", "_stays")
+    judged = rows.join(first, "comp").withColumn("stays", stays).filter("not stays or copies > 1")
+    judged = scratch.keep(judged.select(F.col("doc_id").alias(doc), F.col("nid").alias(nid), F.col("stays").alias(verdict)))
+    some, others = split_by(docs.withColumn(doc, F.col("doc_id").cast("long")), judged, doc)
+    schema = StructType([*some.schema.fields, StructField(own, LongType())])
+    met = some.mapInArrow(_with_class(own), schema).join(judged.withColumnRenamed(doc, theirs), F.col(doc).eqNullSafe(F.col(theirs)) & (F.col(own) == F.col(nid)), "left")
+    alone = met.filter(F.col(verdict).isNull()).select(*named(names))
+    one = met.filter(F.col(verdict)).dropDuplicates([doc, nid]).select(*named(names))
+    return scratch.finish(others.select(*named(names)).unionByName(alone).unionByName(one))
+
+
+def _with_class(name: str):
+    """Rows with their class as a further column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            sets = (shingle_set(text, hasher) for text in texts(batch))
+            nids = [class_id(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nids, pa.int64())], [*batch.schema.names, name])
+
+    return run

@@ -22,7 +22,7 @@ from hornspark.llm import (
     warc_legacy,
 )
 from hornspark.llm.common import Hasher, shingle_hashes
-from hornspark.llm.ngram_jaccard import ngram_jaccard, prefix_length
+from hornspark.llm.ngram_jaccard import kept_documents, ngram_jaccard, prefix_length
 
 DOCS = "doc_id long, text string, n long, tok string, part int, nid long"  # names that operators use themselves
 
@@ -93,6 +93,37 @@ def test_ngram_jaccard_repeated_ids_and_empty(spark):
     assert ngram_jaccard(spark, docs_of(spark, [])).collect() == []
 
 
+def test_ngram_jaccard_rows_without_ids(spark):
+    """Rows without a doc_id are near copies, bridges between others, and groups of their own."""
+    rng = random.Random(6)
+    a = prose(rng, 60).split()
+    bridge = a[:-5] + prose(rng, 5).split()
+    far = prose(rng, 5).split() + bridge[5:]
+    own = prose(rng, 40)
+    rows = [(5, " ".join(a)), (None, " ".join(bridge)), (9, " ".join(far)), (1, own), (None, own + " and more"), (None, prose(rng, 30)), (None, None)]
+    rows += [(None, "left alone " + own[::-1])] * 3
+    want = brute_components(rows)
+    assert (9, len(shingles(" ".join(far))), 5) in want  # linked through the row without an id
+    got = ngram_jaccard(spark, docs_of(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+    kept = kept_documents(spark, docs_of(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(5, " ".join(a)), (1, own), rows[5], rows[6], rows[7]], key=repr)
+
+
+def test_kept_documents_keeps_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (3, c), (3, c), (3, c.upper()), (4, None), (4, None), (6, "")]
+    clash = "doc_id int, text string, _doc int, _nid int, _at int, _hit boolean, _bits int, _word int, own int"
+    docs = spark.createDataFrame([(i, t, 1, 2, 7, True, 4, 5, 6) for i, t in rows], clash)
+    kept = kept_documents(spark, docs)
+    assert kept.schema == docs.schema
+    got = kept.collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in got) == [(1, a), (3, c), (4, ""), (4, ""), (5, b), (6, "")]
+    assert {(r._at, r._hit, r._bits, r._word, r.own) for r in got} == {(7, True, 4, 5, 6)}
+    assert kept_documents(spark, docs.limit(0)).collect() == []
+
+
 def test_ngram_jaccard_dense_group(spark):
     """A frame that many texts share: links among some, none among others; leaders alone must not decide."""
     rng = random.Random(7)
