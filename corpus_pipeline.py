@@ -10,9 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hornspark.llm import best_fit_packing, quality_ledger, spaced_seeds, substring_dedup
-from hornspark.llm.common import Scratch, read_table, without
-from hornspark.llm.ngram_jaccard import ngram_jaccard
+from hornspark.llm import best_fit_packing, ngram_jaccard, quality_ledger, spaced_seeds, substring_dedup
+from hornspark.llm.common import Scratch, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component, the document that names it; rows without an id stay."""
-    return without(docs, ngram_jaccard(spark, docs).filter("doc_id <> component_id").select("doc_id"), "doc_id").select(docs.columns)
+    """One row of each component; rows are told apart by id and text, so an id that two texts share loses only copies."""
+    return ngram_jaccard.kept_documents(spark, docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
