@@ -21,7 +21,7 @@ from hornspark.llm import (
     url_templates,
     warc_legacy,
 )
-from hornspark.llm.common import Hasher, shingle_hashes
+from hornspark.llm.common import Hasher, mixed, shingle_hashes
 from hornspark.llm.ngram_jaccard import kept_documents, ngram_jaccard, prefix_length
 
 DOCS = "doc_id long, text string, n long, tok string, part int, nid long"  # names that operators use themselves
@@ -165,7 +165,7 @@ def test_hasher_matches_words():
 @pytest.mark.parametrize("kinds", [2, 40, 10**6])
 def test_compact_windows(kinds):
     rng = np.random.default_rng(kinds)
-    h = rng.integers(0, kinds, 300).astype(np.uint64)
+    h = mixed(rng.integers(0, kinds, 300).astype(np.uint64))
     want = set()
 
     def build(a, b):
@@ -222,20 +222,61 @@ def test_substring_dedup_near_and_empty(spark):
     assert {r.doc_id for r in substring_dedup.substring_dedup(spark, docs_of(spark, [(1, same), (2, same), (2, same)])).collect()} == {2}
 
 
-def near_passages(change, n, trials):
-    """Pairs of documents with a passage of ``n`` words between unrelated texts, changed in its middle in the second."""
-    rng, rows = random.Random(n), []
-    for k in range(trials):
+def near_passages(change, n, edits, trials):
+    """Pairs of documents with a passage of ``n`` words between unrelated texts, changed at random places in the second."""
+    rng, rows = random.Random(f"{change} {n} {edits}"), []
+    while len(rows) < 2 * trials:
+        k = len(rows) // 2
         passage = prose(rng, n, 10**6).split()
-        near = passage[: n // 2] + ["changed"] + passage[n // 2 + (change == "replaced") :]
-        rows += [(2 * k + j, " ".join([prose(rng, 60, 10**6), *words, prose(rng, 60, 10**6)])) for j, words in enumerate((passage, near))]
+        near = list(passage)
+        for at in sorted(rng.sample(range(n), edits), reverse=True):
+            near[at : at + (change != "inserted")] = [] if change == "deleted" else [f"changed{rng.randrange(10**6)}"]
+        pair = [(2 * k + j, [*prose(rng, 60, 10**6).split(), *words, *prose(rng, 60, 10**6).split()]) for j, words in enumerate((passage, near))]
+        sets = [[frozenset(zip(*(w[i + d : i + 46 + d] for d in range(5)), strict=True)) for i in range(len(w) - 49)] for _, w in pair]
+        if any(5 * len(a & b) >= 4 * len(a | b) for a in sets[0][25:-25] for b in sets[1][25:-25]):  # some windows of 50 words are alike enough
+            rows += [(i, " ".join(w)) for i, w in pair]
     return rows
 
 
-@pytest.mark.parametrize(("n", "least"), [(50, 0.80), (60, 0.82)])
-def test_substring_dedup_near_passage_recall(spark, n, least):
-    found = {r.doc_id for r in substring_dedup.substring_dedup(spark, docs_of(spark, near_passages("replaced", n, 200))).collect()}
-    assert all(d % 2 for d in found) and len(found) >= least * 200
+#: Change, words of the passage, number of changes.
+CELLS = [(c, n, e) for c in ("replaced", "inserted", "deleted") for n, e in ((60, 1), (60, 2), (100, 1), (100, 3), (200, 4))]
+
+
+def test_substring_dedup_near_passage_recall(spark):
+    """Of pairs with alike windows by brute force, at least nine in ten are found, in each kind of change."""
+    rows, cell_of, n = [], {}, 40
+    for k, cell in enumerate(CELLS):
+        for i, text in near_passages(*cell, n):
+            rows.append((1000 * k + i, text))
+            cell_of[1000 * k + i] = cell
+    spans = substring_dedup.substring_dedup(spark, docs_of(spark, rows)).collect()
+    found = defaultdict(set)
+    for r in spans:
+        assert r.doc_id % 2 and r.source_doc_id == r.doc_id - 1
+        found[cell_of[r.doc_id]].add(r.doc_id)
+    print({c: len(found[c]) / n for c in CELLS})
+    assert sum(map(len, found.values())) >= 0.92 * n * len(CELLS)
+    for change in ("replaced", "inserted", "deleted"):
+        assert sum(len(found[c]) for c in CELLS if c[0] == change) >= 0.9 * n * len(CELLS) / 3
+    assert all(len(found[c]) >= 0.8 * n for c in CELLS)
+
+
+def test_substring_dedup_whatever_the_layout(spark, corpus):
+    """The same spans and sources for one, two and seven partitions, in any order, with small chunks and with large ones."""
+    rng, results = random.Random(41), set()
+    rows = list(corpus) + [(i, "a " * 8 + corpus[80][1]) for i in (701, 705, 702, 709)]
+    whole = substring_dedup.CHUNK_BYTES
+    try:
+        for parts in (1, 2, 7):
+            substring_dedup.CHUNK_BYTES = whole if parts == 1 else 1 << 14
+            rng.shuffle(rows)
+            spans = substring_dedup.substring_dedup(spark, docs_of(spark, rows).repartition(parts)).collect()
+            results.add(tuple(sorted((r.doc_id, r.start_word, r.n_words, r.source_doc_id) for r in spans)))
+    finally:
+        substring_dedup.CHUNK_BYTES = whole
+    assert len(results) == 1
+    sources = {d: s for d, _, _, s in results.pop()}
+    assert {sources[i] for i in (705, 702, 709)} == {sources[701]}
 
 
 def test_substring_dedup_exact_around_a_frequent_line(spark):
@@ -269,16 +310,42 @@ def test_repeated_starts_slides_over_all_starts(kinds):
             assert got.tolist() == [w or p for w, p in zip(want, position, strict=True)]
 
 
-def test_joined_runs_keep_every_start():
-    rng = np.random.default_rng(5)
-    source, i0, shift = rng.integers(0, 4, 200), rng.integers(0, 400, 200), rng.integers(-2, 2, 200)
-    i1 = i0 + rng.integers(0, 9, 200)
-    rows = substring_dedup.joined(source, i0, i1, shift)
+def some_matches(rng, n):
+    m = np.zeros(n, substring_dedup._MATCH)
+    m["doc"], m["source"], m["i0"], m["shift"] = rng.integers(0, 2, n), rng.integers(0, 4, n), rng.integers(0, 400, n), rng.integers(-2, 2, n)
+    m["i1"] = m["i0"] + rng.integers(0, 9, n)
+    return m
 
-    def starts(rows):
-        return [(s, d, i) for s, a, b, d in rows for i in range(a, b + 1)]
 
-    assert sorted(starts(rows.tolist())) == sorted(set(starts(zip(source.tolist(), i0.tolist(), i1.tolist(), shift.tolist(), strict=True))))
+def starts_of(rows):
+    return [(d, s, shift, i) for d, s, a, b, shift in rows.tolist() for i in range(a, b + 1)]
+
+
+def test_joined_runs_keep_every_start():
+    m = some_matches(np.random.default_rng(5), 200)
+    rows = substring_dedup.joined(m)
+    assert sorted(starts_of(rows)) == sorted(set(starts_of(m)))
+
+
+def test_uncovered_starts():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 30):
+        m, cover = some_matches(rng, 40), some_matches(rng, n)
+        hidden = {i for *_, i in starts_of(cover)}
+        left = [x for x in substring_dedup.uncovered(m, cover).tolist()]
+        want = [(d, s, min(o), max(o), h) for d, s, a, b, h in m.tolist() if (o := [i for i in range(a, b + 1) if i not in hidden])]
+        assert left == want
+
+
+def test_substring_dedup_texts_that_share_an_id(spark):
+    rng = random.Random(43)
+    a, b = prose(rng, 80), "zz " + prose(rng, 80)
+    rows = [(1, b), (5, a), (5, b), (6, prose(rng, 70))]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, _cut int, _doc int, _text int, _at int")
+    spans = substring_dedup.substring_dedup(spark, docs)
+    left = substring_dedup.remove_spans(docs, spans)
+    assert left.columns == docs.columns and sorted((r.doc_id, r.text) for r in left.collect()) == sorted([rows[0], rows[1], rows[3]])
+    assert {(r._cut, r._doc, r._text, r._at) for r in left.collect()} == {(1, 2, 3, 4)}
 
 
 def test_quality_ledger(spark, corpus):
