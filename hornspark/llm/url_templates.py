@@ -4,14 +4,18 @@ Base rules come first: a rule fits its host and all subdomains where the url's p
 rule's path; the longest rule wins. The method judges the rest:
 
 1. Digits in a path become ``#``. The distinct (host, shape) pairs, with their pages and labels,
-   are the leaves of a tree per host: host, first segment, second segment, remainder. Everything after
+   are the leaves of a tree per host, with a level for each segment. Everything after
    this step works on these few rows, so a host with a third of all pages costs no more than others.
-2. A segment that takes more than BRANCHES values below one node is variable and becomes ``*``.
+2. From the root down, where a node has more than BRANCHES different next segments, the segment is variable: those
+   with less than 1 / BRANCHES of the node's pages become ``*`` and go on as one branch; frequent
+   literals stay. A leaf that is alone below its node keeps the rest of its path as it is, so that
+   rounds end with the last branching and not with the longest path.
 3. Branches that are statistically similar merge: a child whose share of bad labels does not differ
-   from its siblings' together (two-proportion z-test at 1.96) joins the pool of its parent, and
-   others stand alone; templates merge into first segments, first segments into hosts.
-4. The node that a leaf ends in has the smoothed share of bad labels (bad + PRIOR * p) / (labelled +
-   PRIOR), p being the share over all pages. Above LIMIT, the template is rejected.
+   from its siblings' together (two-proportion z-test at 1.96) is part of its parent, from the
+   leaves up as far as that holds; the node where it ends stands alone. Without labels on either side nothing
+   is known to be similar, and nothing merges.
+4. The merged node that a leaf ends in has the smoothed share of bad labels (bad + PRIOR * p) / (labelled +
+   PRIOR), p being the share over all pages. Above LIMIT, the template is rejected; without any label it is not.
 
 The label of a page is that of the document whose number its path names: bad where quality is 0 or
 toxic is 1 (any of its label rows).
@@ -23,6 +27,8 @@ ids stay; extra columns are left out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +49,6 @@ LIMIT = 0.5
 Z2 = 3.8416
 
 
-
 def host_path(url: Column) -> tuple[Column, Column]:
     whole = F.coalesce(url, F.lit(""))
     at = F.instr(whole, "://")
@@ -61,38 +66,50 @@ def rule_of(host: Column, path: Column) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _merged(nodes: DataFrame, parent: list[str], out: str) -> DataFrame:
-    """``nodes`` with ``out``: whether a node is similar to its siblings, and pooled counts of those that are."""
-    total = nodes.groupBy(*parent).agg(F.sum("labelled").alias("tn"), F.sum("bad").alias("tb"))
-    joined = nodes.join(total, parent)
+def generalised(leaves: DataFrame, scratch: Scratch) -> DataFrame:
+    """Leaves (host, shape, pages, labelled, bad) with ``ups``: the prefixes of their template from the root down, the last being the template."""
+    at = ["host", "prefix"]
+    now = scratch.keep(leaves.withColumn("prefix", F.lit("")).withColumn("ups", F.array(F.lit(""))).withColumn("rest", F.col("shape")))
+    done = []
+    while True:
+        done.append(now.filter("rest = ''"))
+        now = now.filter("rest <> ''").withColumn("seg", F.regexp_extract("rest", "^/[^/]*", 0))
+        if not now.limit(1).count():
+            break
+        children = now.groupBy(*at, "seg").agg(F.sum("pages").alias("own"), F.count(F.lit(1)).alias("leaves"))
+        nodes = children.groupBy(*at).agg(F.count(F.lit(1)).alias("kinds"), F.sum("own").alias("all"), F.sum("leaves").alias("leaves"))
+        steps = children.drop("leaves").join(nodes, at)
+        rare = (F.col("kinds") > BRANCHES) & (F.col("own") * BRANCHES < F.col("all"))
+        alone = F.col("leaves") == 1
+        stepped = now.join(steps, [*at, "seg"])
+        after = F.concat("prefix", F.when(alone, F.col("rest")).when(rare, F.lit("/*")).otherwise(F.col("seg")))
+        rest = F.when(alone, F.lit("")).otherwise(F.expr("substring(rest, length(seg) + 1)"))
+        now = scratch.keep(stepped.select("host", "shape", "pages", "labelled", "bad", after.alias("prefix"), F.array_append("ups", after).alias("ups"), rest.alias("rest")))
+    return reduce(DataFrame.unionByName, done).select("host", "shape", "labelled", "bad", F.col("prefix").alias("template"), "ups")
+
+
+def templates(leaves: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, shape, template, rate) of leaves (host, shape, pages, labelled, bad)."""
+    shapes = scratch.keep(generalised(leaves, scratch))
+    sums = [F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")]
+    ends = scratch.keep(shapes.groupBy("host", "template", "ups").agg(*sums))
+    paths = ends.select("host", "template", "labelled", "bad", "ups", F.posexplode("ups").alias("level", "node"))
+    paths = paths.withColumn("parent", F.when(F.col("level") > 0, F.expr("element_at(ups, greatest(level, 1))"))).drop("ups")
+    nodes = scratch.keep(paths.groupBy("host", "level", "node", "parent").agg(*sums))
+    above = nodes.select("host", (F.col("level") + 1).alias("level"), F.col("node").alias("parent"), F.col("labelled").alias("tn"), F.col("bad").alias("tb"))
     n1, b1 = F.col("labelled").cast("double"), F.col("bad").cast("double")
     n2, b2 = (F.col("tn") - F.col("labelled")).cast("double"), (F.col("tb") - F.col("bad")).cast("double")
     p = F.try_divide(b1 + b2, n1 + n2)
     gap = b1 * n2 - b2 * n1  # (p1 - p2)^2 < z^2 p (1 - p) (1/n1 + 1/n2), times (n1 n2)^2
-    alike = (n1 == 0) | (n2 == 0) | (gap * gap <= Z2 * p * (1 - p) * (n1 + n2) * n1 * n2)
-    return joined.withColumn(out, F.coalesce(alike, F.lit(True))).drop("tn", "tb")
-
-
-def templates(spark: SparkSession, leaves: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, shape, template, rate) of leaves (host, shape, pages, labelled, bad)."""
-    seg = [F.split_part("shape", F.lit("/"), F.lit(k)) for k in (2, 3)]
-    cut = leaves.withColumn("s1", seg[0]).withColumn("s2", seg[1]).withColumn("rest", F.regexp_extract("shape", "^/[^/]*/[^/]*(.*)$", 1))
-    wide1 = cut.groupBy("host").agg((F.count_distinct("s1") > BRANCHES).alias("w1"))
-    cut = cut.join(wide1, "host").withColumn("s1", F.when(F.col("w1"), "*").otherwise(F.col("s1")))
-    wide2 = cut.groupBy("host", "s1").agg((F.count_distinct("s2") > BRANCHES).alias("w2"))
-    cut = scratch.keep(cut.join(wide2, ["host", "s1"]).withColumn("s2", F.when(F.col("w2"), "*").otherwise(F.col("s2"))).withColumn("template", F.concat_ws("/", F.lit(""), "s1", F.concat("s2", "rest"))))
-    sums = [F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")]
-    nodes = _merged(cut.groupBy("host", "s1", "template").agg(*sums), ["host", "s1"], "joins")
-    nodes = nodes.withColumn("branch", F.when(F.col("joins"), "*").otherwise(F.col("template")))
-    pooled = nodes.groupBy("host", "s1", "branch").agg(*sums)
-    branches = _merged(pooled.groupBy("host", "s1").agg(*sums), ["host"], "up").select("host", "s1", "up")
-    pooled = pooled.join(branches, ["host", "s1"]).withColumn("node", F.when((F.col("branch") == "*") & F.col("up"), "*").otherwise(F.concat_ws(" ", "s1", "branch")))
-    final = pooled.groupBy("host", "node").agg(*sums)
+    alike = (n1 > 0) & (n2 > 0) & (gap * gap <= Z2 * p * (1 - p) * (n1 + n2) * n1 * n2)
+    apart = nodes.join(above, ["host", "level", "parent"], "left").filter(~F.coalesce(alike, F.lit(False))).select("host", "level", "node")  # roots are apart
+    units = paths.join(apart, ["host", "level", "node"]).groupBy("host", "template").agg(F.max(F.struct("level", "node")).alias("u"), F.max("labelled").alias("labelled"), F.max("bad").alias("bad"))
+    units = scratch.keep(units.select("host", "template", F.col("u.node").alias("unit"), "labelled", "bad"))
     every = leaves.agg(F.sum("labelled").alias("an"), F.sum("bad").alias("ab"))
     share = F.coalesce(F.try_divide("ab", "an"), F.lit(0.0))
-    rated = final.crossJoin(F.broadcast(every)).withColumn("rate", (F.col("bad") + PRIOR * share) / (F.col("labelled") + PRIOR)).select("host", "node", "rate")  # one row
-    named = nodes.join(pooled.select("host", "s1", "branch", "node"), ["host", "s1", "branch"]).join(rated, ["host", "node"]).select("host", "s1", "template", "rate")
-    return cut.select("host", "s1", "shape", "template").join(named, ["host", "s1", "template"]).select("host", "shape", "template", "rate")
+    rated = units.groupBy("host", "unit").agg(*sums).crossJoin(F.broadcast(every))  # one row
+    rated = rated.select("host", "unit", F.when(F.col("labelled") > 0, (F.col("bad") + PRIOR * share) / (F.col("labelled") + PRIOR)).alias("rate"))
+    return shapes.select("host", "shape", "template").join(units.join(rated, ["host", "unit"]).select("host", "template", "rate"), ["host", "template"])
 
 
 def url_verdicts(spark: SparkSession, pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -104,9 +121,11 @@ def url_verdicts(spark: SparkSession, pages: DataFrame, labels: DataFrame) -> Da
     bad = (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")
     named = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max(bad).alias("is_bad"))
     numbered = p.withColumn("doc", F.regexp_extract("path", "[0-9]+", 0).try_cast("long"))
-    marked = numbered.select("host", "shape", "doc").join(scratch.keep(named), "doc", "left")
-    leaves = scratch.keep(marked.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.count("is_bad").alias("labelled"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad")))
-    rates = scratch.keep(templates(spark, leaves, scratch))
+    counted = numbered.groupBy("host", "shape", "doc").agg(F.count(F.lit(1)).alias("pages"))  # so that shapes without a number are one row each
+    marked = counted.join(scratch.keep(named), "doc", "left")
+    sums = {"pages": F.col("pages"), "labelled": F.when(F.col("is_bad").isNotNull(), F.col("pages")), "bad": F.col("is_bad") * F.col("pages")}
+    leaves = scratch.keep(marked.groupBy("host", "shape").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items())))
+    rates = scratch.keep(templates(leaves, scratch))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     judged = p.join(rates, ["host", "shape"], "left").withColumn("rule", rule)
     own = F.when(F.col("rate") > LIMIT, "block").otherwise("allow")
@@ -118,32 +137,36 @@ def _sql() -> str:
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, kind) for kind, h, p in rules]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{name}'" for f, name, _ in fits) + " END"
     verdict = "CASE " + " ".join(f"WHEN {f} THEN '{kind}'" for f, _, kind in fits) + f" WHEN rate > {LIMIT} THEN 'block' ELSE 'allow' END"
-
-    def alike(n1: str, b1: str, tn: str, tb: str) -> str:
-        n, b, m, c = f"CAST({n1} AS DOUBLE)", f"CAST({b1} AS DOUBLE)", f"CAST({tn} - {n1} AS DOUBLE)", f"CAST({tb} - {b1} AS DOUBLE)"
-        p = f"(({b} + {c}) / ({n} + {m}))"
-        return f"({n1} = 0 OR {tn} = {n1} OR ({b} * {m} - {c} * {n}) * ({b} * {m} - {c} * {n}) <= {Z2} * {p} * (1 - {p}) * ({n} + {m}) * {n} * {m})"
-
+    n, b, m, c = "CAST(n AS DOUBLE)", "CAST(b AS DOUBLE)", "CAST(tn - n AS DOUBLE)", "CAST(tb - b AS DOUBLE)"
+    p = f"(({b} + {c}) / ({n} + {m}))"
+    alike = f"(level > 0 AND n > 0 AND tn > n AND ({b} * {m} - {c} * {n}) * ({b} * {m} - {c} * {n}) <= {Z2} * {p} * (1 - {p}) * ({n} + {m}) * {n} * {m})"
     return f"""
-WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 p AS (SELECT *, regexp_replace(path, '[0-9]+', '#', 'g') AS shape, TRY_CAST(regexp_extract(path, '[0-9]+', 0) AS BIGINT) AS doc FROM h),
 l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS is_bad FROM labels GROUP BY 1),
-v AS (SELECT host, shape, count(is_bad) AS labelled, coalesce(sum(is_bad), 0) AS bad FROM p LEFT JOIN l ON p.doc = l.doc_id GROUP BY 1, 2),
-c0 AS (SELECT *, split_part(shape, '/', 2) AS a1, split_part(shape, '/', 3) AS a2, regexp_extract(shape, '^/[^/]*/[^/]*(.*)$', 1) AS tail FROM v),
-c1 AS (SELECT *, CASE WHEN (SELECT count(DISTINCT x.a1) FROM c0 x WHERE x.host = c0.host) > {BRANCHES} THEN '*' ELSE a1 END AS s1 FROM c0),
-c2 AS (SELECT *, CASE WHEN (SELECT count(DISTINCT x.a2) FROM c1 x WHERE x.host = c1.host AND x.s1 = c1.s1) > {BRANCHES} THEN '*' ELSE a2 END AS s2 FROM c1),
-c AS (SELECT *, '/' || s1 || '/' || s2 || tail AS template FROM c2),
-t AS (SELECT host, s1, template, sum(labelled) AS n, sum(bad) AS b FROM c GROUP BY ALL),
-t2 AS (SELECT *, sum(n) OVER w AS tn, sum(b) OVER w AS tb FROM t WINDOW w AS (PARTITION BY host, s1)),
-t3 AS (SELECT *, CASE WHEN {alike('n', 'b', 'tn', 'tb')} THEN '*' ELSE template END AS branch FROM t2),
-b1 AS (SELECT host, s1, sum(n) AS n, sum(b) AS b FROM t GROUP BY ALL),
-b2 AS (SELECT *, sum(n) OVER w AS tn, sum(b) OVER w AS tb FROM b1 WINDOW w AS (PARTITION BY host)),
-b3 AS (SELECT host, s1, {alike('n', 'b', 'tn', 'tb')} AS up FROM b2),
-t4 AS (SELECT t3.*, CASE WHEN branch = '*' AND up THEN '*' ELSE t3.s1 || ' ' || branch END AS node FROM t3 JOIN b3 ON t3.host = b3.host AND t3.s1 = b3.s1),
-f AS (SELECT host, node, (sum(b) + {PRIOR} * coalesce((SELECT sum(bad) / nullif(sum(labelled), 0) FROM v), 0)) / (sum(n) + {PRIOR}) AS rate FROM t4 GROUP BY ALL),
-z AS (SELECT c.host, c.shape, c.template, f.rate FROM c JOIN t4 ON c.host = t4.host AND c.s1 = t4.s1 AND c.template = t4.template JOIN f ON f.host = t4.host AND f.node = t4.node)
+v AS (SELECT host, shape, count(*) AS pages, count(is_bad) AS n, coalesce(sum(is_bad), 0) AS b FROM p LEFT JOIN l ON p.doc = l.doc_id GROUP BY 1, 2),
+g AS (
+  SELECT host, shape, pages, n, b, '' AS prefix, [''] AS ups, shape AS rest FROM v
+  UNION ALL
+  SELECT host, shape, pages, n, b, prefix || step, list_append(ups, prefix || step), CASE WHEN leaves = 1 THEN '' ELSE substr(rest, length(seg) + 1) END
+  FROM (
+    SELECT *, CASE WHEN leaves = 1 THEN rest WHEN kinds > {BRANCHES} AND own * {BRANCHES} < total THEN '/*' ELSE seg END AS step
+    FROM (
+      SELECT *, count(*) OVER (PARTITION BY host, prefix) AS leaves, sum(pages) OVER (PARTITION BY host, prefix) AS total,
+        sum(pages) OVER (PARTITION BY host, prefix, seg) AS own, count(DISTINCT seg) OVER (PARTITION BY host, prefix) AS kinds
+      FROM (SELECT *, regexp_extract(rest, '^/[^/]*', 0) AS seg FROM g WHERE rest <> '')))),
+s AS (SELECT host, shape, prefix AS template, ups, n, b FROM g WHERE rest = ''),
+t AS (SELECT host, template, ups, sum(n) AS n, sum(b) AS b FROM s GROUP BY ALL),
+x AS (SELECT host, template, n, b, ups, unnest(range(len(ups))) AS level FROM t),
+w AS (SELECT host, template, n, b, level, ups[level + 1] AS node, CASE WHEN level > 0 THEN ups[level] END AS parent FROM x),
+nodes AS (SELECT host, level, node, parent, sum(n) AS n, sum(b) AS b FROM w GROUP BY ALL),
+pairs AS (SELECT c.*, q.n AS tn, q.b AS tb FROM nodes c LEFT JOIN nodes q ON q.host = c.host AND q.level = c.level - 1 AND q.node = c.parent),
+apart AS (SELECT host, level, node FROM pairs WHERE NOT {alike}),
+u AS (SELECT w.host, w.template, any_value(w.n) AS n, any_value(w.b) AS b, arg_max(w.node, w.level) AS unit FROM w JOIN apart USING (host, level, node) GROUP BY 1, 2),
+f AS (SELECT host, unit, CASE WHEN sum(n) > 0 THEN (sum(b) + {PRIOR} * coalesce((SELECT sum(b) / nullif(sum(n), 0) FROM v), 0)) / (sum(n) + {PRIOR}) END AS rate FROM u GROUP BY ALL),
+z AS (SELECT s.host, s.shape, s.template, f.rate FROM s JOIN u USING (host, template) JOIN f ON f.host = u.host AND f.unit = u.unit)
 SELECT page_id, p.host, path, {rule.replace('host', 'p.host')} AS rule, {verdict.replace('host', 'p.host')} AS verdict, template
 FROM p LEFT JOIN z ON p.host = z.host AND p.shape = z.shape
 """

@@ -576,6 +576,45 @@ def test_url_templates(spark):
     assert len(url_templates.url_verdicts(spark, pages, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()) == len(rows)
 
 
+def test_url_templates_tree(spark):
+    """Wildcards at any depth, frequent literals kept, branches that merge and that stand alone; against the SQL."""
+    import duckdb
+
+    rng = random.Random(47)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, labels = [], []
+
+    def page(url, bad=None):
+        k = len(rows) + 1
+        rows.append((k, url.replace("%", str(k)), "x"))
+        if bad is not None:
+            labels.append((k, 0 if bad else 1, 0))
+        return k
+
+    deep = [page(f"http://deep.test/good/7/a/{word()}/{word()}") for _ in range(20)]
+    for _ in range(60):
+        page(f"http://mix.test/{word()}/%.html", True)
+    good = [page("http://mix.test/good/%/x") for _ in range(40)]
+    fine = [page("http://mix.test/fine/%", False) for _ in range(40)]
+    merged = [page(f"http://same.test/x{c}/%", rng.random() < 0.9) for c in "abcd" for _ in range(30)]
+    long_ = page("http://deep.test/" + "z/" * 300)
+    rows += [rows[0], rows[25], (None, "http://mix.test/good/1/x", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, template string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = url_templates.url_verdicts(spark, pages, table).collect()
+    by = {r.page_id: r for r in got}
+    assert {by[k].template for k in deep} == {"/good/#/a/*/*"} and by[long_].template.count("z/") == 300
+    assert by[21].template == "/*/#.html" and by[21].verdict == "block" and {by[k].template for k in good} == {"/good/#/x"}
+    assert {by[k].verdict for k in good + fine} == {"allow"} and {by[k].verdict for k in merged} == {"block"}
+    assert len(got) == len(rows)
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    con.register("labels", table.toPandas())
+    want = con.execute(url_templates.SQL).fetchall()
+    plain = lambda rows: sorted(((None if r[0] is None or r[0] != r[0] else int(r[0]), *r[1:]) for r in rows), key=repr)
+    assert plain(map(tuple, got)) == plain(want)
+
+
 def test_layout():
     page = (
         "<!DOCTYPE html><html><head><title>no</title><style>p{}</style><body><h1>Head &amp; tail</h1><p>one  two<br>three<p>four"
