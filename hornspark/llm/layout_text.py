@@ -3,16 +3,20 @@
 A tokenizer finds tags, comments and text; a tree builder opens and closes elements with implied
 tags (a paragraph ends before a block, list items, rows, cells, options and definition terms end
 before the next, a closing tag closes what is open inside it, stray ones are ignored), and never
-holds more than the open elements, so deep and long pages are safe. Visibility rules leave out head,
-script, style, template, noscript and the like, elements that are ``hidden``, ``aria-hidden=true``,
-or styled ``display:none`` or ``visibility:hidden``, and hidden inputs.
+holds more than the open elements, so deep and long pages are safe. Visibility rules leave out what
+browsers do not draw: head, script, style, template, noscript and the like, fallback content, an svg's
+title, desc, defs and metadata, a formula's annotations, elements that are ``hidden`` or styled
+``display:none``, dialogs without ``open``, and of details without ``open`` all but the first summary.
+``visibility:hidden`` hides text but not the place of its cell, and ``visibility:visible`` inside it shows again.
+What is only ``aria-hidden`` is seen.
 
 Rendering keeps the order of the page: runs of white space collapse to a space, blocks start
 lines, paragraphs and headings stand between blank lines, ``br`` breaks a line, list items get a marker
 and the indent of their depth (numbers in ordered lists), preformatted text keeps its white space,
-and tables are laid out with their columns aligned: each cell padded to the widest of its column
-(cells over CELL_WIDTH characters do not widen it), columns parted by `` | ``. A table inside a
-table is rendered inside its cell.
+and tables are laid out with their columns aligned, parted by `` | ``: each cell is padded to the widest of its
+column, ``colspan`` covers the columns and ``rowspan`` the rows that it says (to the end of the row group at most). Lines of
+cells go on below after CELL_WIDTH characters, at a space where there is one; those of the last column, which
+nothing follows, are left whole. A table inside a table is rendered inside its cell.
 
 Result: page_id, text, n_chars, n_blocks (lines with text), n_cells, n_items.
 
@@ -32,12 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hornspark.llm.common import int64, small_batches
 
+#: Characters of a line in a cell that another column follows.
 CELL_WIDTH = 60
 
 #: Kinds of elements in the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist rp defs desc metadata annotation annotation-xml".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset".split())
 BLOCK = PARAGRAPH | frozenset("address article aside body center details dialog dd div dt fieldset figcaption footer form header hgroup hr html legend li main menu nav option search section summary tr td th caption".split())
 #: Elements that a start tag ends first, and the elements at which the search for them stops.
@@ -59,15 +64,35 @@ _P_STOPS = frozenset({"td", "th", "caption", "button", "table", "object", "html"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HINT = re.compile(r"hidden|display|visibility|start|style", re.I)
+_HINT = re.compile(r"hidden|start|style|open|span", re.I)
 
 
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
+def styles(text: str) -> dict[str, str]:
+    """The declarations of a style attribute; the last of a name counts."""
+    parts = (d.split(":", 1) for d in text.lower().split(";") if ":" in d)
+    return {name.strip(): value.replace("!important", "").strip() for name, value in parts}
+
+
+def span(text: str | None, most: int) -> int:
+    """A colspan or rowspan; 1 where there is no number."""
+    m = re.match(r"\s*\+?(\d{1,9})", text or "")
+    return min(int(m[1]), most) if m else 1
+
+
+def folded(line: str, width: int) -> Iterator[str]:
+    """The line in pieces of at most ``width`` characters, cut at spaces where there are any."""
+    while len(line) > width:
+        at = line.rfind(" ", 1, width + 1)
+        yield line[: at if at > 0 else width]
+        line = line[at + 1 if at > 0 else width :]
+    yield line
+
+
 class Flow:
     """Lines of a block of text: the page, or a table cell."""
 
@@ -139,30 +164,66 @@ class Flow:
 class Table:
     def __init__(self, outer: Flow):
         self.outer = outer
-        self.rows: list[list[list[str]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []  # lines, columns and rows of each cell
+        self.groups: list[int] = []
+        self.group = 0
         self.caption: list[str] = []
 
+    def new_row(self) -> None:
+        self.rows.append([])
+        self.groups.append(self.group)
+
+    def placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """The rows' cells as (first column, column after the last, lines); columns are those that some cell begins or ends at."""
+        out, held = [], []  # held: columns that cells of earlier rows cover, and for how many rows
+        for k, row in enumerate(self.rows):
+            if k and self.groups[k] != self.groups[k - 1]:
+                held = []
+            taken, cells, x, i, later = sorted(held), [], 0, 0, []
+            for lines, wide, tall in row:
+                while i < len(taken) and taken[i][0] <= x:
+                    x = max(x, taken[i][1])
+                    i += 1
+                end = min(x + wide, taken[i][0]) if i < len(taken) else x + wide
+                cells.append((x, end, lines))
+                if tall != 1:
+                    later.append((x, end, tall - 1 if tall else len(self.rows)))
+                x = end
+            held = [(a, b, n - 1) for a, b, n in held if n > 1] + later
+            out.append(cells)
+        edges = {x: i for i, x in enumerate(sorted({0, *(x for row in out for a, b, _ in row for x in (a, b))}))}
+        return [[(edges[a], edges[b], lines) for a, b, lines in row] for row in out]
+
     def render(self) -> list[str]:
-        width: list[int] = []
-        for row in self.rows:
-            for i, cell in enumerate(row):
-                if i == len(width):
-                    width.append(0)
-                width[i] = max([width[i], *(len(x) for x in cell if len(x) <= CELL_WIDTH)])
+        rows = self.placed()
+        last = max((b for row in rows for _, b, _ in row), default=0)
+        width = [0] * last
+        fitted: dict[tuple[int, int], list[str]] = {}
+        inner = sorted(((b - a, r, a, b, lines) for r, row in enumerate(rows) for a, b, lines in row if b < last), key=lambda c: c[:3])
+        for n, r, a, b, lines in inner:  # narrow cells first
+            room = sum(width[a:b]) + 3 * (n - 1)
+            own = fitted[r, a] = [x for line in lines for x in folded(line, CELL_WIDTH if n == 1 else max(CELL_WIDTH, room))]
+            width[b - 1] += max(0, max(map(len, own), default=0) - room)
         out = list(self.caption)
-        for row in self.rows:
-            for k in range(max((len(c) for c in row), default=0)):
-                cells = [(c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(row)]
-                out.append(" | ".join(cells).rstrip())
+        for r, row in enumerate(rows):
+            cells, x = [], 0  # (width, lines) from the left, blanks too
+            for a, b, lines in row:
+                cells += [(width[c], []) for c in range(x, a)]
+                cells.append((sum(width[a:b]) + 3 * (b - a - 1) if b < last else 0, fitted.get((r, a), lines)))
+                x = b
+            for k in range(max((len(own) for _, own in cells), default=0)):
+                out.append(" | ".join((own[k] if k < len(own) else "").ljust(w) for w, own in cells).rstrip())
         return [x for x in out if x.strip(" |")]
 
 
 class Renderer:
     def __init__(self) -> None:
         self.flow = Flow()
-        self.open: list[tuple[str, bool, object]] = []  # tag, hides, what it opened
+        self.open: list[tuple[str, int, bool, object]] = []  # tag, what it adds to unseen, visibility before, what it opened
         self.names: dict[str, int] = {}
         self.unseen = 0
+        self.visible = True
+        self.summaries: list[list] = []  # per details without ``open``: its place among the open elements, and whether its summary was there
         self.lists: list[list] = []
         self.pre = 0
         self.cells = self.items = 0
@@ -194,7 +255,7 @@ class Renderer:
         return self.flow.done()
 
     def text(self, s: str) -> None:
-        if self.unseen:
+        if self.unseen or not self.visible:
             return
         s = html.unescape(s) if "&" in s else s
         if self.pre:
@@ -210,21 +271,31 @@ class Renderer:
         if self.names.get("head") and tag not in HIDDEN and tag not in ("meta", "link", "base"):
             self.end_within({"head"}, {"body"})
         attrs = attributes(rest) if _HINT.search(rest) else {}
-        hides = tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attrs.get("style", "")))
-        if tag == "br":
-            if not self.unseen and not hides:
-                self.flow.end_line()
-            return
+        style = styles(attrs["style"]) if "style" in attrs else {}
+        hides = tag in HIDDEN or "hidden" in attrs or style.get("display") == "none" or (tag == "dialog" and "open" not in attrs)
+        before, adds = self.visible, int(hides)
+        if tag == "summary" and self.summaries and self.summaries[-1] == [len(self.open) - 1, False]:
+            self.summaries[-1][1] = True
+            adds -= 1
+        if style.get("visibility") in ("hidden", "collapse", "visible", "initial"):
+            self.visible = style["visibility"] in ("visible", "initial")
         if tag in VOID:
-            if tag == "hr" and not self.unseen:
-                self.flow.end_paragraph()
+            if not self.unseen and not hides and self.visible:
+                if tag == "br":
+                    self.flow.end_line()
+                elif tag == "hr":
+                    self.flow.end_paragraph()
+            self.visible = before
             return
         made: object = None
-        if not self.unseen and not hides:
+        if self.unseen + adds <= 0:
             made = self.begin(tag, attrs)
-        self.open.append((tag, hides, made))
+        if tag == "details" and "open" not in attrs:
+            self.summaries.append([len(self.open), False])
+            adds += 1
+        self.open.append((tag, adds, before, made))
         self.names[tag] = self.names.get(tag, 0) + 1
-        self.unseen += hides
+        self.unseen += adds
 
     def begin(self, tag: str, attrs: dict[str, str]) -> object:
         if tag == "table":
@@ -236,11 +307,14 @@ class Renderer:
             table = self.table()
             if table is not None:
                 if tag != "caption" and not table.rows:
-                    table.rows.append([])
+                    table.new_row()
                 before, self.flow = self.flow, Flow()
-                return before
-        if tag == "tr" and (table := self.table()) is not None:
-            table.rows.append([])
+                return before, max(1, span(attrs.get("colspan"), 1000)), span(attrs.get("rowspan"), 65534)
+        if tag in ("tr", "thead", "tbody", "tfoot") and (table := self.table()) is not None:
+            if tag == "tr":
+                table.new_row()
+            else:
+                table.group += 1
             return None
         if tag in PARAGRAPH:
             nested = tag in ("ul", "ol") and self.lists
@@ -250,7 +324,7 @@ class Renderer:
         if tag in ("ul", "ol", "menu"):
             first = attrs.get("start", "1")
             self.lists.append([tag, int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1])
-        elif tag == "li":
+        elif tag == "li" and self.visible:
             self.items += 1
             depth = max(0, len(self.lists) - 1)
             mark = "- "
@@ -265,12 +339,14 @@ class Renderer:
     def table(self) -> Table | None:
         if not self.names.get("table"):
             return None
-        return next((m for _, _, m in reversed(self.open) if isinstance(m, Table)), None)
+        return next((m for *_, m in reversed(self.open) if isinstance(m, Table)), None)
 
     def pop(self) -> None:
-        tag, hides, made = self.open.pop()
+        tag, adds, self.visible, made = self.open.pop()
         self.names[tag] -= 1
-        self.unseen -= hides
+        self.unseen -= adds
+        if self.summaries and self.summaries[-1][0] == len(self.open):
+            self.summaries.pop()
         if made is None:
             return
         if isinstance(made, Table):
@@ -278,14 +354,14 @@ class Renderer:
             self.flow = made.outer
             self.flow.block([*loose, *made.render()])
             return
-        if isinstance(made, Flow):
-            lines, self.flow = self.flow.done(), made
+        if isinstance(made, tuple):
+            lines, self.flow = self.flow.done(), made[0]
             table = self.table()
             if tag == "caption":
                 table.caption += lines
             else:
                 self.cells += 1
-                table.rows[-1].append(lines)
+                table.rows[-1].append((lines, *made[1:]))
             return
         if tag in ("ul", "ol", "menu") and self.lists:
             self.lists.pop()

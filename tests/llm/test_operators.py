@@ -630,12 +630,108 @@ def test_layout_odd(page):
     layout_text.page_text(page)
 
 
+def random_page(rng, depth=0):
+    """(html, visible words) of a random tree, each by its own rules; end tags that may be left out are so at random."""
+    out, seen = [], []
+    for _ in range(rng.randint(1, 4)):
+        word = f"w{rng.randrange(10**6)}"
+        kind = rng.choice(["text", "p", "div", "b", "hide", "none", "ul", "invisible", "dialog", "details", "svg", "comment", "a"]) if depth < 4 else "text"
+        inside, words = random_page(rng, depth + 1) if kind not in ("text", "comment", "svg") else ("", [])
+        if kind == "text":
+            out.append(f" {word} ")
+            seen.append(word)
+        elif kind == "p":
+            out.append(f"<p>{word}" + rng.choice(["</p>", "<div></div>"]) + inside)
+            seen += [word, *words]
+        elif kind in ("div", "b", "a"):
+            out.append(f"<{kind} class='hidden' aria-hidden=true>{inside}</{kind}>")
+            seen += words
+        elif kind == "hide":
+            out.append(f"<div {rng.choice(['hidden', 'hidden=until-found'])}>{inside}</div>")
+        elif kind == "none":
+            out.append(f"<span style='color:red; DISPLAY : none !important'>{inside}</span>")
+        elif kind == "invisible":
+            out.append(f"<div style='visibility:hidden'>{word}<i style='visibility:visible'>{word}</i></div>")
+            seen.append(word)
+        elif kind == "ul":
+            out.append(f"<ul><li>{word}<li>{inside}</ul>")
+            seen += [word, *words]
+        elif kind == "dialog":
+            open_ = rng.random() < 0.5
+            out.append(f"<dialog{' open' if open_ else ''}>{inside}</dialog>")
+            seen += words if open_ else []
+        elif kind == "details":
+            open_ = rng.random() < 0.5
+            out.append(f"<details{' open' if open_ else ''}><summary>{word}</summary>{inside}</details>")
+            seen += [word, *(words if open_ else [])]
+        elif kind == "svg":
+            out.append(f"<svg><title>no</title><text> {word} </text></svg>")
+            seen.append(word)
+        else:
+            out.append(f"<!-- {word} -->")
+    return "".join(out), seen
+
+
+def test_layout_words_against_trees():
+    rng = random.Random(53)
+    for _ in range(300):
+        page, words = random_page(rng)
+        assert re.findall(r"w\d+", layout_text.page_text(page)[0]) == words, page
+
+
+def test_layout_tables_against_grids():
+    """Cells with spans, placed slot by slot as the standard says; each word stands where its column starts."""
+    rng = random.Random(59)
+    for _ in range(200):
+        columns, rows = rng.randint(1, 5), rng.randint(1, 6)
+        taken, source, cells, n = set(), "<table>", [], 0
+        for r in range(rows):
+            source += "<tr>"
+            for c in range(columns):
+                if (r, c) in taken:
+                    continue
+                wide = rng.choice([1, 1, 2, 3])
+                while any((r, c + d) in taken for d in range(wide)) or c + wide > columns:
+                    wide -= 1
+                tall = min(rng.choice([1, 1, 2]), rows - r)
+                taken |= {(r + i, c + d) for i in range(tall) for d in range(wide)}
+                n += 1
+                word = f"w{n}" + "x" * rng.randrange(9)
+                cells.append((r, c, word))
+                source += f"<td colspan={wide} rowspan='{tall}'>{word}"
+        text, _, found, _ = layout_text.page_text(source + "</table>after")
+        assert found == n and text.endswith("after")
+        lines = [x for x in text.split("\n")[:-1] if x]
+        where = {w: (k, line.index(w)) for k, line in enumerate(lines) for w in re.findall(r"w\d+x*", line)}
+        for column in range(columns):
+            assert len({where[w][1] for _, c, w in cells if c == column}) <= 1, source
+        for r in range(rows):
+            assert len({where[w][0] for q, _, w in cells if q == r}) <= 1, source
+        order = [where[w] for _, _, w in cells]
+        assert order == sorted(order)
+
+
+def test_layout_long_cells_stay_aligned():
+    words = [f"v{k}" for k in range(60)]
+    text = layout_text.page_text(f"<table><tr><td>{' '.join(words)}<td>x<tr><td>{'y' * 200}<td>{' '.join(words)}</table>")[0]
+    lines = text.split("\n")
+    assert re.findall(r"v\d+", "\n".join(lines[:-4])) == words and lines[-4].endswith(" | " + " ".join(words))
+    assert {line.index("|") for line in lines} == {61} and text.count("y") == 200
+    assert [layout_text.span(x, 1000) for x in (None, "", "2", " 3px", "x", "99999", "-1")] == [1, 1, 2, 3, 1, 1000, 1]
+
+
+def test_layout_very_long_pages():
+    page = "<ul>" + "<li>one <b>two</b>" * 20_000 + "</ul>" + "<table>" + "<tr><td>a<td>b" * 20_000
+    text, blocks, cells, items = layout_text.page_text(page)
+    assert (cells, items, blocks) == (40_000, 20_000, 40_000) and text.endswith("a | b")
+
+
 def test_layout_hidden():
     assert layout_text.page_text("<p hidden>a<p>b")[0] == "b"
 
 
 def test_layout_rows(spark):
-    pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "u", "<p>a", 1, 2, "no"), (1, "u", "<p>a", 1, 2, "no"), (None, None, None, 1, 2, "no")], "page_id long, url string, html string, n_chars int, n_cells int, text string")
     got = layout_text.layout_text(spark, pages).collect()
     assert sorted((r.page_id or 0, r.text) for r in got) == [(0, ""), (1, "a"), (1, "a")]
     assert layout_text.layout_text(spark, pages.limit(0)).collect() == []
