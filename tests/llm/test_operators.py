@@ -392,19 +392,66 @@ def test_spaced_seeds(spark, corpus):
     got = {(r.doc_id, r.item_id) for r in spaced_seeds.contaminated(spark, docs_of(spark, rows + corpus), bench).collect()}
     assert got == {(1, 0), (2, 1), (5, 7), (7, None), (None, 4)}
     clean = spaced_seeds.clean_documents(spark, docs_of(spark, rows), bench)
-    assert {r.doc_id for r in clean.collect()} == {3, 4, 6, 8, None}
+    assert {r.doc_id for r in clean.collect()} == {3, 4, 6, 8}
     assert spaced_seeds.contaminated(spark, docs_of(spark, []), bench).collect() == []
     assert spaced_seeds.contaminated(spark, docs_of(spark, rows), bench.limit(0)).collect() == []
 
 
-def test_spaced_seeds_in_blocks(spark, monkeypatch):
-    rng = random.Random(17)
-    items = [(k, prose(rng, 30)) for k in range(9)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    docs = docs_of(spark, [(k, f"{prose(rng, 9)} {t}") for k, t in items])
-    monkeypatch.setattr(spaced_seeds, "BLOCK_WORDS", 60)
-    assert len(list(spaced_seeds.blocks(bench))) > 2
-    assert {(r.doc_id, r.item_id) for r in spaced_seeds.contaminated(spark, docs, bench).collect()} == {(k, k) for k in range(9)}
+def test_masks_leave_a_seed_in_every_allowed_pattern():
+    for n in range(spaced_seeds.SHORTEST, spaced_seeds.WINDOW + 1):
+        whole = [sum(1 << (o + k) for k in mask) for mask in spaced_seeds.MASKS for o in range(n - mask[-1])]
+        for bad in itertools.combinations(range(n), n // 5):
+            gone = sum(1 << x for x in bad)
+            assert any(not o & gone for o in whole), (n, bad)
+
+
+def brute_passages(docs, items):
+    """By document and item, the most equal words of a window, for those with a passage."""
+    words = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    out = {}
+    for d, text in docs:
+        w = words(text)
+        for i, item in items:
+            q = words(item)
+            size = min(20, len(q))
+            if size < 8:
+                continue
+            for shift in range(-len(q), len(w)):
+                for a in range(len(q) - size + 1):
+                    if 0 <= a + shift and a + shift + size <= len(w):
+                        equal = sum(x == y for x, y in zip(q[a : a + size], w[a + shift : a + shift + size], strict=True))
+                        if 5 * equal >= 4 * size:
+                            out[d, i] = max(out.get((d, i), (0, 0, 0)), (equal, -a, -a - shift))
+    return {(d, i, -a, -p, e) for (d, i), (e, a, p) in out.items()}
+
+
+def test_spaced_seeds_against_brute_force(spark):
+    rng = random.Random(61)
+    items = [(k, prose(rng, rng.choice([7, 8, 9, 10, 15, 20, 30, 45]), 60 if k % 3 else 4000)) for k in range(14)] + [(3, prose(rng, 12)), (None, prose(rng, 22))]
+    docs = []
+    for k in range(60):
+        words = prose(rng, 30, 60).split()
+        for _ in range(rng.randrange(3)):
+            q = rng.choice(items)[1].split()
+            for at in rng.sample(range(len(q)), min(len(q), rng.choice([0, 1, 2, 3, 5, 9]))):
+                q[at] = "other"
+            words[len(words) // 2 : len(words) // 2] = q[rng.randrange(4) :]
+        docs.append((k, " ".join(words)))
+    docs += [(None, items[0][1] + " " + items[1][1]), (77, " ".join(items[5][1].split() * 300)), (78, None), (79, ""), docs[0]]
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id int, text string, doc_id long")
+    got = spaced_seeds.contaminated(spark, docs_of(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id, r.item_start, r.doc_start, r.n_equal) for r in got} == brute_passages(docs, items) and len(got) > 12
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got})
+
+
+def test_clean_documents_goes_by_rows(spark):
+    rng = random.Random(67)
+    item = prose(rng, 30)
+    rows = [(1, "a " + item), (1, prose(rng, 40)), (None, item), (None, "left"), (2, None), (2, None)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, _own int, _hit int, seed int, stretch int")
+    clean = spaced_seeds.clean_documents(spark, docs, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert clean.columns == docs.columns and sorted(((r.doc_id, r.text, r._own, r._hit) for r in clean.collect()), key=repr) == sorted([(i, t, 1, 2) for i, t in (rows[1], *rows[3:])], key=repr)
+    assert spaced_seeds.clean_documents(spark, docs.limit(0), spark.createDataFrame([(9, item)], "item_id long, text string")).collect() == []
 
 
 def test_license_templates(spark):
