@@ -3,15 +3,17 @@
 A document is its token ids and a closing id 0. Longer ones are cut from the end into pieces of 2048
 tokens, so that only the first piece is shorter. Pieces of equal length are alike, so the plan needs
 only how many pieces there are of each length: a table of at most 2048 counts, whatever the
-corpus. The planner, on the driver, takes the longest length left and looks its gap up among the
-available single lengths, pair sums and triple sums (hashed by their sum); where a combination fills
+corpus. The planner, on the driver, takes the longest length left and looks its gap up in hash tables by sum:
+the single lengths, the pairs of lengths with that sum, and for triples each length with the pairs of the
+sum that is left (listing triples themselves would take a hundred million entries). Entries whose
+pieces are used up are passed over for good. Where a combination fills
 the gap exactly, as many sequences as the counts allow are closed at once. Lengths that no
 combination completes go best-fit: the fullest open sequence that has room.
 
 The plan is a list of blocks: ``m`` sequences that each take a piece of given lengths. Its size is
 bounded by the lengths, not the pieces. Pieces get their rank among equal lengths from counts per
-hash bucket and a rank inside a bucket, so a length that a third of all pieces have is spread over
-many tasks.
+hash bucket and a rank inside a bucket; pieces are numbered as they are written, so equal rows part, too. A length has a bucket for each BUCKET_ROWS of its pieces, so one that a
+third of all pieces have is spread over as many tasks as it needs.
 
 Cases: null and empty texts are one piece of the single id 0. Repeated rows are packed as often as
 they occur; null ids stay null. Other columns are ignored. An empty table has no pieces.
@@ -34,8 +36,8 @@ from hornspark.llm.common import Scratch, int64, small_batches, texts
 
 SIZE = 2048
 TOKENIZER = "byte_bpe_50k.json"
-#: Hash buckets that number the pieces of one length.
-BUCKETS = 64
+#: Pieces of one length in a hash bucket, about; what one task ranks.
+BUCKET_ROWS = 100_000
 
 
 class Encoder:
@@ -81,8 +83,10 @@ def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
+        from pyspark import TaskContext
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path)
+        encoder, number = Encoder(path), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
@@ -90,7 +94,9 @@ def _pieces(path: str):
                 for k, (start, length) in enumerate(cut(len(ids))):
                     rows.append((doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(int64(c) for c in cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            numbers = np.arange(number, number + len(rows))
+            number += len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(int64(c) for c in cols[2:]), int64(numbers)], ["doc_id", "piece", "start", "length", "ids_crc32", "number"])
 
     return run
 
@@ -113,6 +119,33 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[Block]:
     return min((_plan(counts, size, parts) for parts in (3, 2, 1)), key=lambda blocks: sum(b.count for b in blocks))
 
 
+class SumIndex:
+    """Pairs of lengths by their sum, the longer one first and longest pairs first; ``left`` says what there still is."""
+
+    def __init__(self, left: dict[int, int]):
+        self.left = left
+        self.all = np.array(sorted(left, reverse=True), np.int64)
+        self.there = np.zeros(int(self.all[0]) + 1 if len(self.all) else 1, bool)
+        self.there[self.all] = True
+        self.table: dict[int, list[int]] = {}
+        self.gone: dict[int, int] = {}
+
+    def lengths(self, below: int) -> Iterator[int]:
+        return (int(a) for a in self.all[np.searchsorted(-self.all, -below, "right") :] if a in self.left)
+
+    def pairs(self, total: int) -> Iterator[tuple[int, int]]:
+        longer = self.table.get(total)
+        if longer is None:
+            a = self.all[(self.all < total) & (2 * self.all >= total)]
+            b = total - a
+            longer = self.table[total] = a[(b < len(self.there)) & self.there[np.minimum(b, len(self.there) - 1)]].tolist()
+        k = self.gone.get(total, 0)
+        while k < len(longer) and not (longer[k] in self.left and total - longer[k] in self.left):
+            k += 1  # used up, and pieces never come back
+        self.gone[total] = k
+        return ((a, total - a) for a in longer[k:] if a in self.left and total - a in self.left)
+
+
 def _plan(counts: dict[int, int], size: int, parts: int) -> list[Block]:
     left = {n: c for n, c in counts.items() if c > 0}
     blocks: list[Block] = []
@@ -130,27 +163,19 @@ def _plan(counts: dict[int, int], size: int, parts: int) -> list[Block]:
     def uses(lengths: tuple[int, ...]) -> int:
         return min(left.get(n, 0) // lengths.count(n) for n in lengths)
 
+    index = SumIndex(left) if parts > 1 else None
+
     def complement(n: int, gap: int) -> tuple[int, ...] | None:
         """Lengths of one, two or three pieces that sum to ``gap``, the longest first, as far as there are any."""
         if gap in left and uses((n, gap)):
             return (gap,)
-        keys = sorted((k for k in left if k < gap), reverse=True) if parts > 1 else []
-        for a in keys:  # pair sums: a's partner is found by its value
-            if 2 * a < gap:
-                break
-            if gap - a in left and uses((n, a, gap - a)):
-                return (a, gap - a)
-        for a in keys if parts > 2 else []:  # triple sums: a with the pairs of the rest
+        if parts > 1 and (pair := next((p for p in index.pairs(gap) if uses((n, *p))), None)):
+            return pair
+        for a in index.lengths(gap) if parts > 2 else ():
             if 3 * a < gap:
                 break
-            rest = gap - a
-            for b in keys:
-                if b > a or b >= rest:
-                    continue
-                if 2 * b < rest:
-                    break
-                if rest - b in left and uses((n, a, b, rest - b)):
-                    return (a, b, rest - b)
+            if pair := next((p for p in index.pairs(gap - a) if p[0] <= a and uses((n, a, *p))), None):
+                return (a, *pair)
         return None
 
     residual: dict[int, int] = {}
@@ -248,17 +273,19 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) ->
         tokenizer = public_tokenizers.path(TOKENIZER)
     small_batches(spark)
     scratch = Scratch(spark, "packing")
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
-    pieces = scratch.keep(pieces.withColumn("bucket", bucket))
-    sizes = pieces.groupBy("length", "bucket").count().toPandas().sort_values(["length", "bucket"])  # at most 2048 * BUCKETS rows
-    if sizes.empty:
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long, number long")
+    pieces = scratch.keep(pieces)
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most SIZE rows
+    if not counts:
         return scratch.finish(pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-    sizes["before"] = sizes.groupby("length")["count"].cumsum() - sizes["count"]
-    blocks = plan({int(n): int(c) for n, c in sizes.groupby("length")["count"].sum().items()})
-    table = np.array(sorted(slots(blocks)), np.int64)
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    before = F.broadcast(spark.createDataFrame(sizes[["length", "bucket", "before"]].astype("int64")).withColumn("bucket", F.col("bucket").cast("int")))
-    ranked = pieces.withColumn("within", within).join(before, ["length", "bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within") - 1).alias("rank"))
+    table = np.array(sorted(slots(plan(counts))), np.int64)
+    buckets = F.broadcast(spark.createDataFrame([(n, 1 + c // BUCKET_ROWS) for n, c in counts.items()], "length long, buckets long"))  # at most SIZE rows
+    bucket = F.pmod(F.xxhash64("number"), F.col("buckets"))
+    dealt = pieces.join(buckets, "length").withColumn("bucket", bucket).drop("buckets")
+    order = Window.partitionBy("length").orderBy("bucket")
+    sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))  # a row for each BUCKET_ROWS pieces, and one a length
+    before = scratch.keep(sizes.select("length", "bucket", (F.sum("n").over(order) - F.col("n")).alias("before")))
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("number"))
+    ranked = dealt.withColumn("within", within).join(before, ["length", "bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within") - 1).alias("rank"))
     placed = ranked.mapInArrow(_place(spark.sparkContext.broadcast(table)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return scratch.finish(placed)

@@ -46,7 +46,6 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from hornspark.llm.common import (
     CHUNK_BYTES,
-    FILTER_BITS,
     Hasher,
     Scratch,
     distinct,
@@ -229,8 +228,8 @@ def _bounds(a: str, b: str):
     return alike & (most * (NUM + DEN) >= (na + nb) * NUM)
 
 
-def _segments(sketch, wanted):
-    """(nid, cut, part): the shingles of wanted classes in each fragment of the order."""
+def _segments(sketch):
+    """(nid, cut, part): the shingles of classes in each fragment of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen, size = Hasher(), set(), 0
@@ -239,7 +238,7 @@ def _segments(sketch, wanted):
             nids, cuts, parts = [], [], []
             for text in texts(batch):
                 s = shingle_set(text, hasher)
-                if not len(s) or (nid := class_id(s)) in seen or not wanted.value[nid & (FILTER_BITS - 1)]:
+                if not len(s) or (nid := class_id(s)) in seen:
                     continue
                 seen.add(nid)
                 size += s.nbytes
@@ -261,10 +260,9 @@ def _segments(sketch, wanted):
 
 def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) that link: the overlap in each fragment, summed. segments: (nid, cut, part)."""
-    held = split_by(segments, pairs.select(F.explode(F.array("a", "b")).alias("nid")), "nid")[0]
-    sides = [held.select(F.col("nid").alias(x), "cut", F.col("part").alias(f"part_{x}")) for x in "ab"]
     met = pairs.withColumn("cut", F.explode(F.array(*map(F.lit, range(CUTS + 1)))))
-    for x, side in zip("ba", sides[::-1], strict=True):
+    for x in "ba":
+        side = segments.select(F.col("nid").alias(x), "cut", F.col("part").alias(f"part_{x}"))
         met = met.hint("merge").join(side, [x, "cut"])
     partial = met.select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("both"))
     counted = partial.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("both").alias("both"))
@@ -337,16 +335,6 @@ def sketched(heavy: DataFrame) -> np.ndarray:
     return out
 
 
-def bit_table(nids: DataFrame) -> np.ndarray:
-    """Of FILTER_BITS classes by the low bits of ``nid``, which are there; at most FILTER_BITS / 64 rows come to the driver."""
-    at = F.col("nid").bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = nids.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, CAST(nid & 63 AS INT))").alias("bit"))
-    rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    words = np.zeros(FILTER_BITS // 64, "<i8")
-    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-
-
 def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, heavy: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of the classes that link with another."""
     sketch = spark.sparkContext.broadcast(sketched(heavy))
@@ -359,15 +347,16 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, heavy
     scratch.free(useful)
     few, many = entries.filter(F.col("k") <= FEW).drop("k"), entries.filter(F.col("k") > FEW).drop("k")
     first = scratch.keep(_all_pairs(few).unionByName(_leaders(many, 0)).distinct())
-
     passed = scratch.keep(_bitmap_passed(first, classes))
-    wanted = spark.sparkContext.broadcast(bit_table(passed.select(F.explode(F.array("a", "b")).alias("nid")).unionByName(many.select("nid"))))
-    parts = docs.select("text").mapInArrow(_segments(sketch, wanted), "nid long, cut int, part array<long>")
-    segments = scratch.keep(parts.groupBy("nid", "cut").agg(F.first("part").alias("part")))
 
     def resolve(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that link."""
-        return scratch.keep(verified(pairs, segments).select("a", "b"))
+        """Those of the pairs that link. Only documents that name one of their classes are read on, and their segments shuffled once."""
+        nids = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+        roots = scratch.keep(nids.join(classes, "nid").select(F.col("root").alias("doc_id")))
+        held = split_by(docs, roots, "doc_id")[0].select("text").mapInArrow(_segments(sketch), "nid long, cut int, part array<long>")
+        out = scratch.keep(verified(pairs, held.groupBy("nid", "cut").agg(F.first("part").alias("part"))).select("a", "b"))
+        scratch.free(roots)
+        return out
 
     best = passed.groupBy("b").agg(F.min(F.struct("differ", "a", "na", "nb")).alias("m")).select("m.a", "b", "m.na", "m.nb")
     best = scratch.keep(best)  # one likely partner each joins most groups

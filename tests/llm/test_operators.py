@@ -484,7 +484,9 @@ def test_license_automata_against_patterns():
             assert own == bool(pattern.search(" " + " ".join(words) + " ")), (label, words)
 
 
-def test_packing(spark, corpus):
+@pytest.mark.parametrize("rows", [100_000, 2])
+def test_packing(spark, corpus, monkeypatch, rows):
+    monkeypatch.setattr(best_fit_packing, "BUCKET_ROWS", rows)
     got = best_fit_packing.pack(spark, docs_of(spark, corpus + [(4, "one two")])).toPandas()
     import public_tokenizers
     from tokenizers import Tokenizer
