@@ -14,8 +14,9 @@ texts of assistant turns that are new in the window; repeated turns are masked,
 once. A window row carries its text, the first new turn, the number of repeated turns, and the mask as
 (start, end) code point spans.
 
-The rows of a conversation stream through one task sorted, with memory for one window's turns; the
-read-back runs over the windows in order. A conversation of any length needs no more.
+Tokens are counted where the rows lie, before the shuffle. Then the rows of a conversation stream through one task
+sorted, with memory for one window's turns; the read-back runs over the windows in order. A conversation of any length
+needs no more, but its turns pass one after another: a digest over all of them cannot be split.
 
 Cases: null texts and roles are empty, a null turn sorts first, equal turns sort by role and text
 and all stay. Null conv_id is a conversation of its own. An empty table gives no rows.
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hornspark.llm.best_fit_packing import Encoder
 from hornspark.llm.common import int64, small_batches
 
 BUDGET = 2048
@@ -142,28 +144,34 @@ class Windower:
             yield self._close()
 
 
-def sorted_turns(conversations: DataFrame) -> DataFrame:
-    """All turns, a conversation's together and in order."""
-    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+def sorted_turns(counted: DataFrame) -> DataFrame:
+    """All turns (conv_id, turn, role, text, tokens), a conversation's together and in order."""
+    return counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", "tokens")
 
 
-def _windows(path: str, budget: int, history: int):
+def _counted(path: str):
+    """The turns with the number of tokens of each as written."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+        encoder = Encoder(path, added=False)
+        for batch in batches:
+            roles, texts = (batch.column(i).to_pylist() for i in (2, 3))
+            lengths = [len(encoder.encode(turn_text(r, t)[0])) for r, t in zip(roles, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, int64(lengths)], [*batch.schema.names, "tokens"])
+
+    return run
+
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+def _windows(budget: int, history: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, now = None, None
 
         def rows(found, conv) -> list[tuple]:
             return [(conv, w.first_new, w.repeated, w.text, [x for s in w.mask for x in s], w.tokens) for w in found]
 
         for batch in batches:
-            ids, roles, texts = (batch.column(i).to_pylist() for i in range(3))
-            lengths = [len(e.ids) for e in tokenizer.encode_batch([turn_text(r, t)[0] for r, t in zip(roles, texts, strict=True)], add_special_tokens=False)]
             out = []
-            for c, role, text, n in zip(ids, roles, texts, lengths, strict=True):
+            for c, role, text, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if now is None or c != conv:
                     if now is not None:
                         out += rows(now.end(), conv)
@@ -189,8 +197,10 @@ def chat_windows(spark: SparkSession, conversations: DataFrame, tokenizer: str |
 
         tokenizer = public_tokenizers.path(TOKENIZER)
     small_batches(spark)
-    turns = sorted_turns(conversations.withColumn("conv_id", F.col("conv_id").cast("long")))
-    return turns.mapInArrow(_windows(tokenizer, budget, history), "conv_id long, first_new long, repeated long, formatted string, mask array<long>, tokens long")
+    role, text = (F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text"))
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role, text)
+    counted = turns.mapInArrow(_counted(tokenizer), "conv_id long, turn long, role string, text string, tokens long")
+    return sorted_turns(counted).mapInArrow(_windows(budget, history), "conv_id long, first_new long, repeated long, formatted string, mask array<long>, tokens long")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,11 @@
 """Operator 6: license scans by matching template markup.
 
 A template is mandatory wording with regions: ``[[ ... ]]`` may be left out, ``<<n>>`` stands for up
-to n words of any kind (names, years). A template compiles into an automaton over words: states
+to n words of any kind and ``<<m-n>>`` for m to n (names, years, numbers of versions). A template compiles into an automaton over words: states
 with an edge per word, empty edges around optional regions, and wildcard states for replaceable
 ones. A text is accepted where all its mandatory words match exactly, in order and without a gap.
-The automaton starts only where a template's first words stand.
+The automaton starts only where a template's first words stand, in texts that hold its longest mandatory run.
+There are templates for whole license bodies, for the headers of source files, and for short notices.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the whole text after lower-casing A-Z. Base labels
 come from phrases; n_base counts all their places.
@@ -30,15 +31,37 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 
 #: Wording of public licenses as templates, by label.
 TEMPLATES = {
+    "apache-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"
+    " [[ http ]] [[ https ]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"
+    " without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "apache-notice": "licensed under the apache license version 2 0 [[ the license ]] you may not use this file except in compliance with the license",
+    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    " [[ 1 ]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    " [[ 2 ]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+    " [[ [[ 3 ]] neither the name of <<1-8>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission ]]"
+    " this software is provided by <<1-8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-grant": "licensed under [[ a ]] [[ the ]] creative commons attribution [[ share alike ]] <<2>> [[ international ]] license",
-    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "cc-grant": "licensed under [[ a ]] [[ the ]] creative commons attribution [[ non commercial ]] [[ noncommercial ]] [[ share alike ]] [[ sharealike ]] <<2>> [[ international ]] [[ public ]] license",
+    "copyright-notice": "copyright [[ c ]] <<1-4>> all rights reserved",
+    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu [[ lesser ]] [[ affero ]] general public license as published by the free software foundation"
+    " either version <<1-2>> of the license or [[ at your option ]] any later version this program is distributed in the hope that it will be useful but without any warranty"
+    " without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [[ lesser ]] [[ affero ]] general public license for more details",
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu [[ lesser ]] [[ affero ]] general public license as published by the free software foundation",
+    "isc-body": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+    " the software is provided as is and <<1-8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+    " in no event shall <<1-8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"
+    " whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "mit-body": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+    " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+    " subject to the following conditions the above copyright notice and this permission notice [[ including the next paragraph ]] shall be included in all copies or substantial portions of the software"
+    " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+    " in no event shall the <<1-8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "release-notice": "[[ this <<3>> is ]] released under the <<6>> license",
-    "spdx-tag": "spdx license identifier <<1>>",
-    "copyright-notice": "copyright [[ c ]] <<4>> all rights reserved",
+    "release-notice": "[[ this <<1-3>> is ]] released under the <<1-4>> license",
+    "spdx-tag": "spdx license identifier <<1-6>>",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"
+    " either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
 }
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -83,7 +106,7 @@ class Automaton:
 
 
 def parse(template: str) -> list:
-    """The markup as a list of words (str), wildcards (int) and optional regions (list)."""
+    """The markup as a list of words (str), wildcards (least and most words) and optional regions (list)."""
     stack: list[list] = [[]]
     for token in template.split():
         if token == "[[":
@@ -92,7 +115,8 @@ def parse(template: str) -> list:
             region = stack.pop()
             stack[-1].append(region)
         elif token.startswith("<<"):
-            stack[-1].append(int(token[2:-2]))
+            least, _, most = token[2:-2].rpartition("-")
+            stack[-1].append((int(least or 0), int(most)))
         else:
             stack[-1].append(token)
     return stack[0]
@@ -114,12 +138,13 @@ def compile_template(template: str) -> Automaton:
                 start = len(word)
                 build(part)
                 skip[start].append(len(word))
-            elif isinstance(part, int):
+            elif isinstance(part, tuple):
+                least, most = part
                 begin = len(word)
-                for _ in range(part):
+                for _ in range(most):
                     step(None, True)
-                for s in range(begin, begin + part):
-                    skip[s].append(begin + part)
+                for s in range(begin + least, begin + most):
+                    skip[s].append(begin + most)
             else:
                 step(part.encode(), False)
 
@@ -133,7 +158,7 @@ def pattern(template: str) -> str:
     def part(p) -> str:
         if isinstance(p, list):
             return "(" + "".join(map(part, p)) + ")?"
-        return f"([^ ]+ ){{0,{p}}}" if isinstance(p, int) else p + " "
+        return f"([^ ]+ ){{{p[0]},{p[1]}}}" if isinstance(p, tuple) else p + " "
 
     return " " + "".join(map(part, parse(template)))
 
@@ -150,9 +175,11 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         places, base, own = [], set(), set()
         for phrase, _, label in self.phrases:
-            at = line.find(phrase)
+            at, before, seen = line.find(phrase), 0, 0
             while at >= 0:
-                places.append(line.count(b" ", 0, at))
+                seen += line.count(b" ", before, at)  # blanks since the place before
+                before = at
+                places.append(seen)
                 base.add(label)
                 at = line.find(phrase, at + 1)
         for label, auto in self.automata.items():
@@ -169,7 +196,7 @@ class Scanner:
 def _anchor(parts: list) -> bytes:
     """The longest run of mandatory words."""
     runs, run = [], []
-    for p in [*parts, 0]:
+    for p in [*parts, ()]:
         if isinstance(p, str):
             run.append(p)
         else:

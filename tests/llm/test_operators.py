@@ -468,20 +468,54 @@ def test_license_templates(spark):
     assert got[6].labels == "copyright-notice" and got[7].labels == "" and (got[8].n_base, got[8].last_word) == (2, 2) and got[9].labels == "gpl"
 
 
-def test_license_automata_against_patterns():
-    rng = random.Random(19)
-    scanner = license_templates.Scanner()
-    for label, template in license_templates.TEMPLATES.items():
-        pattern = re.compile(license_templates.pattern(template))
-        vocabulary = re.sub(r"[\[\]<>]|<<\d>>", " ", template).split() + ["foo"]
-        for _ in range(150):
-            words = [w for w in re.sub(r"<<(\d)>>", lambda m: " foo" * rng.randrange(int(m[1]) + 2), template).split() if w not in ("[[", "]]") or rng.random() < 0]
-            for _ in range(rng.choice([0, 0, 1, 2])):
-                at = rng.randrange(len(words))
-                words[at : at + rng.randrange(2)] = [rng.choice(vocabulary)]
-            words = ["foo"] * rng.randrange(3) + words
-            own = scanner.accepts(scanner.automata[label], [w.encode() for w in words])
-            assert own == bool(pattern.search(" " + " ".join(words) + " ")), (label, words)
+def instance(rng, parts, regions):
+    """Words of a template, with wildcards filled and its regions as ``regions`` says."""
+    out = []
+    for p in parts:
+        if isinstance(p, list):
+            out += instance(rng, p, regions) if regions() else []
+        elif isinstance(p, tuple):
+            out += [f"name{rng.randrange(99)}" for _ in range(rng.randint(*p))]
+        else:
+            out.append(p)
+    return out
+
+
+@pytest.mark.parametrize("label", sorted(license_templates.TEMPLATES))
+def test_license_automata_against_patterns(label):
+    rng, scanner = random.Random(19), license_templates.Scanner()
+    template = license_templates.TEMPLATES[label]
+    pattern, parts = re.compile(license_templates.pattern(template)), license_templates.parse(template)
+    outcomes = set()
+    for k in range(200):
+        words = instance(rng, parts, lambda: rng.random() < 0.5)
+        if k % 2 == 0:
+            said = scanner.scan("; ".join(["Other"] * rng.randrange(3) + [w.title() for w in words]) + ".\n")
+            assert label in said[5].split(",") and said[6] == 1.0, words
+        for _ in range(rng.choice([1, 2])):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = [rng.choice([*words, "foo"])]
+        words = ["foo"] * rng.randrange(3) + words
+        own = scanner.accepts(scanner.automata[label], [w.encode() for w in words])
+        assert own == bool(pattern.search(" " + " ".join(words) + " ")), words
+        outcomes.add(own)
+    assert False in outcomes
+
+
+def test_license_places_in_long_texts():
+    import time
+
+    text = "see the mit license or gnu general public license, " * 40_000
+    t = time.perf_counter()
+    n_words, n_base, first, last, base, *_ = license_templates.Scanner().scan(text)
+    assert (n_words, n_base, first, last, base) == (360_000, 80_000, 2, 359_996, "gpl,mit") and time.perf_counter() - t < 5
+
+
+def test_license_rows(spark):
+    docs = spark.createDataFrame([(None, "MIT license", 1), (1, "MIT license", 2), (1, "MIT license", 3), (2, None, 4)], "doc_id int, text string, labels int")
+    got = license_templates.license_scan(spark, docs).collect()
+    assert sorted(((r.doc_id, r.n_words, r.labels) for r in got), key=repr) == sorted([(None, 2, "mit"), (1, 2, "mit"), (1, 2, "mit"), (2, 0, "")], key=repr)
+    assert license_templates.license_scan(spark, docs.limit(0)).collect() == []
 
 
 @pytest.mark.parametrize("rows", [100_000, 2])
@@ -582,6 +616,22 @@ def test_chat_round_trip(spark):
     assert chat_windows.chat_windows(spark, table.limit(0)).collect() == []
 
 
+def test_chat_long_texts_and_empty_tables(spark):
+    rng = random.Random(71)
+    rows = [(1, 0, "user", prose(rng, 30_000)), (1, 1, "assistant", prose(rng, 20_000)), (2, 0, "assistant", "")]
+    table = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = {r.conv_id: r for r in chat_windows.read_back(chat_windows.chat_windows(spark, table)).collect()}
+    assert got[1].loss_sha256 == hashlib.sha256(rows[1][3].encode()).hexdigest() and got[1].n_windows == 2 and got[2].loss_chars == 0
+    assert chat_windows.read_back(chat_windows.chat_windows(spark, table.limit(0))).collect() == []
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    windows = chat_windows.chat_windows(spark, spark.createDataFrame([(3, 0, "user", "a<|endoftext|> b %")], "conv_id int, turn int, role string, text string")).collect()
+    assert windows[0].tokens == len(tokenizer.encode(windows[0].formatted, add_special_tokens=False).ids)
+
+
 def test_warc_round_trip(spark):
     body = "a body of more than a hundred bytes, with\r\n\r\nblank lines and WARC/1.1\r\n" * 3
     rows = [(5, "http://a/", body), (3, "http://b/ x", body), (None, None, body), (4, "u", None), (6, "u", ""), (7, "u", "é" * 49), (8, "u", "é" * 49), (9, "u", "é" * 50), (10, "u", "é" * 50), (10, "u", "é" * 50)]
