@@ -1,9 +1,9 @@
-"""Operator 2: WARC archives from legacy ARC records.
+"""Operator 2: WARC archives from legacy ARC archives.
 
 ARC files start with a version block (``filedesc://``) whose second line names the version; each
 record is a header line, the declared number of bytes, and a line feed. Version 1 lines have five
 fields (URL, IP, date, content type, length); version 2 lines have ten (result code, checksum,
-location, offset and file name before the length). The converter reads the header line by the version
+location, offset and file name before the length). The converter reads gzipped ARC files from storage, each header line by the version
 of its block, takes exactly the declared bytes, splits HTTP headers from the payload, and
 synthesises the WARC fields: a record id (a UUID from URL, date, digest and place), WARC-Date from the
 14-digit date, the type, block and payload digests (sha256, hexadecimal).
@@ -11,14 +11,21 @@ synthesises the WARC fields: a record id (a UUID from URL, date, digest and plac
 Of records with equal payloads of at least MIN_REVISIT bytes, that with the smallest page_id is a
 response and others are revisits without payload, which refer to it; smaller payloads are responses.
 
-Archives are written by Spark's text writer, so they may live on any file system it knows: a record
-is one value, and the blank lines that close a WARC record are the line separator. Archives are gzip
-files of bounded size; the reader streams through them by Content-Length.
+A first pass over the ARC files lists their records without payloads (file, place, page, url, size, digest). Digests with
+several records have a winner; each file gets the list of its revisits, and the second pass converts
+file by file. So no payload is ever shuffled or joined; a payload that a third of all records share is one
+digest, counted with partial sums.
+
+Archives are written by Spark's text writer, so they may live on any file system it knows: an archive
+is one value of at most ARCHIVE_BYTES (or one larger record), and the bytes that close a record are the line separator.
+They are gzip files; the readers hold one archive compressed and one record at a time.
+
+``legacy_archives`` makes the ARC files of pages, of both versions, with the page's id in an HTTP header.
 
 Cases: null html is an empty payload, null urls are ``urn:unknown``, page ids travel in an extension
 field and may be null (a null id is never the smallest while another is there). Rows that repeat an id
 and its payload are all responses; other repeated rows are separate records.
-Payloads may hold anything, headers and blank lines included. Extra columns are left out.
+Payloads may hold anything, headers and blank lines included. An empty table has empty archives. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -36,7 +43,9 @@ from hornspark.llm.common import Scratch, int64, small_batches
 
 MIN_REVISIT = 100
 #: Bytes of records in an archive, before compression; it bounds what one task holds.
-ARCHIVE_BYTES = 32 << 20
+ARCHIVE_BYTES = 16 << 20
+#: The HTTP header in which legacy records carry the id of their page.
+PAGE_HEADER = b"X-Page-ID: "
 CRAWL_DATE = "20200101000000"
 END = "\r\n\r\n"
 
@@ -54,30 +63,63 @@ def arc_block(version: int) -> bytes:
     return f"{' '.join(head)} {len(body)}\n".encode() + body + b"\n"
 
 
-def arc_record(version: int, url: str, payload: bytes) -> bytes:
+def arc_record(version: int, url: str, payload: bytes, page: int | None = None) -> bytes:
     """A record of a page as a crawler of that version wrote it."""
-    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+    known = b"" if page is None else PAGE_HEADER + str(page).encode() + b"\r\n"
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n".encode() + known + b"\r\n" + payload
     more = ["200", "-", "-", "0", "legacy.arc"] if version == 2 else []
     return " ".join([url.replace(" ", "%20").replace("\n", "%0A").replace("\r", "%0D") or "urn:unknown", "0.0.0.0", CRAWL_DATE, "text/html", *more, str(len(body))]).encode() + b"\n" + body + b"\n"
 
 
-def read_arc(data: bytes) -> Iterator[dict]:
+class Stream:
+    """Bytes that come in chunks, of which only what is looked at is held."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held = chunks, bytearray()
+
+    def fill(self, n: int) -> bool:
+        while len(self.held) < n:
+            more = next(self.chunks, None)
+            if more is None:
+                return False
+            self.held.extend(more)
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the mark, which goes; None where no bytes are left."""
+        at, seen = self.held.find(mark), 0
+        while at < 0:
+            seen = max(0, len(self.held) - len(mark) + 1)
+            if not self.fill(len(self.held) + 1):
+                if self.held.strip():
+                    raise ValueError("an archive ends inside a record")
+                return None
+            at = self.held.find(mark, seen)
+        out = bytes(self.held[:at])
+        del self.held[: at + len(mark)]
+        return out
+
+    def take(self, n: int) -> bytes:
+        if not self.fill(n):
+            raise ValueError("an archive ends before a record's declared length")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+
+def read_arc(chunks: Iterator[bytes]) -> Iterator[dict]:
     """The records of ARC files set one after another: header fields by name, and the declared bytes as ``body``."""
-    at, names = 0, FIELDS[1]
-    while at < len(data):
-        line = data.index(b"\n", at)
-        parts = data[at:line].decode().split(" ")
-        length = int(parts[-1])
-        body = data[line + 1 : line + 1 + length]
-        if len(body) != length:
-            raise ValueError("an ARC record ends before its declared length")
+    stream, names = Stream(chunks), FIELDS[1]
+    while (line := stream.until(b"\n")) is not None:
+        parts = line.decode().split(" ")
+        body = stream.take(int(parts[-1]))
+        stream.take(1)
         if parts[0].startswith("filedesc://"):
             names = FIELDS[int(body.split(b" ", 1)[0])]
         elif len(parts) != len(names):
             raise ValueError(f"an ARC header line has {len(parts)} fields instead of {len(names)}")
         else:
             yield dict(zip(names, parts, strict=True)) | {"body": body}
-        at = line + 1 + length + 1
 
 
 def to_warc(record: dict, place: str, revisit_of: tuple[str, int] | None = None, page_id: int | None = None) -> bytes:
@@ -116,54 +158,74 @@ def record_id(url: str, date: str, digest: str, place: str) -> str:
 
 def read_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of the records in a stream, which holds one record at a time."""
-    held = bytearray()
-
-    def fill(n: int) -> bool:
-        while len(held) < n:
-            more = next(chunks, None)
-            if more is None:
-                return False
-            held.extend(more)
-        return True
-
-    while True:
-        at = held.find(b"\r\n\r\n")
-        while at < 0:
-            if not fill(len(held) + 1):
-                if held.strip():
-                    raise ValueError("a WARC archive ends inside a record")
-                return
-            at = held.find(b"\r\n\r\n")
-        first, *lines = bytes(held[:at]).decode().split("\r\n")
+    stream = Stream(chunks)
+    while (head := stream.until(b"\r\n\r\n")) is not None:
+        first, *lines = head.decode().split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError("no WARC record where one must start")
         fields = dict(x.split(": ", 1) for x in lines)
-        end = at + 4 + int(fields["Content-Length"])
-        if not fill(end + 4):
-            raise ValueError("a WARC archive ends inside a record")
-        yield fields, bytes(held[at + 4 : end])
-        del held[: end + 4]
+        block = stream.take(int(fields["Content-Length"]))
+        stream.take(4)
+        yield fields, block
 
 
-def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages as ARC records, those as WARC records."""
+def page_of(body: bytes) -> int | None:
+    """The page id in a record's HTTP headers."""
+    head = body.partition(b"\r\n\r\n")[0]
+    return next((int(x[len(PAGE_HEADER) :]) for x in head.split(b"\r\n") if x.startswith(PAGE_HEADER)), None)
+
+
+def _arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as ARC files of bounded size, their last line feed left to the writer; the versions take turns."""
+    version, held, size = 1, [], 0
+
+    def file() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join([arc_block(version), *held])[:-1]], pa.binary())], ["value"])
+
     for batch in batches:
-        col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        out = []
-        for page, url, html, winner, winner_url, n in zip(*(col[c] for c in ("page_id", "url", "html", "winner", "winner_url", "n")), strict=True):
-            version = 1 + (page or 0) % 2
-            arc = arc_block(version) + arc_record(version, url or "", (html or "").encode("utf-8", "surrogatepass"))
-            (record,) = read_arc(arc)
-            source = None
-            if n is not None and winner is not None and winner != page:
-                digest = hashlib.sha256(record["body"].partition(b"\r\n\r\n")[2]).hexdigest()
-                source = (record_id(arc_url(winner_url), CRAWL_DATE, digest, f"page {winner}"), winner)
-            out.append(to_warc(record, f"page {page}", source, page))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            record = arc_record(version, url or "", (html or "").encode("utf-8", "surrogatepass"), page)
+            if held and size + len(record) > ARCHIVE_BYTES:
+                yield file()
+                version, held, size = 3 - version, [], 0
+                record = arc_record(version, url or "", (html or "").encode("utf-8", "surrogatepass"), page)
+            held.append(record)
+            size += len(record)
+    if held:
+        yield file()
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, place, page_id, url, bytes, digest) of the records of ARC files."""
+    names = ["path", "place", "page_id", "url", "bytes", "digest"]
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows = []
+            for k, record in enumerate(read_arc(_inflated(content.as_buffer()))):
+                payload = record["body"].partition(b"\r\n\r\n")[2]
+                rows.append((path, k, page_of(record["body"]), record["URL"], len(payload), hashlib.sha256(payload).hexdigest()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("path", "url", "digest") else pa.int64()) for n, c in zip(names, cols, strict=True)], names)
 
 
-def arc_url(url: str | None) -> str:
-    return arc_record(1, url or "", b"").split(b" ", 1)[0].decode()
+def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ARC files (path, content, revisits) as WARC files, the bytes that close the last record left to the writer."""
+    for batch in batches:
+        for content, again in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            source = {r["place"]: r for r in again or ()}
+            out, size = [], 0
+            for k, record in enumerate(read_arc(_inflated(content.as_buffer()))):
+                page, r, of = page_of(record["body"]), source.get(k), None
+                if r is not None:
+                    of = (record_id(r["winner_url"], CRAWL_DATE, r["digest"], f"page {r['winner']}"), r["winner"])
+                warc = to_warc(record, f"page {page}", of, page)
+                if out and size + len(warc) > ARCHIVE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([END.encode().join(out)], pa.binary())], ["value"])
+                    out, size = [], 0
+                out.append(warc)
+                size += len(warc)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([END.encode().join(out)], pa.binary())], ["value"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,37 +268,50 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def warc_records(spark: SparkSession, pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """One WARC record, as binary, for each page."""
-    html = F.coalesce("html", F.lit("")).cast("binary")
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(html).cast("long").alias("bytes"), F.sha2(html, 256).alias("digest"))
-    large = pages.filter(F.col("bytes") >= MIN_REVISIT)
-    same = large.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("w"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    winners = scratch.keep(same.select("digest", "n", F.col("w.page_id").alias("winner"), F.col("w.url").alias("winner_url")))
-    return pages.join(winners, "digest", "left").select("page_id", "url", "html", "winner", "winner_url", "n").mapInArrow(_convert, "record binary")
+def write_archives(files: DataFrame, path: str, end: str) -> None:
+    """One gzip file under ``path`` for each value; ``end`` closes each value."""
+    text = files.select(F.col("value").cast("string").alias("value"))
+    text.write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
-def write_warc(records: DataFrame, path: str, per_archive: int) -> None:
-    """Gzip archives of at most ``per_archive`` records under ``path``."""
-    text = records.select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the archives under ``path``."""
+    small_batches(spark, 4)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+
+
+def legacy_archives(spark: SparkSession, pages: DataFrame, path: str) -> None:
+    """ARC files of ``pages`` (page_id, url, html) under ``path``."""
+    small_batches(spark, 200)
+    write_archives(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_arcs, "value binary"), path, "\n")
+
+
+def convert(spark: SparkSession, arcs: str, warcs: str, scratch: Scratch) -> None:
+    """WARC files under ``warcs`` for the ARC files under ``arcs``."""
+    index = scratch.keep(binary_files(spark, arcs).mapInArrow(_index, "path string, place long, page_id long, url string, bytes long, digest string"))
+    large = index.filter(F.col("bytes") >= MIN_REVISIT)
+    same = large.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("w"), F.count(F.lit(1)).alias("n"))
+    winners = scratch.keep(same.filter("n > 1 and w.page_id is not null").select("digest", F.col("w.page_id").alias("winner"), F.col("w.url").alias("winner_url")))
+    again = large.join(winners, "digest").filter(~F.col("page_id").eqNullSafe(F.col("winner")))
+    lists = again.groupBy(F.col("path").alias("file")).agg(F.collect_list(F.struct("place", "digest", "winner", "winner_url")).alias("revisits"))  # bounded by an archive's records
+    files = binary_files(spark, arcs)
+    met = files.join(scratch.keep(lists), F.col("path") == F.col("file"), "left").select("path", "content", "revisits")
+    write_archives(met.mapInArrow(_convert, "value binary"), warcs, END)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, url of all records under ``path``."""
-    small_batches(spark, 4)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = binary_files(spark, path).select("content")
     return files.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string")
 
 
 def legacy_to_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """All pages written as WARC archives to the shared folder, and read back."""
-    small_batches(spark, 200)
+    """All pages written as ARC archives to the shared folder, converted to WARC archives there, and these read back."""
     scratch = Scratch(spark, "warc")
-    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
-    path = scratch.path()
-    write_warc(warc_records(spark, pages, scratch), path, max(1, int(ARCHIVE_BYTES / (mean + 1000))))
-    return scratch.finish(read_archives(spark, path))
+    arcs, warcs = scratch.path(), scratch.path()
+    legacy_archives(spark, pages, arcs)
+    convert(spark, arcs, warcs, scratch)
+    return scratch.finish(read_archives(spark, warcs))
 
 
 SQL = """

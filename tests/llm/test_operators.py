@@ -652,13 +652,44 @@ def test_warc_round_trip(spark):
 
 
 def test_arc_headers():
-    data = b"".join(warc_legacy.arc_block(v) + warc_legacy.arc_record(v, "http://x/ y", b"p\n\n") for v in (1, 2, 1))
-    records = list(warc_legacy.read_arc(data))
+    pieces = lambda data: (data[k : k + 7] for k in range(0, len(data), 7))
+    data = b"".join(warc_legacy.arc_block(v) + warc_legacy.arc_record(v, "http://x/ y", b"p\n\n", 5) for v in (1, 2, 1))
+    records = list(warc_legacy.read_arc(pieces(data)))
     assert [len(r) for r in records] == [6, 10 + 1, 6] and {r["URL"] for r in records} == {"http://x/%20y"} and all(r["body"].endswith(b"\r\n\r\np\n\n") for r in records)
+    assert {warc_legacy.page_of(r["body"]) for r in records} == {5}
     with pytest.raises(ValueError):
-        list(warc_legacy.read_arc(data[:-5]))
+        list(warc_legacy.read_arc(pieces(data[:-5])))
     with pytest.raises(ValueError):
-        list(warc_legacy.read_arc(warc_legacy.arc_block(2) + warc_legacy.arc_record(1, "u", b"")))
+        list(warc_legacy.read_arc(pieces(warc_legacy.arc_block(2) + warc_legacy.arc_record(1, "u", b""))))
+
+
+def test_warc_many_archives(spark, tmp_path, monkeypatch):
+    """Archives of bounded size, of both versions, whose revisits refer to a record that is there; large pages side by side."""
+    monkeypatch.setattr(warc_legacy, "ARCHIVE_BYTES", 4000)
+    rng = random.Random(73)
+    bodies = [prose(rng, 40), prose(rng, 2000), "", "small", prose(rng, 60)]
+    rows = [(k, f"http://h/{k}", bodies[0] if k % 3 == 0 else rng.choice(bodies)) for k in range(90)] + [(91, "http://h/x", prose(rng, 30_000))]
+    rng.shuffle(rows)
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    warc_legacy.legacy_archives(spark, pages, f"{tmp_path}/arc")
+    warc_legacy.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", warc_legacy.Scratch(spark, "test"))
+    import gzip
+    from pathlib import Path
+
+    for kind in ("arc", "warc"):
+        sizes = [len(gzip.open(f).read()) for f in Path(f"{tmp_path}/{kind}").glob("*.gz")]
+        assert len(sizes) > 20 and sum(s > 6000 for s in sizes) <= 1 + sum(r[2] == bodies[1] for r in rows)
+    found = {r.page_id: r for r in warc_legacy.read_archives(spark, f"{tmp_path}/warc").collect()}
+    least = {}
+    for k, _, h in rows:
+        least[h] = min(k, least.get(h, k))
+    for k, u, h in rows:
+        of = least[h] if len(h) >= 100 and least[h] != k else None
+        r = found[k]
+        assert (r.url, r.payload_bytes, r.payload_digest, r.refers_to, r.record_type) == (u, len(h), hashlib.sha256(h.encode()).hexdigest(), of, "response" if of is None else "revisit")
+    text = b"".join(gzip.open(f).read() for f in Path(f"{tmp_path}/warc").glob("*.gz")).decode()
+    ids = set(re.findall("WARC-Record-ID: (\\S+)", text))
+    assert len(ids) == len(rows) and set(re.findall("WARC-Refers-To: (\\S+)", text)) <= ids
 
 
 def test_url_templates(spark):
