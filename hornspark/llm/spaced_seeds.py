@@ -3,7 +3,7 @@
 Words are runs of letters, digits and characters beyond ASCII, in lower case. A seed hashes the
 words at a mask's positions and ignores those between, so that a changed word between them leaves
 the hash as it is. Test and training hashes are joined: the benchmark's seeds are a table, and of a
-document those seeds that a bitmap of the benchmark's lets through, each stretch of text around them as one row
+document those seeds that a Bloom filter of the benchmark's lets through, each stretch of text around them as one row
 with the hashes of its words. A pair of equal seeds names a diagonal (document position minus item position),
 which is verified once: item and document words are compared position by position, and the passage counts when some
 window of the item, of WINDOW words or of the whole item where it is shorter, agrees in 80 % of its
@@ -11,7 +11,7 @@ positions. The masks are such that every pattern of changed words that this allo
 to WINDOW words, leaves at least one seed whole (a test goes through all of them), so nothing is left to chance.
 
 Neither table goes through the driver, and documents are read once whatever the benchmark's size. What
-is broadcast is the bitmap, of at most 2^MOST_BITS bits: beyond that it lets more seeds through to the join.
+is broadcast is the filter, of at most 2^MOST_BITS bits: beyond that it lets more seeds through to the join.
 
 Result: one row per document and benchmark item that it holds: doc_id, item_id, item_start, doc_start
 (word positions of the best window), n_window, n_equal. Documents without a passage have no row.
@@ -39,8 +39,8 @@ MASKS = [(0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 6, 7), (0, 2, 4, 6
 WINDOW = 20
 NUM, DEN = 4, 5
 SHORTEST = 8
-#: Bits of the bitmap, as powers of two: from LEAST_BITS, with sixteen bits a seed, to MOST_BITS.
-LEAST_BITS, MOST_BITS = 20, 27
+#: Bits of the filter, as powers of two: from LEAST_BITS, with 64 bits a seed, to MOST_BITS; and bits that a seed sets.
+LEAST_BITS, MOST_BITS, PROBES = 20, 27, 4
 
 #: ASCII characters that are neither letters nor digits part words.
 _APART = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -89,14 +89,21 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([int64(keys), pa.array(ids, pa.int64()), _lists(words), _lists(keyed), _lists(at)], ["item", "item_id", "words", "seeds", "at"])
 
 
+def probed(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Places of the seeds that the filter lets through."""
+    low, hit = np.uint64(8 * len(bitmap) - 1), np.arange(len(s))
+    for k in range(PROBES):
+        at = (s[hit] + np.uint64(k) * (s[hit] >> np.uint64(32))) & low
+        hit = hit[bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0]
+    return hit
+
+
 def stretches(w: np.ndarray, bitmap: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(start, stop, seeds, positions): the parts of a text around the seeds that may be the benchmark's."""
-    low = np.uint64(8 * len(bitmap) - 1)
     found, places = [], []
     for mask in MASKS:
         s = seeds(w, mask)
-        at = s & low
-        hit = np.flatnonzero(bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+        hit = probed(s, bitmap)
         found.append(s[hit])
         places.append(hit)
     found, places = np.concatenate(found), np.concatenate(places)
@@ -156,11 +163,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def seed_bits(seeds_: DataFrame) -> np.ndarray:
-    """The bitmap of the seeds (seed), packed; its words come to the driver, 2^(MOST_BITS - 6) at most."""
+    """The filter of the seeds (seed), packed; its words come to the driver, 2^(MOST_BITS - 6) at most."""
     n = seeds_.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
-    at = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
-    words = seeds_.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, CAST(seed & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
+    low = (1 << bits) - 1
+    probes = F.array(*(F.expr(f"((seed & {low}) + {k} * (shiftrightunsigned(seed, 32) & {low})) & {low}") for k in range(PROBES)))
+    at = seeds_.select(F.explode(probes).alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, CAST(at & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     table = words.toPandas()
     out = np.zeros(1 << (bits - 6), "<i8")
     out[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
@@ -200,7 +209,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame)
     names = docs.columns
     own, hit = fresh(names, "_own", "_hit")
     keyed = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    found = scratch.keep(passages(spark, keyed.select(F.col(own).alias("doc_id"), "text"), benchmark, scratch).select(F.col("doc_id").alias(hit)).distinct())
+    found = scratch.finish(passages(spark, keyed.select(F.col(own).alias("doc_id"), "text"), benchmark, scratch).select(F.col("doc_id").alias(hit)).distinct())
     some, others = split_by(keyed, found.withColumnRenamed(hit, own), own)
     kept = some.join(found.hint("merge"), F.col(own) == F.col(hit), "left_anti")
-    return scratch.finish(others.unionByName(kept).select(*named(names)))
+    return others.unionByName(kept).select(*named(names))
