@@ -108,20 +108,26 @@ def head_key(rule: Sequence[Atom]) -> str:
     return " ".join([r, *(t for t in (s, o) if not is_var(t))])
 
 
-def chain(rule: Sequence[Atom]) -> list[Atom] | None:
-    """Body atoms as a path from the head's subject to its object; None where they are no path."""
-    at, end = rule[0][0], rule[0][2]
-    left, path = list(rule[1:]), []
+def path_between(body: Sequence[Atom], start: str, end: str) -> list[Atom] | None:
+    """The atoms as a path from one variable to another that uses each once; None where they are no such path."""
+    at, left, path = start, list(body), []
     while left:
-        step = next((a for a in left if at in (a[0], a[2]) and a[0] != a[2]), None)
-        if step is None:
+        steps = [a for a in left if at in (a[0], a[2]) and a[0] != a[2]]
+        if len(steps) != 1:
+            return None
+        left.remove(steps[0])
+        path.append(steps[0])
+        at = steps[0][2] if steps[0][0] == at else steps[0][0]
+        if not is_var(at):
             return None
-        left.remove(step)
-        path.append(step)
-        at = step[2] if step[0] == at else step[0]
     return path if at == end else None
 
 
+def chain(rule: Sequence[Atom]) -> list[Atom] | None:
+    """Body atoms as a path from the head's subject to its object; None where they are no path."""
+    return path_between(rule[1:], rule[0][0], rule[0][2])
+
+
 def join_positions(path: Sequence[Atom]) -> list[tuple[str, str]]:
     """For neighbours of a path, whether they meet in subject (s) or object (o)."""
     out = []
@@ -145,12 +151,17 @@ class Rule:
     std_upper_bound: float | None = None
     pca_upper_bound: float | None = None
     pca_estimate: float | None = None
+    total: int = 0  # what supports are a share of: facts, or the subjects or objects of a run that counts one variable
     parents: tuple["Rule", ...] = field(default=(), compare=False, repr=False)
 
     @property
     def head_coverage(self) -> float:
         return self.support / self.head_size if self.head_size else 0.0
 
+    @property
+    def support_ratio(self) -> float:
+        return self.support / self.total if self.total else 0.0
+
     @property
     def std_confidence(self) -> float | None:
         return None if self.body_size is None else self.support / self.body_size if self.body_size else 0.0

@@ -7,9 +7,10 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from hornspark.functions.rules import Rule
-from hornspark.functions.terms import hard_pair, is_var, variables
+from hornspark.functions.rules import Rule, path_between
+from hornspark.functions.terms import hard_pair, is_special, is_var, variables
 from hornspark.plans.compile import bind
+from hornspark.plans.pairs import Joints
 from hornspark.sources.kb import KB
 
 
@@ -21,60 +22,52 @@ def _body_pair(rule: Rule) -> int | None:
     return 0 if a[0] == b[0] else 2
 
 
-def upper_bounds(kb: KB, rules: Sequence[Rule]) -> list[Rule]:
+def upper_bounds(rules: Sequence[Rule], stats: dict[str, dict], known: Joints) -> list[Rule]:
     """Rules with std and PCA upper bounds where their bodies are two atoms of one relation that share an argument.
 
     Each value on the free side pairs with itself, so the body has at least as many pairs as such values;
-    under PCA, as many as also stand in the head's functional place.
+    under PCA, as many as also stand in the head's functional place. ``stats`` and ``known`` say both without a job.
     """
     out = []
     for r in rules:
         place = _body_pair(r)
-        if place is None:
-            out.append(r)
-            continue
-        p, free = r.atoms[1][1], "o" if place == 0 else "s"
-        values = kb.facts(p).select(F.col(free).alias("e")).distinct()
-        known = kb.facts(r.atoms[0][1]).select(F.col("s" if r.functional == 0 else "o").alias("e")).distinct()
-        std, pca = values.count(), values.join(known, "e", "left_semi").count()
-        out.append(replace(r, std_upper_bound=r.support / std if std else None, pca_upper_bound=r.support / pca if pca else None))
+        if place is not None:
+            p, free = r.atoms[1][1], "o" if place == 0 else "s"
+            std = stats[p]["no" if free == "o" else "ns"]
+            pca = known.get((p, free, r.atoms[0][1], "s" if r.functional == 0 else "o"))
+            r = replace(r, std_upper_bound=r.support / std if std else None, pca_upper_bound=r.support / pca.shared if pca else None)
+        out.append(r)
     return out
 
 
-def pca_estimates(kb: KB, rules: Sequence[Rule], stats: dict[str, dict]) -> list[Rule]:
-    """Rules with an estimate of PCA confidence where the body is a path of two atoms.
+def pca_estimates(rules: Sequence[Rule], stats: dict[str, dict], known: Joints) -> list[Rule]:
+    """Rules with an estimate of PCA confidence where the body is a path between the head's variables, of any length.
 
-    The body size is the overlap of head and input atom, times the input's values per entity, times the
-    share of them that the output atom has, times the output's values per entity over their repeats.
+    From the head's functional variable on: the entities that head and first atom share, times the first atom's values
+    per entity; then for each further atom the share of values that have it, times its values per entity over their repeats.
     """
-    out = []
-    for r in rules:
-        body = r.atoms[1:]
-        f = r.functional_variable
-        shared = set(variables([body[0]])) & set(variables([body[1]])) if len(body) == 2 else set()
-        if len(shared) != 1 or not is_var(f) or any(len(variables([a])) != 2 for a in body):
-            out.append(r)
-            continue
-        (z,) = shared
-        inner = next((a for a in body if f in (a[0], a[2])), None)
-        outer = next((a for a in body if a is not inner and f not in (a[0], a[2])), None)
-        if inner is None or outer is None or z == f:
-            out.append(r)
-            continue
-        fs, zs, zo = (0 if inner[0] == f else 2), (0 if inner[0] == z else 2), (0 if outer[0] == z else 2)
-        side = {0: "s", 2: "o"}
-        fun = lambda p, place: stats[p]["fun" if place == 0 else "ifun"]
-        join = _overlap(kb, inner[1], side[zs], outer[1], side[zo])
-        head = _overlap(kb, inner[1], side[fs], r.atoms[0][1], side[r.functional])
-        entities = stats[inner[1]]["ns" if zs == 0 else "no"]
-        size = head * (1 / fun(inner[1], fs)) * (join / entities) * (fun(outer[1], 2 - zo) / fun(outer[1], zo))
-        out.append(replace(r, pca_estimate=r.support / size if size else None))
-    return out
-
-
-def _overlap(kb: KB, r1: str, c1: str, r2: str, c2: str) -> int:
-    a = kb.facts(r1).select(F.col(c1).alias("e")).distinct()
-    return a.join(kb.facts(r2).select(F.col(c2).alias("e")), "e", "left_semi").count()
+    def size_of(r: Rule) -> float | None:
+        head = r.atoms[0]
+        path = path_between(r.atoms[1:], head[r.functional], head[2 - r.functional]) if len(r.atoms) > 2 and is_var(head[0]) and is_var(head[2]) else None
+        if path is None or any(is_special(a[1]) or a[1] not in stats for a in path):
+            return None
+        at = head[r.functional]
+        before, side = head[1], "s" if r.functional == 0 else "o"
+        size = 1.0
+        for k, (s, p, o) in enumerate(path):
+            here, there = ("s", "o") if s == at else ("o", "s")
+            met = known.get((before, side, p, here))
+            if met is None:
+                return None
+            fun, inverse = ("fun", "ifun") if here == "s" else ("ifun", "fun")
+            if k == 0:
+                size *= met.shared / stats[p][fun]
+            else:
+                size *= met.shared * stats[p][inverse] / (stats[before]["ns" if side == "s" else "no"] * stats[p][fun])
+            at, before, side = (o if here == "s" else s), p, there
+        return size
+
+    return [replace(r, pca_estimate=r.support / size) if (size := size_of(r)) else r for r in rules]
 
 
 def rule_metrics(kb: KB, rule, functional: int | None = None):

@@ -11,6 +11,7 @@ from hornspark.functions.formats import rules_frame
 from hornspark.functions.terms import parse_query, parse_rule
 from hornspark.operators import bounds, predict, prep, query, special, stats, taxonomy
 from hornspark.plans.mine import MiningConfig, Miner, mine
+from hornspark.plans.pairs import joints
 from hornspark.plans.refine import body_sizes, refinements
 from hornspark.sources.kb import KB
 from hornspark.sources.star import KB_SQL, TAXONOMY_SQL, star_kb, taxonomy_kb
@@ -326,7 +327,7 @@ MINED = {
     "mine_default": (MiningConfig(), False),
     "mine_std_skyline": (MiningConfig(min_initial_support=25, std=True, skyline="intended", bounds=True, heuristics=True), False),
     "mine_onevar": (MiningConfig(bias="one_variable"), False),
-    "mine_const": (MiningConfig(constants=True, min_head_coverage=0.05), False),
+    "mine_const": (MiningConfig(only_constants=True, min_head_coverage=0.1), False),
     "mine_chain": (MiningConfig(bias="chain"), False),
     "mine_signatured": (MiningConfig(bias="signatured"), True),
     "mine_existential": (MiningConfig(bias="existential"), False),
@@ -367,7 +368,7 @@ def _bound(kb: KB) -> DataFrame:
     from hornspark.functions.rules import Rule
 
     rule = Rule(parse_rule("?a customerNation ?z  ?b customerNation ?z => ?a buysFrom ?b"), support=1000, head_size=1, functional=0)
-    (r,) = bounds.upper_bounds(kb, [rule])
+    (r,) = bounds.upper_bounds([rule], {x.p: x.asDict() for x in stats.profile(kb).collect()}, joints(kb))
     return kb.spark.createDataFrame([(round(r.std_upper_bound, 9), round(r.pca_upper_bound, 9))], "std double, pca double")
 
 
@@ -378,7 +379,7 @@ def _estimate(kb: KB) -> DataFrame:
     from hornspark.functions.rules import Rule
 
     rule = Rule(parse_rule(_RULES["rule_metrics_nation"][0]), support=1000, head_size=1, functional=0)
-    (r,) = bounds.pca_estimates(kb, [rule], {x.p: x.asDict() for x in stats.profile(kb).collect()})
+    (r,) = bounds.pca_estimates([rule], {x.p: x.asDict() for x in stats.profile(kb).collect()}, joints(kb))
     return kb.spark.createDataFrame([(round(r.pca_estimate, 9),)], "estimate double")
 
 

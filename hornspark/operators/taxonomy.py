@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornspark.sources.kb import KB
+from hornspark.sources.shared import shared_folder
 
 #: Names of the schema relations; ``configure`` replaces them.
 NAMES = {"type": "rdf:type", "subclass": "rdfs:subClassOf", "subproperty": "rdfs:subPropertyOf", "domain": "rdfs:domain", "range": "rdfs:range", "top": "owl:Thing"}
@@ -32,25 +33,20 @@ def subclasses(kb: KB) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All (sub, super) pairs that one or more steps reach; cycles end, as each round keeps only new pairs.
+    """All (sub, super) pairs that one or more steps reach; cycles end, as each round goes on from new pairs alone.
 
-    Rounds double the path length. A pair of a type with itself is there only where it is on a cycle. Class
-    hierarchies are small next to facts; each round is checkpointed so that plans do not grow.
+    A pair of a type with itself is there only where it is on a cycle. Class hierarchies are small next to
+    facts; each round is checkpointed so that plans do not grow.
     """
-    spark = edges.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hornspark-"))
-    reach = edges.select("sub", "super").distinct().checkpoint()
-    n = reach.count()
+    shared_folder(edges.sparkSession)
+    steps = edges.select("sub", "super").distinct().checkpoint()
+    reach = new = steps
     while True:
-        a, b = reach.withColumnRenamed("super", "mid"), reach.withColumnRenamed("sub", "mid")
-        reach = reach.unionByName(a.join(b, "mid").select("sub", "super")).distinct().checkpoint()
-        m = reach.count()
-        if m == n:
+        further = new.withColumnRenamed("super", "mid").join(steps.withColumnRenamed("sub", "mid"), "mid").select("sub", "super").distinct()
+        new = further.join(reach, ["sub", "super"], "left_anti").checkpoint()
+        if not new.limit(1).count():
             return reach
-        n = m
+        reach = reach.unionByName(new)
 
 
 def super_types(kb: KB, reflexive: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornspark.functions.terms import DIFFERENT, Query, is_var, letters, rename, variables
+from hornspark.plans.pairs import Joints, join_order
 from hornspark.sources.kb import KB
 
 #: Rules in a table that is broadcast; longer lists go in several plans.
@@ -48,15 +49,29 @@ def chunks(rows: list, n: int = MOST) -> Iterable[list]:
     return (rows[i : i + n] for i in range(0, len(rows), n))
 
 
-def bindings(kb: KB, shape: Shape, rows: Sequence[tuple[int, tuple[str, ...]]], keep: Sequence[str], head: bool = True) -> DataFrame:
-    """Distinct (rid, *keep) of the rules' atoms together; without ``head``, of their bodies."""
+def by_order(known: Joints | None, shape: Shape, rows: Sequence[tuple[int, tuple[str, ...]]], head: bool = True) -> list[tuple[list[int] | None, list]]:
+    """The rows by the order in which their atoms join best; a single list without statistics."""
+    atoms = [a for a in (shape if head else shape[1:]) if a[1] != DIFFERENT]
+    if known is None or len(atoms) < 3:
+        return [(None, list(rows))]
+    out: dict[tuple[int, ...], list] = defaultdict(list)
+    for rid, names in rows:
+        named = [tuple(names[int(t[1:])] if t.startswith("@") else t for t in a) for a in atoms]
+        out[tuple(join_order(known, named))].append((rid, names))
+    return [(list(order), own) for order, own in sorted(out.items())]
+
+
+def bindings(kb: KB, shape: Shape, rows: Sequence[tuple[int, tuple[str, ...]]], keep: Sequence[str], head: bool = True, order: Sequence[int] | None = None) -> DataFrame:
+    """Distinct (rid, *keep) of the rules' atoms together; without ``head``, of their bodies. ``order``: places of the atoms, those of differentFrom left out."""
     n = len(rows[0][1])
     spark = kb.spark
     table = F.broadcast(spark.createDataFrame([(rid, *names) for rid, names in rows], ", ".join(["rid long", *(f"`@{i}` string" for i in range(n))])))
     atoms = list(shape if head else shape[1:])
     unequal = [a for a in atoms if a[1] == DIFFERENT]
     atoms = [a for a in atoms if a[1] != DIFFERENT]
-    order: list = []
+    given, order = order, []
+    if given is not None:
+        order, atoms = [atoms[i] for i in given], []
     while atoms:  # each atom next to those before it
         have = {t for a in order for t in (a[0], a[2]) if is_var(t)}
         at = max(range(len(atoms)), key=lambda i: (len({t for t in (atoms[i][0], atoms[i][2]) if t in have}), sum(not is_var(t) for t in atoms[i]), -i))

@@ -9,22 +9,30 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornspark.functions.rules import Rule, canonical, head_key, is_closed, open_variables, openable_variables, real_length, redundant, subsumes
-from hornspark.functions.terms import DIFFERENT, EXISTS, EXISTS_INV, Query, is_var, letters, occurrences, rename, variables
+from hornspark.functions.rules import Rule, head_key, is_closed, open_variables, openable_variables, real_length, redundant, subsumes
+from hornspark.functions.terms import DIFFERENT, EXISTS, EXISTS_INV, Query, is_var, occurrences, variables
 from hornspark.operators.bounds import pca_estimates, upper_bounds
 from hornspark.operators.stats import profile
 from hornspark.operators.taxonomy import NAMES, domains_ranges, subclasses
+from hornspark.plans.batch import bindings, by_order, by_shape
+from hornspark.plans.pairs import Joints, joints
 from hornspark.plans.refine import body_sizes, least_bodies, refinements, support_counts, with_atom
 from hornspark.sources.kb import KB
 
 
+BIASES = ("default", "lazy", "one_variable", "signatured", "chain", "seeds", "instantiated_head", "existential", "existential_head", "typed")
+#: The relation of the facts that mark seeds, in the store of a run with seeds alone.
+SEED = "<seed>"
+
+
 @dataclass(frozen=True)
 class MiningConfig:
-    """All options of a run. Names of biases: default, lazy, one_variable, signatured, chain, seeds, instantiated_head, existential, typed."""
+    """All options of a run. ``BIASES`` names the biases; ``register_bias`` adds more."""
 
     min_support: int = 100
     min_initial_support: int = 100
@@ -64,6 +72,7 @@ class MiningConfig:
             ((self.instantiation_targets or self.instantiation_excluded) and not (self.constants or self.only_constants), "instantiation lists without constants"),
             (self.max_depth < 2, "a depth under 2"),
             (self.pruning_metric not in ("support", "head_coverage"), f"the pruning metric {self.pruning_metric}"),
+            (self.bias not in BIASES and self.bias not in _BIASES, f"the unknown bias {self.bias}"),
         ]
         for bad, what in clashes:
             if bad:
@@ -75,13 +84,24 @@ class MiningConfig:
 
 
 _OPERATORS: dict[str, tuple[Callable, str | None]] = {}
+_BIASES: dict[str, dict[str, Callable]] = {}
 
 
 def register_operator(name: str, wants: Callable[["Miner", Rule], list[tuple[str, str, str]]], depends_on: str | None = None) -> None:
-    """A further source of atoms: ``wants`` gives (kind, u, v) for a rule, as the built-in ones do."""
+    """A further source of atoms: ``wants`` gives (kind, u, v) for a rule, as the built-in ones do; after those of the operator that it depends on."""
+    if depends_on is not None and depends_on not in _OPERATORS:
+        raise ValueError(f"{name} depends on {depends_on}, which is not registered")
     _OPERATORS[name] = (wants, depends_on)
 
 
+def register_bias(name: str, **methods: Callable) -> None:
+    """A bias by name: ``methods`` (wants, allowed, reportable, passes) take the place of the miner's own, which they get as their first argument."""
+    unknown = set(methods) - {"wants", "allowed", "reportable", "passes"}
+    if unknown:
+        raise ValueError(f"a bias has no {', '.join(sorted(unknown))}")
+    _BIASES[name] = methods
+
+
 @dataclass
 class Miner:
     kb: KB
@@ -92,6 +112,11 @@ class Miner:
     functional: dict[str, int] = field(default_factory=dict)
     stats: dict[str, dict] = field(default_factory=dict)
     output: list[Rule] = field(default_factory=list)
+    known: Joints = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for method, own in _BIASES.get(self.config.bias, {}).items():
+            setattr(self, method, partial(own, self))
 
     # the search
 
@@ -100,7 +125,8 @@ class Miner:
         c, kb = self.config, self.kb
         self.stats = {r.p: r.asDict() for r in profile(kb).collect()}
         self.sizes = {p: r["n"] for p, r in self.stats.items()}
-        self.functional = {p: 0 if c.count_on_subject and c.bias == "one_variable" else r["functional_pos"] for p, r in self.stats.items()}
+        self.known = joints(kb)
+        self.functional = {p: 0 if c.bias == "seeds" or c.count_on_subject and c.bias == "one_variable" else r["functional_pos"] for p, r in self.stats.items()}
         now, number, seen = self.initial(), 1, set()
         while now:
             now = [r for r in now if not (r.key in seen or seen.add(r.key))]
@@ -119,10 +145,13 @@ class Miner:
         names = [p for p in (c.head_targets or self.sizes) if p in self.sizes]
         if not c.head_targets:
             names = [p for p in names if self.size_for_heads(p) >= c.min_initial_support and p not in c.head_excluded]
-        heads = [Rule((("?a", p, "?b"),), support=self.size_for_heads(p), head_size=self.size_for_heads(p), functional=self.functional[p]) for p in sorted(names)]
-        if c.bias == "seeds" and self.seeds is not None:
+        total = sum(self.sizes.values())
+        heads = [Rule((("?a", p, "?b"),), support=self.size_for_heads(p), head_size=self.size_for_heads(p), functional=self.functional[p], total=total) for p in sorted(names)]
+        if c.bias == "seeds":
+            if self.seeds is None:
+                raise ValueError("the seeds bias needs seeds")
             counts = {r.p: r.n for r in self.kb.df.join(self.seeds.select(F.col("entity").alias("s")), "s", "left_semi").groupBy("p").agg(F.count_distinct("s").alias("n")).collect()}
-            heads = [replace(h, support=counts[h.atoms[0][1]], head_size=counts[h.atoms[0][1]], functional=0) for h in heads if counts.get(h.atoms[0][1], 0) >= c.min_initial_support]
+            heads = [replace(h, support=counts[h.atoms[0][1]], head_size=counts[h.atoms[0][1]]) for h in heads if counts.get(h.atoms[0][1], 0) >= c.min_initial_support]
         if not c.with_constants and c.bias != "instantiated_head":
             return heads
         bound = self.bound_heads(heads)
@@ -146,7 +175,7 @@ class Miner:
             for r in counts.collect():
                 h = own[r.p]
                 atom = ("?a", r.p, r.c) if position == 0 else (r.c, r.p, "?a")
-                out.append(Rule((atom,), support=r.n, head_size=h.head_size, functional=position, parents=(h,)))
+                out.append(Rule((atom,), support=r.n, head_size=h.head_size, functional=position, total=h.total, parents=(h,)))
         return sorted(out, key=lambda r: r.atoms)
 
     def threshold(self, r: Rule) -> int:
@@ -186,6 +215,8 @@ class Miner:
         if c.with_constants and (c.exploit_max_length or n < c.max_depth - 1 or len(open_) < 2):
             if not (n == c.max_depth - 1 and len(open_) > 1):
                 out += [("instantiated", v, side) for v in joins for side in "so"]
+        if c.bias == "typed" and len(atoms) == 1:
+            out += [("instantiated", v, "s") for v in openable]
         for extra, _ in _OPERATORS.values():
             out += extra(self, r)
         return list(dict.fromkeys(out))
@@ -209,6 +240,18 @@ class Miner:
             out += [("dangling", start, side) for side in "so"]
         return out
 
+    def left_out(self) -> tuple[str, ...]:
+        """Relations that no body may have; their atoms are not even counted."""
+        c = self.config
+        if c.bias == "one_variable":
+            return ()
+        out = set(c.body_excluded)
+        if c.body_targets:
+            out |= set(self.sizes) - set(c.body_targets)
+        if c.bias == "signatured":
+            out |= {NAMES["type"], NAMES["domain"], NAMES["range"]}
+        return tuple(sorted(out))
+
     def allowed(self, r: Rule, atoms: Query, kind: str) -> bool:
         c, new = self.config, atoms[-1]
         p = new[1]
@@ -221,14 +264,18 @@ class Miner:
                 return False
         if c.bias == "signatured" and p in (NAMES["type"], NAMES["domain"], NAMES["range"]):
             return False
-        return kind != "instantiated" or (self.may_instantiate(p) and not redundant(atoms[:-1], new))
+        if kind == "instantiated" and c.bias == "typed" and len(atoms) == 2 and p == NAMES["type"]:
+            return True
+        return kind != "instantiated" or (c.with_constants and self.may_instantiate(p) and not redundant(atoms[:-1], new))
 
     def refined(self, parents: Sequence[Rule]) -> list[Rule]:
         rules = [(k, r.atoms, self.threshold(r)) for k, r in enumerate(parents) if self.wants(r)]
         if not rules:
             return self.specialised(parents)
         asked = {r.atoms: self.wants(r) for r in parents}
-        found = refinements(self.counted_kb(), rules, lambda atoms: asked[atoms])
+        found = refinements(self.kb, rules, lambda atoms: asked[atoms], self.known, self.left_out())
+        if found is None:
+            return self.specialised(parents)
         out = []
         for row in found.collect():
             parent = parents[row.rid]
@@ -237,35 +284,44 @@ class Miner:
                 continue
             if self.config.adaptive_instantiation and row.kind == "instantiated" and row.support < parent.support / 5:
                 continue
-            out.append(Rule(atoms, support=row.support, head_size=parent.head_size, functional=parent.functional, parents=(parent,)))
+            out.append(Rule(atoms, support=row.support, head_size=parent.head_size, functional=parent.functional, total=parent.total, parents=(parent,)))
         out = sorted(out, key=lambda r: r.atoms)
         out = self.with_inequalities(out) if self.config.with_constants else out
-        if self.config.bias in ("existential",):
+        if self.config.bias in ("existential", "existential_head"):
             out += self.existential(out)
         if self.config.bias == "signatured":
             out = self.signed(out)
         out += self.specialised(parents)
-        if self.config.bias == "one_variable":
+        if self.single:
             out = self.recounted(out)
         return out
 
+    @property
+    def single(self) -> bool:
+        """Whether supports and bodies count the functional variable alone."""
+        return self.config.bias in ("one_variable", "seeds")
+
+    def marked(self, atoms: Query) -> Query:
+        """The atoms of a rule as they are counted: under the seeds bias, the head's subject has to be a seed."""
+        return (*atoms, (atoms[0][0], SEED, SEED)) if self.config.bias == "seeds" else atoms
+
+    @cached_property
     def counted_kb(self) -> KB:
-        return self.kb
+        if self.config.bias != "seeds":
+            return self.kb
+        marks = self.seeds.select(F.col("entity").cast("string").alias("s")).distinct().select("s", F.lit(SEED).alias("p"), F.lit(SEED).alias("o"))
+        return KB(self.kb.df.unionByName(marks), distinct=False)
 
     def recounted(self, rules: list[Rule]) -> list[Rule]:
         """Supports over the counted head variable alone."""
-        if not rules:
-            return rules
-        named = [(k, rename(r.atoms, {})) for k, r in enumerate(rules)]
         counts: dict[int, int] = {}
-        from hornspark.plans.batch import bindings, by_shape
-
         for position in (0, 2):
-            own = [(k, a) for k, a in named if rules[k].functional == position]
+            own = [(k, self.marked(r.atoms)) for k, r in enumerate(rules) if r.functional == position]
             for shape, rows in by_shape(own).items():
                 v = shape[0][position] if is_var(shape[0][position]) else variables([shape[0]])[0]
-                for row in bindings(self.kb, shape, rows, [v]).groupBy("rid").agg(F.count(F.lit(1)).alias("n")).collect():
-                    counts[row.rid] = row.n
+                for order, part in by_order(self.known, shape, rows):
+                    for row in bindings(self.counted_kb, shape, part, [v], order=order).groupBy("rid").agg(F.count(F.lit(1)).alias("n")).collect():
+                        counts[row.rid] = row.n
         out = [replace(r, support=counts.get(k, 0)) for k, r in enumerate(rules)]
         return [r for r in out if r.support >= self.threshold(r)]
 
@@ -282,7 +338,7 @@ class Miner:
                         changed[k] = (*r.atoms, *((fresh, DIFFERENT, a[place]) for a in same))
         if not changed:
             return rules
-        counts = {row.rid: row.support for row in support_counts(self.kb, list(changed.items())).collect()}
+        counts = {row.rid: row.support for row in support_counts(self.kb, list(changed.items()), self.known).collect()}
         out = [replace(r, atoms=changed.get(k, r.atoms), support=counts.get(k, 0) if k in changed else r.support) for k, r in enumerate(rules)]
         return [r for r in out if r.support >= self.threshold(r)]
 
@@ -308,7 +364,7 @@ class Miner:
                 changed[len(out)] = (*r.atoms, *more)
             out.append(r)
         if changed:
-            counts = {row.rid: row.support for row in support_counts(self.kb, list(changed.items())).collect()}
+            counts = {row.rid: row.support for row in support_counts(self.kb, list(changed.items()), self.known).collect()}
             out = [replace(r, atoms=changed.get(k, r.atoms), support=counts.get(k, 0) if k in changed else r.support) for k, r in enumerate(out)]
         return [r for r in out if r.support >= self.threshold(r)]
 
@@ -325,7 +381,7 @@ class Miner:
         made = [(r, (*r.atoms[:-1], (r.atoms[-1][0], NAMES["type"], t))) for _, r in typed for t in sorted(below.get(r.atoms[-1][2], []))]
         if not made:
             return []
-        counts = {row.rid: row.support for row in support_counts(self.kb, [(k, a) for k, (_, a) in enumerate(made)]).collect()}
+        counts = {row.rid: row.support for row in support_counts(self.kb, [(k, a) for k, (_, a) in enumerate(made)], self.known).collect()}
         out = [replace(r, atoms=a, support=counts.get(k, 0), parents=(r,), body_size=None, pca_body_size=None) for k, (r, a) in enumerate(made)]
         return [r for r in out if r.support >= self.threshold(r)]
 
@@ -334,8 +390,9 @@ class Miner:
     def reportable(self, r: Rule) -> bool:
         if len(r.atoms) < 2:
             return False
-        if self.config.bias == "existential":
-            return not open_variables([(s, p, o) for s, p, o in r.atoms])
+        if self.config.bias in ("existential", "existential_head"):
+            open_ = set(open_variables(r.atoms))
+            return not open_ or (self.config.bias == "existential_head" and len(r.atoms) == 2 and open_ <= set(variables([r.atoms[0]])))
         if self.config.only_constants and self.config.strict_constants and not all(any(not is_var(t) for t in (s, o)) for s, _, o in r.atoms):
             return False
         return is_closed(r.atoms) or (self.config.bias == "instantiated_head" and len(r.atoms) == 2)
@@ -345,10 +402,10 @@ class Miner:
         c = self.config
         rules = [replace(r, parents=(*r.parents, *self.more_parents(r))) for r in rules]
         if c.bounds:
-            rules = upper_bounds(self.kb, rules)
+            rules = upper_bounds(rules, self.stats, self.known)
             rules = [r for r in rules if (r.pca_upper_bound is None or r.pca_upper_bound >= c.min_pca_confidence) and (not c.std or r.std_upper_bound is None or r.std_upper_bound >= c.min_std_confidence)]
         if c.heuristics:
-            rules = pca_estimates(self.kb, rules, self.stats)
+            rules = pca_estimates(rules, self.stats, self.known)
             rules = [r for r in rules if r.pca_estimate is None or r.pca_estimate >= c.min_pca_confidence]
         if c.std:
             sizes = self.denominators(rules, False, c.min_std_confidence)
@@ -361,11 +418,11 @@ class Miner:
 
     def denominators(self, rules: Sequence[Rule], pca: bool, least: float) -> dict[int, int]:
         """Body sizes by index, without rules whose confidence is certainly under ``least``."""
-        todo = [(k, r.atoms, r.functional) for k, r in enumerate(rules)]
-        if least > 0 and (bounds := least_bodies(self.kb, todo, pca)) is not None:
+        todo = [(k, self.marked(r.atoms), r.functional) for k, r in enumerate(rules)]
+        if least > 0 and not self.single and (bounds := least_bodies(self.kb, todo, pca)) is not None:
             low = {row.rid: row.n for row in bounds.collect()}
             todo = [t for t in todo if rules[t[0]].support >= least * low.get(t[0], 0)]
-        found = body_sizes(self.kb, todo, pca)
+        found = body_sizes(self.counted_kb, todo, pca, self.single, self.known)
         return {row.rid: row.n for row in found.collect()} if found is not None else {}
 
     def more_parents(self, r: Rule) -> list[Rule]:
@@ -373,6 +430,11 @@ class Miner:
 
     def passes(self, r: Rule) -> bool:
         c = self.config
+        if c.bias == "existential_head":
+            best = [a for a in r.ancestors() if a.pca_body_size is not None]
+            strictly = all(r.pca_confidence > a.pca_confidence and (not c.std or r.std_confidence > a.std_confidence) for a in best) if r.pca_confidence is not None else True
+            if not strictly:
+                return False
         if c.std and (r.std_confidence is None or r.std_confidence < c.min_std_confidence):
             return False
         if c.pca and (r.pca_confidence is None or r.pca_confidence < c.min_pca_confidence):
@@ -400,7 +462,3 @@ def mine(kb: KB, config: MiningConfig | None = None, on_generation: Callable[[li
         return [r.named() for r in miner.output]
     finally:
         kb.unpersist()
-
-
-def describe(rules: Sequence[Rule]) -> list[tuple[Query, int]]:
-    return sorted((canonical(r.atoms), r.support) for r in rules)

@@ -9,64 +9,126 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornspark.functions.terms import Query, is_var, letters, rename, variables
-from hornspark.plans.batch import bindings, by_shape, chunks
+from hornspark.plans.batch import MOST, bindings, by_order, by_shape, chunks
+from hornspark.plans.pairs import Joints, degrees, entity_pairs, fact_pairs, fits, joints
 from hornspark.sources.kb import KB
 
 #: New atoms: (kind, joined variables, relation, constant, support); a joined pair is (subject, object), a single one has its place.
 CANDIDATE = "rid long, kind string, u string, v string, p string, c string, support long"
 
 
-def _joined(base: DataFrame, kb: KB, head: list[str], kind: str, u: str, v: str) -> DataFrame:
-    """Supports of one kind of atom on the bindings ``base`` of the parents."""
-    count = F.count_distinct(*(F.col(x) for x in head)).alias("support")
-    facts = kb.df.select(F.col("p"), F.col("s").alias("_s"), F.col("o").alias("_o"))
+def _from_heads(kb: KB, asked: Sequence[tuple[int, str, str, str, str, int]]) -> list[DataFrame]:
+    """Candidates next to single atoms with two variables, from what relations have in common. asked: (rid, relation, kind, u, v, threshold)."""
+    wanted = F.broadcast(kb.spark.createDataFrame([(*a, "s" if a[3] == "?a" else "o", a[3] == "?b") for a in asked], "rid long, p1 string, kind string, u string, v string, t long, side1 string, inverse boolean"))
     constant = F.lit(None).cast("string").alias("c")
-    if kind == "closing":
-        out = base.join(facts, (F.col(u) == F.col("_s")) & (F.col(v) == F.col("_o"))).groupBy("rid", "p").agg(count).withColumn("c", constant)
+    columns = ["rid", "kind", "u", "v", "p"]
+    kinds, out = {a[2] for a in asked}, []
+    if "dangling" in kinds:
+        found = entity_pairs(kb).join(wanted.filter("kind = 'dangling'").withColumn("side2", F.col("v")), ["p1", "side1", "side2"]).filter("left >= t")
+        out.append(found.withColumnRenamed("p2", "p").select(*columns, constant, F.col("left").alias("support")))
+    if "closing" in kinds:
+        found = fact_pairs(kb).join(wanted.filter("kind = 'closing'"), ["p1", "inverse"]).filter("n >= t")
+        out.append(found.withColumnRenamed("p2", "p").select(*columns, constant, F.col("n").alias("support")))
+    if "instantiated" in kinds:
+        heads = degrees(kb).withColumnRenamed("p", "p1").withColumnRenamed("side", "side1").join(wanted.filter("kind = 'instantiated'"), ["p1", "side1"])
+        ends = F.array(F.struct(F.lit("s").alias("v"), F.col("s").alias("e"), F.col("o").alias("c")), F.struct(F.lit("o").alias("v"), F.col("o").alias("e"), F.col("s").alias("c")))
+        facts = kb.df.select("p", F.explode(ends).alias("x")).select("p", "x.v", "x.e", "x.c")
+        found = facts.join(heads.select("rid", "kind", "u", "v", "t", "e", "n"), ["e", "v"]).groupBy(*columns, "c", "t").agg(F.sum("n").alias("support"), F.count(F.lit(1)).alias("values"))
+        out.append(found.filter("support >= t and values >= 2").select(*columns, "c", "support"))
+    return out
+
+
+def _joined(base: DataFrame, kb: KB, head: list[str], kind: str, u: str, v: str, weight: DataFrame | None) -> DataFrame:
+    """Supports of dangling and instantiated atoms on the bindings ``base`` of the parents.
+
+    With ``weight`` (rid, x, n), the bindings are those of bodies that touch the head in x alone, and each x stands for its n head facts.
+    """
+    facts = kb.df.select(F.col("p"), F.col("s").alias("_s"), F.col("o").alias("_o"))
+    column, other = ("_s", "_o") if v == "s" else ("_o", "_s")
+    by = ["rid", "p"]
+    if kind == "dangling":
+        out = base.join(facts.select("p", F.col(column).alias("_e")).distinct(), F.col(u) == F.col("_e")).withColumn("c", F.lit(None).cast("string"))
     else:
-        column = "_s" if v == "s" else "_o"
-        if kind == "dangling":
-            pairs = facts.select("p", F.col(column).alias("_e")).distinct()
-            out = base.join(pairs, F.col(u) == F.col("_e")).groupBy("rid", "p").agg(count).withColumn("c", constant)
-        else:
-            other = "_o" if v == "s" else "_s"
-            joined = base.join(facts, F.col(u) == F.col(column))
-            out = joined.groupBy("rid", "p", F.col(other).alias("c")).agg(count, F.count_distinct(u).alias("_n")).filter("_n >= 2").drop("_n")
+        out = base.join(facts, F.col(u) == F.col(column)).withColumn("c", F.col(other))
+        by.append("c")
+    values = [F.min(F.col(u)).alias("_lo"), F.max(F.col(u)).alias("_hi")]
+    per = out.groupBy(*by, *(F.col(x) for x in head)).agg(*values)
+    if weight is not None:
+        per = per.join(weight, ["rid", *head])
+    support = F.sum("n") if weight is not None else F.count(F.lit(1))
+    out = per.groupBy(*by).agg(support.alias("support"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    out = out.filter("_lo <> _hi") if kind == "instantiated" else out.withColumn("c", F.lit(None).cast("string"))
     return out.select("rid", F.lit(kind).alias("kind"), F.lit(u).alias("u"), F.lit(v).alias("v"), "p", "c", "support")
 
 
-def refinements(kb: KB, parents: Sequence[tuple[int, Query, int]], wants) -> DataFrame | None:
+def _bodies(kb: KB, shape, rows, head: list[str], u: str) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """(bindings, head variables among them, weight) for atoms on ``u``: of bodies alone where these touch the head in one variable."""
+    met = [x for x in head if x in variables(shape[1:])]
+    if len(head) == 2 and len(met) == 1 and u in variables(shape[1:]):
+        (x,) = met
+        side = "s" if shape[0][0] == x else "o"
+        relation = int(shape[0][1][1:])
+        names = F.broadcast(kb.spark.createDataFrame([(rid, n[relation]) for rid, n in rows], "rid long, p string"))
+        weight = kb.df.join(names, "p").groupBy("rid", F.col(side).alias(x)).agg(F.count(F.lit(1)).alias("n"))
+        return bindings(kb, shape, rows, list(dict.fromkeys([x, u])), head=False), [x], weight
+    return bindings(kb, shape, rows, list(dict.fromkeys([*head, u]))), head, None
+
+
+def refinements(kb: KB, parents: Sequence[tuple[int, Query, int]], wants, known: Joints | None = None, left_out: Sequence[str] = ()) -> DataFrame | None:
     """Candidates with their supports over the parents' thresholds.
 
     parents: (rid, rule, threshold). wants(rule): the (kind, u, v) that a rule asks for, in its own names;
-    the result names variables as ``letters`` do, in order of first use.
+    the result names variables as ``letters`` do, in order of first use. ``known``: what the store's relations share.
+    Single atoms are answered from counts of what relations have in common. A closing atom next to longer rules is
+    tried with the relations that can share entities with all its neighbours, each candidate counted in its cheapest order.
+    Relations ``left_out`` are no candidates.
     """
     limit = {rid: t for rid, _, t in parents}
-    plans = []
+    rule_of = {rid: rule for rid, rule, _ in parents}
+    plans, asked, closing = [], [], []
     for shape, rows in by_shape((rid, rule) for rid, rule, _ in parents).items():
-        rule_of = {rid: rule for rid, rule, _ in parents}
         groups: dict[tuple, list] = {}
+        alone = len(shape) == 1 and len(variables(shape)) == 2
         for rid, names in rows:
-            rule = rule_of[rid]
-            own = dict(zip(variables(rule), letters()))
-            for kind, u, v in wants(rule):
-                groups.setdefault((kind, own.get(u, u), own.get(v, v)), []).append((rid, names))
+            own = dict(zip(variables(rule_of[rid]), letters()))
+            for kind, u, v in wants(rule_of[rid]):
+                u, v = own.get(u, u), own.get(v, v)
+                if alone:
+                    asked.append((rid, names[0], kind, u, v, limit[rid]))
+                elif kind == "closing":
+                    closing.append((rid, rename(rule_of[rid], own), u, v))
+                else:
+                    groups.setdefault((kind, u, v), []).append((rid, names))
         head = variables([shape[0]])
         for (kind, u, v), own_rows in groups.items():
             for part in chunks(own_rows):
-                keep = list(dict.fromkeys([*head, u, *([v] if kind == "closing" else [])]))
-                base = bindings(kb, shape, part, keep)
+                base, met, weight = _bodies(kb, shape, part, head, u)
                 least = F.broadcast(kb.spark.createDataFrame([(rid, limit[rid]) for rid, _ in part], "rid long, t long"))
-                plans.append(_joined(base, kb, head, kind, u, v).join(least, "rid").filter("support >= t").drop("t"))
-    return reduce(DataFrame.unionByName, plans) if plans else None
-
-
-def support_counts(kb: KB, rules: Sequence[tuple[int, Query]]) -> DataFrame | None:
+                plans.append(_joined(base, kb, met, kind, u, v, weight).join(least, "rid").filter("support >= t").drop("t"))
+    for part in chunks(asked):
+        plans += _from_heads(kb, part)
+    if closing:
+        known = joints(kb) if known is None else known
+        relations = sorted({p for p, _, _, _ in known}.difference(left_out))
+        made = [(rid, (*rule, (u, p, v)), u, v, p) for rid, rule, u, v in closing for p in relations if fits(known, rule, (u, p, v))]
+        for part in chunks(made, 10 * MOST):
+            if counts := support_counts(kb, [(k, m[1]) for k, m in enumerate(part)], known):
+                names = F.broadcast(kb.spark.createDataFrame([(k, rid, "closing", u, v, p, limit[rid]) for k, (rid, _, u, v, p) in enumerate(part)], "k long, rid long, kind string, u string, v string, p string, t long"))
+                found = counts.withColumnRenamed("rid", "k").join(names, "k").filter("support >= t")
+                plans.append(found.select("rid", "kind", "u", "v", "p", F.lit(None).cast("string").alias("c"), "support"))
+    if not plans:
+        return None
+    found = reduce(DataFrame.unionByName, plans)
+    return found.filter(~F.col("p").isin(list(left_out))) if left_out else found
+
+
+def support_counts(kb: KB, rules: Sequence[tuple[int, Query]], known: Joints | None = None) -> DataFrame | None:
     """(rid, support) of whole rules."""
     plans = [
-        bindings(kb, shape, part, variables([shape[0]])).groupBy("rid").agg(F.count(F.lit(1)).alias("support"))
+        bindings(kb, shape, part, variables([shape[0]]), order=order).groupBy("rid").agg(F.count(F.lit(1)).alias("support"))
         for shape, rows in by_shape(rules).items()
-        for part in chunks(rows)
+        for order, own in by_order(known, shape, rows)
+        for part in chunks(own)
     ]
     return reduce(DataFrame.unionByName, plans) if plans else None
 
@@ -80,28 +142,30 @@ def _existential(shape, functional: int) -> tuple[str, str | None]:
     return f, other if other is not None and is_var(other) else None
 
 
-def body_sizes(kb: KB, rules: Sequence[tuple[int, Query, int]], pca: bool) -> DataFrame | None:
+def body_sizes(kb: KB, rules: Sequence[tuple[int, Query, int]], pca: bool, single: bool = False, known: Joints | None = None) -> DataFrame | None:
     """(rid, n): distinct head pairs of the bodies; with ``pca``, those whose functional argument the head relation has.
 
-    rules: (rid, rule, functional position).
+    rules: (rid, rule, functional position). With ``single``, functional arguments alone are counted.
     """
     plans = []
     groups: dict[tuple, list] = {}
     for rid, rule, functional in rules:
         ((shape, rows),) = by_shape([(rid, rule)]).items()
-        groups.setdefault((shape, functional if pca else 0), []).extend(rows)
+        groups.setdefault((shape, functional if pca or single else 0), []).extend(rows)
     for (shape, functional), rows in groups.items():
         in_body = set(variables(shape[1:]))
         keep = [v for v in variables([shape[0]]) if v in in_body]
-        for part in chunks(rows):
-            pairs = bindings(kb, shape, part, keep, head=False)
+        if single:
+            keep = [v for v in keep if v == _existential(shape, functional)[0]] or keep
+        for order, part in ((order, part) for order, own in by_order(known, shape, rows, head=False) for part in chunks(own)):
+            pairs = bindings(kb, shape, part, keep, head=False, order=order)
             if pca:
                 f, _ = _existential(shape, functional)
                 side = "s" if f == shape[0][0] else "o"
                 relation = int(shape[0][1][1:])
                 names = F.broadcast(kb.spark.createDataFrame([(rid, n[relation]) for rid, n in part], "rid long, _r string"))
-                known = kb.df.select(F.col("p").alias("_r"), F.col(side).alias(f)).distinct().join(names, "_r").select("rid", f)
-                pairs = pairs.join(known, ["rid", f], "left_semi")
+                there = kb.df.select(F.col("p").alias("_r"), F.col(side).alias(f)).distinct().join(names, "_r").select("rid", f)
+                pairs = pairs.join(there, ["rid", f], "left_semi")
             plans.append(pairs.groupBy("rid").agg(F.count(F.lit(1)).alias("n")))
     return reduce(DataFrame.unionByName, plans) if plans else None
 

@@ -1,10 +1,17 @@
-"""A knowledge base made of the star-schema tables, and one with a taxonomy on top; each as SQL that also other engines run."""
+"""A knowledge base made of the star-schema tables, and one with a taxonomy on top; each as SQL that also other engines run.
+
+Each is stored once a session and folder of tables, by relation, in the shared folder; queries read the relations they name.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from hornspark.sources.files import load, save
 from hornspark.sources.kb import KB
+from hornspark.sources.shared import shared_folder
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -57,15 +64,12 @@ def _select(s: str, p: str, o: str, source: str) -> str:
 
 
 KB_SQL = "SELECT DISTINCT s, p, o FROM (\n" + "\nUNION ALL ".join(_select(s, f"'{p}'", o, t) for p, s, o, t in _FACTS) + "\n) t WHERE s IS NOT NULL AND o IS NOT NULL"
-TAXONOMY_SQL = (
-    f"SELECT DISTINCT s, p, o FROM (\n{KB_SQL}\nUNION ALL "
-    + "\nUNION ALL ".join(
-        [_select(s, "'rdf:type'", o, t) for s, o, t in _TYPES]
-        + [_select("concat('seg_', c_mktsegment)", "'rdfs:subClassOf'", "'Customer'", "customer"), _select("concat('st_', o_orderstatus)", "'rdfs:subClassOf'", "'Order'", "orders")]
-        + [f"SELECT '{s}' AS s, '{p}' AS p, '{o}' AS o" for s, p, o in _SCHEMA]
-    )
-    + "\n) u WHERE s IS NOT NULL AND o IS NOT NULL"
+_TAXONOMY = "\nUNION ALL ".join(
+    [_select(s, "'rdf:type'", o, t) for s, o, t in _TYPES]
+    + [_select("concat('seg_', c_mktsegment)", "'rdfs:subClassOf'", "'Customer'", "customer"), _select("concat('st_', o_orderstatus)", "'rdfs:subClassOf'", "'Order'", "orders")]
+    + [f"SELECT '{s}' AS s, '{p}' AS p, '{o}' AS o" for s, p, o in _SCHEMA]
 )
+TAXONOMY_SQL = f"SELECT DISTINCT s, p, o FROM (\n{KB_SQL}\nUNION ALL {_TAXONOMY}\n) u WHERE s IS NOT NULL AND o IS NOT NULL"
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -76,9 +80,28 @@ def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(text, **{t: f for t, f in frames.items() if f"{{{t}}}" in text})
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> KB:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        save(build(), where)
+        _STORED[key] = where
+    return load(spark, _STORED[key])
+
+
 def star_kb(spark: SparkSession, sf_dir: str) -> KB:
-    return KB(_run(spark, sf_dir, KB_SQL), distinct=False)
+    """Only relations whose tables may repeat a fact are made distinct; the others have a key."""
+    repeated = {"suppliedBy", "buysFrom", "didEvent"}
+
+    def build() -> KB:
+        parts = [f"SELECT {'DISTINCT ' if p in repeated else ''}{s} AS s, '{p}' AS p, {o} AS o FROM {t}" for p, s, o, t in _FACTS]
+        return KB(_run(spark, sf_dir, "\nUNION ALL ".join(parts)).dropna(), distinct=False)
+
+    return _stored(spark, sf_dir, "star", build)
 
 
 def taxonomy_kb(spark: SparkSession, sf_dir: str) -> KB:
-    return KB(_run(spark, sf_dir, TAXONOMY_SQL), distinct=False)
+    return _stored(spark, sf_dir, "taxonomy", lambda: star_kb(spark, sf_dir).union(KB(_run(spark, sf_dir, _TAXONOMY))))

@@ -4,67 +4,85 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from hornspark.functions.rules import canonical, is_closed
+from hornspark.functions.rules import Rule, canonical, is_closed, subsumes
 from hornspark.functions.terms import is_var, parse_rule, variables
-from hornspark.operators import predict, prep, query, stats, taxonomy
+from hornspark.operators import bounds, predict, prep, query, stats, taxonomy
 from hornspark.plans.mine import MiningConfig, mine
+from hornspark.plans.pairs import joints
 from hornspark.sources import files
 from hornspark.sources.kb import KB
 
-FACTS = """Luis wasBornIn Guayaquil
-Thomas wasBornIn Munich
-Antoine wasBornIn Colmar
-Oana livesIn Paris
-Luis livesIn Paris
-Thomas livesIn Paris
-Antoine livesIn Paris
-Ambar worksAt ESPOL
-Luis worksAt Telecom
-Thomas worksAt Telecom
-Antoine worksAt Telecom
-Telecom isLocatedIn Paris"""
+FACTS = """otter dockedAt north
+heron dockedAt north
+swift dockedAt south
+otter carries grain
+heron carries salt
+heron carries grain
+crane carries salt
+north suppliedWith grain
+south suppliedWith salt
+otter builtIn east
+swift builtIn east
+grebe builtIn west"""
+TRIPLES = {tuple(x.split()) for x in FACTS.splitlines()}
 
 
 def kb_of(spark, text):
     return KB(spark.createDataFrame([tuple(x.split()) for x in text.splitlines()], "s string, p string, o string"))
 
 
+def subjects_of(p, facts=TRIPLES):
+    return {s for s, q, _ in facts if q == p}
+
+
 @pytest.fixture(scope="module")
 def kb(spark):
-    return kb_of(spark, FACTS + "\nLuis livesIn Paris").persist()
+    return kb_of(spark, FACTS + "\nheron carries salt").persist()
 
 
 def values(df, column=None):
     return {r[0] if column is None else r[column] for r in df.collect()}
 
 
-def test_negation(kb):
-    assert values(query.select(kb, ["?x"], "worksAt ~exists ?x")) == {"Oana", "Telecom"}
-    assert values(query.select(kb, ["?x"], "?x ~exists Luis")) == {"isLocatedIn"}
-    assert not query.exists(kb, "wasBornIn ~exists Antoine") and query.exists(kb, "wasBornIn ~exists Ambar") and query.exists(kb, "wasBornIn ~existsInv Paris")
-    assert query.count_atom(kb, "hasChild ~exists ?x").first().n == 6
+@pytest.mark.parametrize("relation", ["dockedAt", "carries", "suppliedWith", "builtIn"])
+def test_negation(kb, relation):
+    subjects, objects = {s for s, _, _ in TRIPLES}, {o for _, _, o in TRIPLES}
+    assert values(query.select(kb, ["?x"], f"{relation} ~exists ?x")) == subjects - subjects_of(relation)
+    assert values(query.select(kb, ["?x"], f"{relation} ~existsInv ?x")) == objects - {o for _, p, o in TRIPLES if p == relation}
+    assert values(query.select(kb, ["?x"], f"{relation} exists ?x")) == subjects_of(relation)
+    for e in ("otter", "crane", "north"):
+        assert query.exists(kb, f"{relation} ~exists {e}") == (e not in subjects_of(relation))
+    assert values(query.select(kb, ["?x"], "?x ~exists heron")) == {p for _, p, _ in TRIPLES} - {p for s, p, _ in TRIPLES if s == "heron"}
+    assert query.count_atom(kb, "sails ~exists ?x").first().n == len(subjects)
 
 
 def test_typed_queries(spark, kb):
-    more = kb.union(kb_of(spark, "Paris rdf:type City\nMunich rdf:type City\nColmar rdf:type City\nGuayaquil rdf:type City"))
-    assert values(query.select(more, ["?x"], "wasBornIn ~existsInv ?x  ?x rdf:type City")) == {"Paris"}
-    people = kb.union(kb_of(spark, "\n".join(f"{x} rdf:type Person" for x in ("Oana", "Luis", "Thomas", "Antoine", "Ambar"))))
-    assert ("wasBornIn", "Ambar") in {tuple(r) for r in query.select(people, ["?x", "?y"], "?x ~exists ?y  ?y rdf:type Person").collect()}
-    extra = kb.union(kb_of(spark, "Jonathan worksAt INRIA\nJonathan livesIn Villejuif\nINRIA isLocatedIn Saclay\nOana worksAt INRIA"))
-    assert values(query.select(extra, ["?x"], "?x worksAt ?t  ?t isLocatedIn ?c  ?x livesIn ?c")) == {"Thomas", "Antoine", "Luis"}
+    ships = sorted(subjects_of("carries") | subjects_of("dockedAt"))
+    typed = kb.union(kb_of(spark, "\n".join(f"{x} rdf:type Ship" for x in ships)))
+    assert values(query.select(typed, ["?x"], "dockedAt ~exists ?x  ?x rdf:type Ship")) == set(ships) - subjects_of("dockedAt")
+    assert ("dockedAt", "crane") in {tuple(r) for r in query.select(typed, ["?x", "?y"], "?x ~exists ?y  ?y rdf:type Ship").collect()}
+    more = TRIPLES | {("crane", "dockedAt", "south"), ("swift", "carries", "tar")}
+    path = [("?x", "dockedAt", "?t"), ("?t", "suppliedWith", "?c"), ("?x", "carries", "?c")]
+    extra = kb.union(kb_of(spark, "crane dockedAt south\nswift carries tar"))
+    assert {tuple(r) for r in query.select(extra, ["?x"], path).collect()} == brute(more, path, ["?x"])
 
 
 def test_set_semantics_and_cardinality(kb):
-    assert kb.df.count() == 12 and kb.relation_sizes["livesIn"] == 4
-    assert query.count(kb, ["?x"], "?x hasNumberOfValuesEquals0 worksAt").first().n == 2
-    assert query.count(kb, ["?x"], "?x hasNumberOfValuesGreaterThanInv2 worksAt").first().n == 1
+    carried = {s: len({o for t, p, o in TRIPLES if p == "carries" and t == s}) for s, _, _ in TRIPLES}
+    assert kb.df.count() == len(TRIPLES) and kb.relation_sizes["carries"] == sum(carried.values())
+    for n in (0, 1, 2):
+        assert query.count(kb, ["?x"], f"?x hasNumberOfValuesEquals{n} carries").first().n == sum(k == n for k in carried.values())
+        assert query.count(kb, ["?x"], f"?x hasNumberOfValuesGreaterThan{n} carries").first().n == sum(k > n for k in carried.values())
+    assert query.count(kb, ["?x"], "?x hasNumberOfValuesGreaterThanInv1 dockedAt").first().n == 1
     with pytest.raises(ValueError):
         query.select(kb, ["?x"], "?x hasNumberOfValuesEquals1 ?r").collect()
-    assert query.count_up_to(kb, 2, ["?x", "?y"], "?x livesIn ?y").first().n == 3
-    assert stats.sizes(kb).first().asDict() == {"facts": 12, "subjects": 6, "relations": 4, "objects": 6, "entities": 11}
-    assert values(query.difference(kb, ["?x"], "?x livesIn ?y", "?x worksAt ?z")) == {"Oana"}
-    assert query.select(kb, ["?x", "?y"], "?x equals ?y  ?x worksAt ESPOL").first().asDict() == {"x": "Ambar", "y": "Ambar"}
+    assert query.count_up_to(kb, 2, ["?x", "?y"], "?x carries ?y").first().n == 3
+    subjects, objects = {s for s, _, _ in TRIPLES}, {o for _, _, o in TRIPLES}
+    assert stats.sizes(kb).first().asDict() == {"facts": len(TRIPLES), "subjects": len(subjects), "relations": 4, "objects": len(objects), "entities": len(subjects | objects)}
+    assert values(query.difference(kb, ["?x"], "?x dockedAt ?y", "?x carries ?z")) == subjects_of("dockedAt") - subjects_of("carries")
+    assert query.select(kb, ["?x", "?y"], "?x equals ?y  ?x builtIn west").first().asDict() == {"x": "grebe", "y": "grebe"}
 
 
 def brute(facts, atoms, out):
@@ -122,18 +140,126 @@ def test_mining_against_brute_force(spark, seed):
     assert got == brute_rules(facts, 3, 2)
 
 
+LOOSE = dict(min_support=2, min_initial_support=2, pruning_metric="support", min_pca_confidence=0.0, min_std_confidence=0.0, skyline="off", perfect_rules=False)
+
+
+def small_kb(spark, seed, entities=7, relations=3, n=32):
+    rng = random.Random(seed)
+    facts = {(f"e{rng.randrange(entities)}", f"r{rng.randrange(relations)}", f"e{rng.randrange(entities)}") for _ in range(n)}
+    facts = {f for f in facts if f[0] != f[2]}
+    return facts, KB(spark.createDataFrame(sorted(facts), "s string, p string, o string"))
+
+
 def test_mining_options(spark, kb):
     base = dict(min_support=1, min_initial_support=1, pruning_metric="support", min_pca_confidence=0.0, skyline="off")
     rules = {canonical(r.atoms) for r in mine(kb, MiningConfig(**base))}
-    path = canonical(parse_rule("?a worksAt ?c  ?c isLocatedIn ?b => ?a livesIn ?b"))
+    path = canonical(parse_rule("?a dockedAt ?c  ?c suppliedWith ?b => ?a carries ?b"))
     assert path in rules
-    assert all(r[0][1] == "livesIn" for r in (x.atoms for x in mine(kb, MiningConfig(**base, head_targets=("livesIn",)))))
-    assert path not in {canonical(r.atoms) for r in mine(kb, MiningConfig(**base, body_excluded=("worksAt",)))}
-    constant = mine(kb, MiningConfig(**base | {"min_support": 2}, constants=True, max_depth=2))
-    assert any(any(not is_var(t) for a in r.atoms for t in (a[0], a[2])) for r in constant)
+    assert all(r[0][1] == "carries" for r in (x.atoms for x in mine(kb, MiningConfig(**base, head_targets=("carries",)))))
+    assert path not in {canonical(r.atoms) for r in mine(kb, MiningConfig(**base, body_excluded=("dockedAt",)))}
     assert path in {canonical(r.atoms) for r in mine(kb, MiningConfig(**base, bias="chain"))}
+    for bad in (dict(head_targets=("a",), head_excluded=("b",)), dict(bias="lzay"), dict(max_depth=1)):
+        with pytest.raises(ValueError):
+            MiningConfig(**bad)
+
+
+def test_constants_against_brute_force(spark):
+    facts, small = small_kb(spark, 5, n=40)
+    want = {}
+    for h in sorted({p for _, p, _ in facts}):
+        pairs = {(s, o) for s, p, o in facts if p == h}
+        if len(pairs) < 2:
+            continue
+        place = 0 if len({s for s, _ in pairs}) >= len({o for _, o in pairs}) else 1
+        for c in {x[1 - place] for x in pairs}:
+            holds = {x[place] for x in pairs if x[1 - place] == c}
+            if len(holds) < 2:
+                continue
+            head = ("?a", h, c) if place == 0 else (c, h, "?a")
+            for p, side, k in {(p, i, (o, s)[i]) for s, p, o in facts for i in (0, 1)}:
+                body = {(s, o)[side] for s, q, o in facts if q == p and (o, s)[side] == k}
+                atom = ("?a", p, k) if side == 0 else (k, p, "?a")
+                if atom != head and len(holds & body) >= 2:
+                    want[canonical((head, atom))] = (len(holds & body), len(body), len(body & {x[place] for x in pairs}))
+    got = {canonical(r.atoms): (r.support, r.body_size, r.pca_body_size) for r in mine(small, MiningConfig(**LOOSE, std=True, only_constants=True, max_depth=2))}
+    assert want and got == want
+
+
+def test_one_variable_and_seeds_against_brute_force(spark):
+    facts, small = small_kb(spark, 8)
+    seeds = {f"e{k}" for k in range(0, 7, 2)}
+    table = spark.createDataFrame([(x,) for x in seeds], "entity string")
+    for bias, more in (("one_variable", {}), ("seeds", {"seeds": table})):
+        rules = mine(small, MiningConfig(**LOOSE, std=True, bias=bias, max_depth=3), **more)
+        assert rules
+        for r in rules:
+            v = r.functional_variable
+            counted = lambda atoms: {x for (x,) in brute(facts, atoms, [v]) if bias != "seeds" or x in seeds}  # noqa: E731, B023
+            assert r.support == len(counted(r.atoms)) and r.body_size == len(counted(r.atoms[1:])), r
+            place = 0 if r.functional == 0 else 2
+            assert r.pca_body_size == len(counted(r.atoms[1:]) & {f[place] for f in facts if f[1] == r.atoms[0][1]}), r
     with pytest.raises(ValueError):
-        MiningConfig(head_targets=("a",), head_excluded=("b",))
+        mine(small, MiningConfig(bias="seeds"))
+
+
+def test_bounds_skyline_and_perfect_rules(spark):
+    facts, small = small_kb(spark, 11, relations=2, n=36)
+    every = {canonical(r.atoms): r for r in mine(small, MiningConfig(**LOOSE, std=True))}
+    cut = LOOSE | dict(min_pca_confidence=0.4)
+    kept = {k for k, r in every.items() if r.pca_confidence >= 0.4}
+    with_bounds = {canonical(r.atoms): r for r in mine(small, MiningConfig(**cut, bounds=True))}
+    assert set(with_bounds) == kept and any(r.pca_upper_bound is not None for r in with_bounds.values())
+    assert all(r.pca_upper_bound is None or r.pca_upper_bound >= r.pca_confidence for r in with_bounds.values())
+    sky = {canonical(r.atoms) for r in mine(small, MiningConfig(**cut | dict(skyline="intended"), std=True))}
+    assert sky < set(every)
+    for k in kept - sky:  # dropped for a rule of fewer atoms that is as good
+        assert any(subsumes(q, k) and len(q) < len(k) and every[q].pca_confidence >= every[k].pca_confidence for q in every)
+    for k in sky:
+        assert not any(len(q) < len(k) and every[q].pca_confidence >= max(0.4, every[k].pca_confidence) and subsumes(q, k) for q in sky)
+    perfect = {canonical(r.atoms) for r in mine(small, MiningConfig(**LOOSE | dict(perfect_rules=True)))}
+    assert perfect <= set(every)
+
+
+def test_typed_and_existential_heads(spark):
+    facts, small = small_kb(spark, 13)
+    typed = small.union(kb_of(spark, "\n".join(f"e{k} rdf:type T{k % 2}" for k in range(7))))
+    rules = [r for r in mine(typed, MiningConfig(**LOOSE, std=True, bias="typed", max_depth=2))]
+    both = [r for r in rules if any(a[1] == "rdf:type" and a[2].startswith("T") for a in r.atoms[1:]) and len(r.atoms) == 3]
+    all_ = facts | {(f"e{k}", "rdf:type", f"T{k % 2}") for k in range(7)}
+    assert both
+    for r in both:
+        head = variables([r.atoms[0]])
+        assert r.support == len(brute(all_, r.atoms, head)) and r.body_size == len(brute(all_, r.atoms[1:], [v for v in head if v in variables(r.atoms[1:])]))
+    open_ = mine(small, MiningConfig(**LOOSE, bias="existential_head", max_depth=3))
+    assert any(not is_closed(r.atoms) for r in open_)
+
+
+def test_registered_bias_and_operator(spark):
+    from hornspark.plans import mine as module
+
+    facts, small = small_kb(spark, 17)
+    module.register_bias("short", wants=lambda miner, r: [("closing", "?b", "?a")] if len(r.atoms) == 1 else [])
+    try:
+        rules = mine(small, MiningConfig(**LOOSE, bias="short"))
+        assert rules and all(len(r.atoms) == 2 and (r.atoms[1][0], r.atoms[1][2]) == (r.atoms[0][2], r.atoms[0][0]) for r in rules)
+        with pytest.raises(ValueError):
+            module.register_bias("odd", counts=print)
+        with pytest.raises(ValueError):
+            module.register_operator("later", lambda miner, r: [], depends_on="earlier")
+    finally:
+        del module._BIASES["short"]
+
+
+def test_estimate_of_long_paths(spark):
+    """Where each value leads on to one, the estimate is the PCA confidence, at any length of the path."""
+    facts = [(f"a{k}", "h", f"d{k % 4}") for k in range(12)] + [(f"a{k}", "p", f"b{k}") for k in range(12)] + [(f"b{k}", "q", f"c{k % 6}") for k in range(12)] + [(f"c{k}", "r", f"d{k % 3}") for k in range(6)]
+    small = KB(spark.createDataFrame(facts, "s string, p string, o string"))
+    known, table = joints(small), {r.p: r.asDict() for r in stats.profile(small).collect()}
+    for text in ("?a p ?c  ?c q ?e  ?e r ?b => ?a h ?b",):
+        rule = Rule(parse_rule(text), support=len(brute(set(facts), parse_rule(text), ["?a", "?b"])), head_size=12, functional=0)
+        (r,) = bounds.pca_estimates([rule], table, known)
+        size = 12 / 1 * (12 * (6 / 12) / (12 * 1)) * (6 * (3 / 6) / (6 * 1))
+        assert r.pca_estimate == pytest.approx(rule.support / size)
 
 
 def test_taxonomy(spark):
@@ -162,18 +288,18 @@ def test_files(spark, tmp_path):
 
 
 def test_prep(spark, kb):
-    hops = {r.entity: r.hop for r in prep.neighbourhood(kb, spark.createDataFrame([("Luis",)], "entity string"), 2).collect()}
-    assert hops == {"Luis": 0, "Guayaquil": 1, "Paris": 1, "Telecom": 1}
-    dates = spark.createDataFrame([("3 May 1999",), ("1999",), ("soon",)], "d string").select(prep.date_literal("d") if False else prep.date_literal(__import__("pyspark").sql.functions.col("d")))
+    hops = {r.entity: r.hop for r in prep.neighbourhood(kb, spark.createDataFrame([("otter",)], "entity string"), 2).collect()}
+    assert hops == {"otter": 0, "north": 1, "grain": 1, "east": 1}
+    dates = spark.createDataFrame([("3 May 1999",), ("1999",), ("soon",)], "d string").select(prep.date_literal(F.col("d")))
     assert [r[0] for r in dates.collect()] == ['"1999-05-03"^^xsd:date', '"1999-##-##"^^xsd:date', '"soon"']
 
 
 def test_predictions(spark, kb):
-    rules = [(parse_rule("?a worksAt ?c  ?c isLocatedIn ?b => ?a livesIn ?b"), 0.8), (parse_rule("?a wasBornIn ?b => ?a livesIn ?b"), 0.5)]
-    train = kb.delete(kb.df.filter("s = 'Luis' and p = 'livesIn'"))
-    test = kb.df.filter("s = 'Luis' and p = 'livesIn'")
+    rules = [(parse_rule("?a dockedAt ?c  ?c suppliedWith ?b => ?a carries ?b"), 0.8), (parse_rule("?a builtIn ?b => ?a carries ?b"), 0.5)]
+    mine_ = "s = 'otter' and p = 'carries'"
+    train, test = kb.delete(kb.df.filter(mine_)), kb.df.filter(mine_)
     found = predict.predictions(train, rules)
-    assert {(r.s, r.o): r.confidences for r in found.collect()}[("Luis", "Paris")] == [0.8]
+    assert {(r.s, r.o): r.confidences for r in found.collect()}[("otter", "grain")] == [0.8]
     whole = [r for r in predict.rank_metrics(found, test, train.df).collect() if r.p is None and r.side is None][0]
     assert whole.n == 2 and whole.mrr == 1.0 and whole.hits1 == 1.0
 
