@@ -159,8 +159,8 @@ def body_sizes(kb: KB, rules: Sequence[tuple[int, Query, int]], pca: bool, singl
             keep = [v for v in keep if v == _existential(shape, functional)[0]] or keep
         for order, part in ((order, part) for order, own in by_order(known, shape, rows, head=False) for part in chunks(own)):
             pairs = bindings(kb, shape, part, keep, head=False, order=order)
-            if pca:
-                f, _ = _existential(shape, functional)
+            f, _ = _existential(shape, functional)
+            if pca and f in keep:  # an open rule's body may not have it
                 side = "s" if f == shape[0][0] else "o"
                 relation = int(shape[0][1][1:])
                 names = F.broadcast(kb.spark.createDataFrame([(rid, n[relation]) for rid, n in part], "rid long, _r string"))
