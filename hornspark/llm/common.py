@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import shutil
@@ -269,6 +270,25 @@ def fragments(spark: SparkSession, df: DataFrame, per: int = 16 << 20, least: in
     return n
 
 
+def trim() -> None:
+    """Give memory that a worker has freed back to the system, so that idle workers do not hold what one chunk took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def planed(rows: np.ndarray) -> bytes:
+    """Structured rows byte by byte of a row, all rows' first bytes first: bytes that hardly change lie side by side and compress."""
+    return rows.view(np.uint8).reshape(len(rows), rows.dtype.itemsize).T.tobytes()
+
+
+def unplaned(buffer, dtype: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(buffer, np.uint8).reshape(dtype.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
 def record_slices(key: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """``rows`` (structured) by ``key``: each key with its rows, in key order."""
     if not len(key):

@@ -14,8 +14,8 @@ hash with probability 2^-64). Two documents link when 100 * |intersection| >= 80
    of many pairs each class with a few leaders per band of lengths, in turns that leave out what
    components already join, and last whatever is left between different components. So a
    group of copies costs its size and not its square, and no link between components is missed.
-   Each class has a bitmap of parities, which bounds the overlap of a pair from above and drops
-   most pairs that do not link.
+   Each class has a bitmap of parities (long ones have a second, wider one), which bounds the overlap of a
+   pair from above and drops most pairs that do not link.
 4. Pivots cut the global order into fragments: CUTS ranges of hashes among the shingles of rank 0,
    and those of higher ranks. Each (class, fragment) is a row of its own, with the class's shingles
    in that fragment. A pair meets once in each fragment, where its partial overlap is counted
@@ -53,21 +53,26 @@ from hornspark.llm.common import (
     fresh,
     int64,
     named,
+    planed,
     record_slices,
     small_batches,
     split_by,
     texts,
+    trim,
+    unplaned,
 )
 from hornspark.llm.components import components
 
+#: Bytes of shingles or entries that a task gathers before it hands them on.
+CHUNK = CHUNK_BYTES // 2
 #: Similarity as a fraction of whole numbers.
 NUM, DEN = 4, 5
 #: Counters in each of the two rows of the sketch; a bound on what is broadcast, as one byte each. It steers cost, not results.
 CELLS = 1 << 20
 #: Classes of one chunk that hold a shingle before it is counted.
 HEAVY_LOCAL = 3
-#: Bits of a class's bitmap.
-BITS = 1024
+#: Bits of a class's bitmap, and of the second one that classes of more than LONG shingles have.
+BITS, WIDE, LONG = 1 << 10, 1 << 14, 512
 #: Fragments of the order's shingles of rank 0; those of higher ranks are one more.
 CUTS = 4
 #: Classes that share a shingle and are all paired at once; beyond, leaders come first.
@@ -93,9 +98,10 @@ def class_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """The parity of the shingles in each of BITS classes. Two bitmaps differ in at most as many bits as two sets in shingles."""
-    return np.packbits(np.bincount((s >> np.uint64(3)).astype(np.int64) & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).tobytes()
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of the shingles in each of so many classes. Two bitmaps differ in at most as many bits as two sets in shingles."""
+    counts = np.bincount((s >> np.uint64(3)).astype(np.int64) & (bits - 1), minlength=bits)
+    return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
 
 
 def counters(s: np.ndarray) -> np.ndarray:
@@ -117,7 +123,7 @@ def prefix_length(n: int) -> int:
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, nid) of each row and (null, count, counter) of what is heavy in a chunk."""
     hasher, seen, held, size = Hasher(), set(), [], 0
-    names = ["doc_id", "n", "nid", "heavy", "bits"]
+    names, maps = ["doc_id", "n", "nid", "heavy", "bits", "wide"], pa.list_(pa.int64())
 
     def heavy() -> pa.RecordBatch:
         all_, count = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]), return_counts=True)
@@ -125,25 +131,29 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, which = np.unique(counters(all_[many]), return_inverse=True)
         sums = np.bincount(which.ravel(), np.tile(count[many], 2), len(cells))
         k = len(cells)
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), int64(sums), int64(cells), pa.array([True] * k, pa.bool_()), pa.nulls(k, pa.list_(pa.int64()))], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), int64(sums), int64(cells), pa.array([True] * k, pa.bool_()), pa.nulls(k, maps), pa.nulls(k, maps)], names)
 
     for batch in batches:
-        ns, ids, bits = [], [], []
+        ns, ids, bits, wide = [], [], [], []
         for text in texts(batch):
             s = shingle_set(text, hasher)
             nid = class_id(s) if len(s) else None
             ns.append(len(s))
             ids.append(nid)
-            bits.append(np.frombuffer(bitmap(s), np.int64) if nid is not None and nid not in seen else None)
+            first = nid is not None and nid not in seen
+            bits.append(bitmap(s, BITS) if first else None)
+            wide.append(bitmap(s, WIDE) if first and len(s) > LONG else None)
             if nid is not None and nid not in seen:
                 seen.add(nid)
                 held.append(s)
                 size += s.nbytes
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), int64(ns), pa.array(ids, pa.int64()), pa.array([False] * len(ns), pa.bool_()), pa.array(bits, pa.list_(pa.int64()))], names)
-        if size > CHUNK_BYTES:
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), int64(ns), pa.array(ids, pa.int64()), pa.array([False] * len(ns), pa.bool_()), pa.array(bits, maps), pa.array(wide, maps)], names)
+        if size > CHUNK:
             yield heavy()
             seen, held, size = set(), [], 0
+            trim()
     yield heavy()
+    trim()
 
 
 def _postings(sketch, parts: int):
@@ -166,8 +176,8 @@ def _postings(sketch, parts: int):
             shared = np.repeat(count > 1, count)
             e["pos"][shared] |= _SHARED
             sub = 1 + (int(e["nid"][0]) & 1023)
-            out = [(k, 0, s.tobytes()) for k, s in record_slices(part[ship], e[ship])]
-            out += [(k, sub, s.tobytes()) for k, s in record_slices(part[shared & ~ship], e[shared & ~ship])]
+            out = [(k, 0, planed(s)) for k, s in record_slices(part[ship], e[ship])]
+            out += [(k, sub, planed(s)) for k, s in record_slices(part[shared & ~ship], e[shared & ~ship])]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["part", "sub", "entries"])
 
         for batch in batches:
@@ -186,17 +196,19 @@ def _postings(sketch, parts: int):
                 held.append(e)
                 places.append((s[:k] >> np.uint64(32)).astype(np.int64) & (parts - 1))
                 size += e.nbytes
-            if size > CHUNK_BYTES:
+            if size > CHUNK:
                 yield from flush()
                 seen, held, places, size = set(), [], [], 0
+                trim()
         yield from flush()
+        trim()
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """Entries whose shingle two classes hold; of small groups that are all here, those that have a partner within bounds."""
-    e = np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in table.column("entries")])
+    e = np.concatenate([unplaned(x.as_buffer(), _ENTRY) for x in table.column("entries")])
     marked, pos = (e["pos"] & _SHARED) > 0, (e["pos"] & ~_SHARED).astype(np.int64)
     tok, nid, n = e["tok"].astype(np.int64) | table.column("part")[0].as_py() << 32, e["nid"], e["n"].astype(np.int64)
     if not table.column("sub")[0].as_py():
@@ -252,7 +264,7 @@ def _segments(sketch):
             ends = np.cumsum([0, *map(len, parts)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), int64(np.concatenate(parts or [np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([int64(nids), pa.array(cuts, pa.int32()), lists], ["nid", "cut", "part"])
-            if size > CHUNK_BYTES:
+            if size > CHUNK:
                 seen, size = set(), 0
 
     return run
@@ -262,7 +274,8 @@ def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) that link: the overlap in each fragment, summed. segments: (nid, cut, part)."""
     met = pairs.withColumn("cut", F.explode(F.array(*map(F.lit, range(CUTS + 1)))))
     for x in "ba":
-        side = segments.select(F.col("nid").alias(x), "cut", F.col("part").alias(f"part_{x}"))
+        held = split_by(segments, pairs.select(F.col(x).alias("nid")), "nid")[0]
+        side = held.select(F.col("nid").alias(x), "cut", F.col("part").alias(f"part_{x}"))
         met = met.hint("merge").join(side, [x, "cut"])
     partial = met.select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("both"))
     counted = partial.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("both").alias("both"))
@@ -313,9 +326,10 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 def _bitmap_passed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose bitmaps allow the similarity: sets that differ in d shingles overlap in (na + nb - d) / 2."""
-    bits = classes.select("nid", "bits").hint("merge")
-    both = pairs.join(bits.toDF("a", "xa"), "a").join(bits.toDF("b", "xb"), "b")
-    differ = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    maps = classes.select("nid", "bits", "wide").hint("merge")
+    both = pairs.join(maps.toDF("a", "xa", "wa"), "a").join(maps.toDF("b", "xb", "wb"), "b")
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda n, k: n + k)
+    differ = F.coalesce(apart("wa", "wb"), apart("xa", "xb"))
     size = F.col("na") + F.col("nb")
     return both.withColumn("differ", differ).filter((size - F.col("differ")) * (NUM + DEN) >= size * 2 * NUM).select("a", "b", "na", "nb", "differ")
 
@@ -349,54 +363,60 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, heavy
     first = scratch.keep(_all_pairs(few).unionByName(_leaders(many, 0)).distinct())
     passed = scratch.keep(_bitmap_passed(first, classes))
 
-    def resolve(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that link. Only documents that name one of their classes are read on, and their segments shuffled once."""
+    def fetched(pairs: DataFrame) -> DataFrame:
+        """The segments of the pairs' classes; only documents that name one of them are read on."""
         nids = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
         roots = scratch.keep(nids.join(classes, "nid").select(F.col("root").alias("doc_id")))
         held = split_by(docs, roots, "doc_id")[0].select("text").mapInArrow(_segments(sketch), "nid long, cut int, part array<long>")
-        out = scratch.keep(verified(pairs, held.groupBy("nid", "cut").agg(F.first("part").alias("part"))).select("a", "b"))
-        scratch.free(roots)
-        return out
+        return scratch.keep(held.groupBy("nid", "cut").agg(F.first("part").alias("part")))
 
+    def resolve(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+        """Those of the pairs that link."""
+        return scratch.keep(verified(pairs, segments).select("a", "b"))
+
+    near = fetched(passed)
     best = passed.groupBy("b").agg(F.min(F.struct("differ", "a", "na", "nb")).alias("m")).select("m.a", "b", "m.na", "m.nb")
     best = scratch.keep(best)  # one likely partner each joins most groups
-    links = resolve(best)
+    links = resolve(best, near)
     comps = components(links, scratch)
     label = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
     apart = passed.join(best.select("a", "b"), ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
     apart = scratch.keep(apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "na", "nb"))
-    new = resolve(apart)
+    new = resolve(apart, near)
     if new.limit(1).count():
         links = links.unionByName(new)
         comps = components(links, scratch)
     done, turn, found = first, 1, 1
+    rest = scratch.keep(_open(many, comps))
     while True:
-        rest = scratch.keep(_open(many, comps))
         sizes = rest.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("pairs")).first()
         if not sizes.n:
             return comps
         last = not found or turn > TURNS or sizes.pairs <= DENSE * sizes.n
         more = _all_pairs(rest) if last else _leaders(rest, turn)
         more = scratch.keep(more.join(done.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
-        scratch.free(rest)
-        new = resolve(scratch.keep(_bitmap_passed(more, classes)))
-        found, turn = new.limit(1).count(), turn + 1
+        passed, found, turn = scratch.keep(_bitmap_passed(more, classes)), 0, turn + 1
+        if passed.limit(1).count():
+            new = resolve(passed, fetched(passed))
+            found = new.limit(1).count()
         if found:
             links = links.unionByName(new)
             comps = components(links, scratch)
         if last:
             return comps
         done = done.unionByName(more)
+        scratch.free(rest)
+        rest = scratch.keep(_open(many, comps))
 
 
 def grouped(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, nid) of every row, and (nid, comp, component_id, component_rows) of the classes whose component has several rows."""
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = scratch.keep(docs.mapInArrow(_survey, "doc_id long, n long, nid long, heavy boolean, bits array<long>"))
+    survey = scratch.keep(docs.mapInArrow(_survey, "doc_id long, n long, nid long, heavy boolean, bits array<long>, wide array<long>"))
     info = survey.filter("not heavy").select("doc_id", "n", "nid")
     held = survey.filter("not heavy and nid is not null").groupBy("nid")
-    classes = scratch.keep(held.agg(F.min("doc_id").alias("root"), F.count(F.lit(1)).alias("rows"), F.first("bits", ignorenulls=True).alias("bits")))
+    classes = scratch.keep(held.agg(F.min("doc_id").alias("root"), F.count(F.lit(1)).alias("rows"), *(F.first(c, ignorenulls=True).alias(c) for c in ("bits", "wide"))))
     comps = link_classes(spark, docs, classes, survey.filter("heavy"), scratch)
     known = classes.join(comps.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "root", "rows", F.coalesce("comp", "nid").alias("comp"))
     groups = known.groupBy("comp").agg(F.min("root").alias("component_id"), F.sum("rows").alias("component_rows")).filter("component_rows > 1")
@@ -429,13 +449,13 @@ def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     names = docs.columns
     doc, theirs, nid, own, verdict = fresh(names, "_doc", "_judged", "_nid", "_own", "_stays")
     judged = rows.join(first, "comp").withColumn("stays", stays).filter("not stays or copies > 1")
-    judged = scratch.keep(judged.select(F.col("doc_id").alias(doc), F.col("nid").alias(nid), F.col("stays").alias(verdict)))
+    judged = scratch.finish(judged.select(F.col("doc_id").alias(doc), F.col("nid").alias(nid), F.col("stays").alias(verdict)))  # ids; texts stay where they are
     some, others = split_by(docs.withColumn(doc, F.col("doc_id").cast("long")), judged, doc)
     schema = StructType([*some.schema.fields, StructField(own, LongType())])
     met = some.mapInArrow(_with_class(own), schema).join(judged.withColumnRenamed(doc, theirs), F.col(doc).eqNullSafe(F.col(theirs)) & (F.col(own) == F.col(nid)), "left")
     alone = met.filter(F.col(verdict).isNull()).select(*named(names))
     one = met.filter(F.col(verdict)).dropDuplicates([doc, nid]).select(*named(names))
-    return scratch.finish(others.select(*named(names)).unionByName(alone).unionByName(one))
+    return others.select(*named(names)).unionByName(alone).unionByName(one)
 
 
 def _with_class(name: str):
