@@ -890,3 +890,24 @@ def test_pipeline(spark, corpus, tmp_path):
     assert clean.keys() == cut.keys() - {600}
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == clean.keys()
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_pipeline_stages_on_odd_tables(spark, tmp_path, rows):
+    """Each stage on an empty table and on one with repeated ids, null ids and columns that have names of the operators' own."""
+    import corpus_pipeline
+
+    rng = random.Random(83)
+    texts = [prose(rng, 70) for _ in range(4)]
+    table = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[3]), (7, None), (8, ""), (9, "x" * 50_000)]
+    own = ["_at", "_hit", "_bits", "_word", "_cut", "_m0", "_doc", "_nid", "_own", "_stays", "tok", "nid", "rid"]
+    schema = "doc_id long, text string, " + ", ".join(f"{c} int" for c in own)
+    docs = spark.createDataFrame([(i, t, *range(len(own))) for i, t in table * rows], schema)
+    spark.createDataFrame([(1, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", *own]
+        left = docs.collect()
+        assert all(tuple(r)[2:] == tuple(range(len(own))) for r in left)
+    assert sorted((r.text for r in left)) == sorted(texts * rows)
+    assert len(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) == 4 * rows
