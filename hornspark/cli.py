@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
 from hornspark.plans.mine import MiningConfig
 
@@ -84,14 +85,21 @@ def main(args: list[str] | None = None) -> int:
 
     from hornspark.functions.formats import lines
     from hornspark.plans.mine import mine
-    from hornspark.sources.files import read_facts, read_rdf, write_rules
+    from hornspark.sources.files import read_facts, read_rdf, shortened, write_rules
 
     spark = SparkSession.builder.appName("hornspark").getOrCreate()
+    prefixes: list = []
 
     def read(paths):
-        rdf = [p for p in paths if p.endswith((".ttl", ".n3", ".nt"))]
-        plain = [p for p in paths if p not in rdf]
-        kbs = ([read_facts(spark, plain, o.d)] if plain else []) + ([read_rdf(spark, rdf)[0]] if rdf else [])
+        whole = [p for p in paths if p.endswith((".ttl", ".n3"))]
+        by_line = [p for p in paths if p.endswith(".nt")]  # N-Triples have no prefixes, so a line stands alone
+        plain = [p for p in paths if p not in whole and p not in by_line]
+        facts = [read_rdf(spark, p, f, shorten=False)[0].df for p, f in ((whole, True), (by_line, False)) if p]
+        kbs = [read_facts(spark, plain, o.d)] if plain else []
+        if facts:
+            rdf, table = shortened(reduce(lambda a, b: a.unionByName(b), facts))
+            prefixes.append(table)
+            kbs.append(rdf)
         return kbs[0] if len(kbs) == 1 else kbs[0].union(kbs[1])
 
     kb = read([f for f in o.files if not f.startswith(":")])
@@ -112,6 +120,9 @@ def main(args: list[str] | None = None) -> int:
         write_rules(spark, lines(rules, o.ofmt, o.verbose, config.pca), o.ofile)
     elif o.oute:
         print("\n".join(lines(rules, o.ofmt, o.verbose, config.pca)))
+    for table in prefixes:
+        for row in table.orderBy("prefix").collect():
+            print(f"{row.prefix}\t{row.iri}")
     return 0
 
 

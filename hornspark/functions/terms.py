@@ -124,3 +124,25 @@ def hard_pair(atoms: Sequence[Atom]) -> tuple[int, int] | None:
             if a[1] == b[1] and (a[0] == b[0]) != (a[2] == b[2]):
                 return i, j
     return None
+
+
+def meeting_pair(atoms: Sequence[Atom]) -> tuple[int, int] | None:
+    """The first two atoms, of any relations, that share exactly one argument in the same place."""
+    for i, a in enumerate(atoms):
+        for j in range(i + 1, len(atoms)):
+            if (a[0] == atoms[j][0]) != (a[2] == atoms[j][2]):
+                return i, j
+    return None
+
+
+def joined_pair(atoms: Sequence[Atom]) -> tuple[int, int, int, int] | None:
+    """The first two atoms of two variables each that share exactly one: their places, and where (0 or 2) it stands in each."""
+    for i, a in enumerate(atoms):
+        for j in range(i + 1, len(atoms)):
+            b = atoms[j]
+            own = [{t for t in (x[0], x[2]) if is_var(t)} for x in (a, b)]
+            shared = own[0] & own[1]
+            if len(own[0]) == len(own[1]) == 2 and len(shared) == 1:
+                (v,) = shared
+                return i, j, 0 if a[0] == v else 2, 0 if b[0] == v else 2
+    return None

@@ -190,6 +190,7 @@ _add("all_sub_types", lambda kb: taxonomy.super_types(kb).filter("super = 'Agent
 _add("all_types", lambda kb: taxonomy.all_types(kb).groupBy("type").agg(F.count(F.lit(1)).alias("n")), f"""{_CLOSURE}, a AS (SELECT s, o FROM kb WHERE p = 'rdf:type' UNION SELECT k.s, up.super FROM kb k JOIN up ON k.o = up.sub WHERE k.p = 'rdf:type')
     SELECT o AS type, count(*) AS n FROM a GROUP BY o""", typed=True, recursive=True)
 _add("special_transitive_type", lambda kb: query.count(kb, ["?x"], "?x transitiveType Agent"), f"{_CLOSURE} SELECT count(DISTINCT s) AS n FROM kb WHERE p = 'rdf:type' AND (o = 'Agent' OR o IN (SELECT sub FROM up WHERE super = 'Agent'))", typed=True, recursive=True)
+_add("special_transitive_type_proper", lambda kb: taxonomy.transitive_types(kb, reflexive=False).filter("type = 'Agent'").agg(F.count(F.lit(1)).alias("n")), f"{_CLOSURE} SELECT count(DISTINCT s) AS n FROM kb WHERE p = 'rdf:type' AND o IN (SELECT sub FROM up WHERE super = 'Agent')", typed=True, recursive=True)
 _add("domain_range", taxonomy.domains_ranges, """, pairs AS (SELECT s AS p, p AS k, o AS t, 0 AS far FROM kb WHERE p IN ('rdfs:domain', 'rdfs:range') UNION ALL
     SELECT a.s, b.p, b.o, 1 FROM kb a JOIN kb b ON a.o = b.s WHERE a.p = 'rdfs:subPropertyOf' AND b.p IN ('rdfs:domain', 'rdfs:range')),
     best AS (SELECT p, k, arg_min(t, far || t) AS t FROM pairs GROUP BY p, k)

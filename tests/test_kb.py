@@ -316,6 +316,18 @@ def test_streaming(spark, tmp_path):
     assert changed == [["r"]] and spark.read.parquet(f"{tmp_path}/kb").count() == 1
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from hornspark import cli
+
+    (tmp_path / "a.nt").write_text("".join(f"<http://h/x#{s}> <http://h/r#{p}> <http://h/x#{o}> .\n" for s, p, o in sorted(TRIPLES)))
+    assert cli.main([str(tmp_path / "a.nt"), "-mins", "2", "-pm", "support", "-minpca", "0.1"]) == 0
+    out = capsys.readouterr().out
+    assert "=> ?a" in out and "http://h/r#" in out.splitlines()[-2] + out.splitlines()[-1]
+    o = cli.parser().parse_args(["f", "-minis", "5", "-bias", "OneVar", "-const", "-itr", "a,b", "-noSkyline", "-maxad", "2", "-d", ";", "-enstd"])
+    config = cli.config_of(o)
+    assert (config.min_initial_support, config.bias, config.constants, config.instantiation_targets, config.skyline, config.max_depth, config.std) == (5, "one_variable", True, ("a", "b"), "off", 2, True)
+
+
 def test_instantiated_generation_has_all_heads(spark):
     from hornspark.operators.catalogue import _generation_2
 

@@ -7,7 +7,7 @@ import pytest
 
 from hornspark.functions.formats import chain_line, datalog, lines, reverse_datalog, rule_text
 from hornspark.functions.rules import Rule, canonical, chain, embeds, equivalent, is_closed, join_positions, open_variables, redundant, subsumes, without_stale_inequalities
-from hornspark.functions.terms import connected_component, hard_pair, is_openable, is_var, normalized, parse_atom, parse_query, parse_rule, rename, variables
+from hornspark.functions.terms import connected_component, hard_pair, is_openable, is_var, joined_pair, meeting_pair, normalized, parse_atom, parse_query, parse_rule, rename, variables
 
 NAMES = ["plain", "under_score", "c3", "<angle>", "/a/path/of.parts/with.dots", "pre_/mixed/form", "12", "\u00fcml\u00e4ut"]
 
@@ -92,6 +92,11 @@ def test_subsumption_and_shape():
     assert without_stale_inequalities((*path, ("?k", "differentFrom", "c"))) == path
 
 
+def test_pairs_of_atoms():
+    assert meeting_pair(q("?x r ?z ?y s ?z")) == (0, 1) and meeting_pair(q("?x r ?y ?x s ?y")) is None and meeting_pair(q("?x r ?y ?z s ?w ?z t ?v")) == (1, 2)
+    assert joined_pair(q("?x r ?z ?z s ?y")) == (0, 1, 2, 0) and joined_pair(q("?x r c ?x s ?y")) is None and joined_pair(q("?x r ?y ?y s ?x")) is None
+
+
 def test_connected_component():
     atoms = q("?x a ?y  ?x b ?z  ?y c E")
     assert [connected_component(atoms, s, r) for s, r in (("?y", "?x"), ("?y", "?z"), ("?x", "?y"), ("?z", "?x"), ("?w", "a"))] == [[atoms[2]], [atoms[0], atoms[2]], [atoms[1]], [], []]
