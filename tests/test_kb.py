@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hornspark.functions.rules import Rule, canonical, is_closed, subsumes
 from hornspark.functions.terms import is_var, parse_rule, variables
 from hornspark.operators import bounds, predict, prep, query, stats, taxonomy
+from hornspark.plans import pairs, refine
 from hornspark.plans.mine import MiningConfig, mine
 from hornspark.plans.pairs import joints
 from hornspark.sources import files
@@ -350,3 +351,29 @@ def test_instantiated_generation_has_all_heads(spark):
     kb = KB(spark.createDataFrame(sorted(facts), "s string, p string, o string"))
     assert {k[0] for k in want} == {"likes", "owns", "didEvent"}
     assert {(r["head"], r.place, r.p, r.c): r.support for r in _generation_2(kb, "instantiated").collect()} == want
+
+
+def hub(spark):
+    """40 x's and 30 y's that all meet in one value, and a relation with few of the pairs."""
+    facts = [(f"x{i}", "p", "h") for i in range(40)] + [(f"y{i}", "q", "h") for i in range(30)] + [(f"x{i}", "r", f"y{i}") for i in range(5)] + [("x0", "t", "h"), ("x0", "t", "g"), ("y0", "u", "h"), ("y0", "u", "g")]
+    return KB(spark.createDataFrame(facts, "s string, p string, o string"))
+
+
+def test_bodies_are_counted_by_degrees(spark):
+    kb = hub(spark)
+    rules = [(k, parse_rule(t), 0) for k, t in enumerate(("?a p ?z  ?b q ?z => ?a r ?b", "?a t ?z  ?b u ?z => ?a r ?b", "?a p ?z  ?b u ?z => ?a r ?b"))]
+    assert refine.products(kb, [r[:2] for r in rules]) == refine.products(kb, [r[:2] for r in rules], joints(kb)) == {0, 2}
+    for pca, want in ((False, {0: 1200, 1: 1, 2: 40}), (True, {0: 150, 1: 1, 2: 5})):
+        for known in (None, joints(kb)):
+            assert {r.rid: r.n for r in refine.body_sizes(kb, rules, pca, known=known).collect()} == want
+    plan = refine.body_sizes(kb, rules[:1], False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "d0" in plan and "?a" not in plan  # no pair is made
+
+
+def test_profiles_and_refinements_of_heads_from_shared_counts(spark):
+    kb = kb_of(spark, FACTS + "\neast builtIn east\neast ownedBy otter\nnorth dockedAt otter")
+    known = joints(kb)
+    want = {r.p: {k: r[k] for k in ("p", "n", "ns", "no", "fun", "ifun", "functional_pos")} for r in stats.profile(kb).collect()}
+    assert pairs.profiles(known) == want
+    found = {(r.p1, r.p2, r.inverse) for r in pairs.fact_pairs(kb).collect()}
+    assert {x for x in found if x[0] != x[1] or x[2]} <= set(pairs.meetable(known))
