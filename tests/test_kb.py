@@ -370,6 +370,11 @@ def test_bodies_are_counted_by_degrees(spark):
     assert "d0" in plan and "?a" not in plan  # no pair is made
 
 
+def test_rule_metrics_by_degrees(spark):
+    row = bounds.rule_metrics(hub(spark), parse_rule("?a p ?z  ?b q ?z => ?a r ?b"), 0).first()
+    assert (row.head_size, row.support, row.body_size, row.pca_body_size) == (5, 5, 1200, 150)
+
+
 def test_profiles_and_refinements_of_heads_from_shared_counts(spark):
     kb = kb_of(spark, FACTS + "\neast builtIn east\neast ownedBy otter\nnorth dockedAt otter")
     known = joints(kb)
