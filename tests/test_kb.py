@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -375,6 +376,13 @@ def test_rule_metrics_by_degrees(spark):
     assert (row.head_size, row.support, row.body_size, row.pca_body_size) == (5, 5, 1200, 150)
 
 
+def test_cycles_start_with_the_fewest_rows(spark):
+    found = query.select(hub(spark), ["?a", "?b"], "?a p ?n  ?b q ?n  ?a r ?b")
+    assert {tuple(r) for r in found.collect()} == {(f"x{i}", f"y{i}") for i in range(5)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join \w+, \(\?n#\d+ = \?n#\d+\)", plan)  # p and q alone make all pairs
+
+
 def test_profiles_and_refinements_of_heads_from_shared_counts(spark):
     kb = kb_of(spark, FACTS + "\neast builtIn east\neast ownedBy otter\nnorth dockedAt otter")
     known = joints(kb)
