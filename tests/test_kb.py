@@ -383,6 +383,15 @@ def test_cycles_start_with_the_fewest_rows(spark):
     assert not re.search(r"Join \w+, \(\?n#\d+ = \?n#\d+\)", plan)  # p and q alone make all pairs
 
 
+def test_stores_are_read_again_and_shuffled_once(spark, tmp_path):
+    kb = hub(spark)
+    files.save(kb, str(tmp_path / "kb"), rebalance=False)
+    stored = files.load(spark, str(tmp_path / "kb"))
+    assert {tuple(r) for r in stored.df.collect()} == {tuple(r) for r in kb.df.collect()}
+    stored.persist()
+    assert not stored.df.is_cached
+
+
 def test_profiles_and_refinements_of_heads_from_shared_counts(spark):
     kb = kb_of(spark, FACTS + "\neast builtIn east\neast ownedBy otter\nnorth dockedAt otter")
     known = joints(kb)
