@@ -18,10 +18,13 @@ smallest doc_id that has it, however the rows are laid out.
 
 Near passages: among the runs with keys that are new everywhere (for the other pairs: with a new hash
 of the run's whole extent), each is matched with the first document of its signature and with the
-PREVIOUS ones before it, never all with all. Where exact repeats do not cover a match already, it is verified on the shingles of both texts: a
+PREVIOUS ones before it. Where exact repeats do not cover a match already, it is verified on the shingles of both texts: a
 window of 50 words repeats when it lines up with a window of the other document at a Jaccard
 similarity of 0.8 or more; runs of such windows make a span, which begins and ends with words that
-both have (so a near repeat may give slightly under 50). All this depends on documents and ids alone, not on partitions.
+both have (so a near repeat may give slightly under 50). Starts that still repeat nothing, in runs with further ones
+of smaller documents in their signature, are then tried with all of these (``rest_spans``): the runs' shingles meet by
+signature, lined up at their common minimum, and a start is done with the first document that it repeats. So no partner of a
+signature is left out. All this depends on documents and ids alone, not on partitions.
 
 Result: one row per repeated span: doc_id, start_word, n_words, source_doc_id (a smaller doc_id that
 has the passage, or of merged spans one of theirs). The first document of a passage has no row for it.
@@ -77,8 +80,12 @@ _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0],
 _RUN = np.dtype([("sig", "<u8"), ("doc", "<i8"), ("i0", "<u4"), ("more", "u1"), ("c", "u1"), ("keys", "u1"), ("exact", "u1")])
 #: Starts [i0, i1] of document ``doc`` that repeat those of ``source``, ``shift`` places on.
 _MATCH = np.dtype([("doc", "<i8"), ("source", "<i8"), ("i0", "<i8"), ("i1", "<i8"), ("shift", "<i8")])
-#: Kinds of matches: exact, with the smallest document; exact, with the first of a chunk; near.
-SMALLEST, CHUNK, NEAR = 0, 1, 2
+#: Kinds of matches: exact, with the smallest document; exact, with the first of a chunk; near. REST: a run of a signature
+#: where runs have partners that NEAR does not try; its source is the signature, its shift the place of the minimum, and
+#: from bit 8 and 16 on the first and last start to try, from i0 on (none: the last is before the first).
+SMALLEST, CHUNK, NEAR, REST = 0, 1, 2, 3
+#: Runs that one run is compared with at once: at first, and at most.
+_BLOCK, _BLOCKS = 32, 2048
 MATCH = "doc_id long, source long, i0 long, i1 long, shift long, kind int"
 
 
@@ -210,6 +217,24 @@ def near(e: np.ndarray) -> np.ndarray:
     return m
 
 
+def rest(e: np.ndarray) -> np.ndarray:
+    """Of runs by (sig, doc, i0): those of signatures where ``near`` leaves a run of a smaller document out, as REST rows."""
+    if not len(e):
+        return np.empty(0, _MATCH)
+    at = np.arange(len(e))
+    opens = np.r_[True, e["sig"][1:] != e["sig"][:-1]]
+    own = np.maximum.accumulate(np.where(opens | np.r_[True, e["doc"][1:] != e["doc"][:-1]], at, 0))
+    asks = own - np.maximum.accumulate(np.where(opens, at, 0)) > 1 + PREVIOUS
+    group = np.cumsum(opens) - 1
+    some = np.flatnonzero((np.bincount(group, asks) > 0)[group])
+    e, asks = e[some], asks[some]
+    m = np.empty(len(e), _MATCH)
+    m["doc"], m["source"], m["i0"], m["i1"] = e["doc"], e["sig"].view(np.int64), e["i0"], e["i0"].astype(np.int64) + e["more"]
+    more = e["more"].astype(np.int64)
+    m["shift"] = e["c"] | np.where(asks, more << 16, 1 << 8)
+    return m
+
+
 def joined(m: np.ndarray) -> np.ndarray:
     """_MATCH rows, where runs of one document, source and shift that touch or overlap are one."""
     if not len(m):
@@ -286,29 +311,46 @@ def _grouped(table: pa.Table) -> pa.Table:
         size = np.diff(np.r_[first, len(e)])
         e, keys = _chosen(e, keys, np.flatnonzero(np.repeat(size > 1, size)))
         new, found, _ = exact(e, keys)
-        kinds = [(SMALLEST, joined(found)), (NEAR, joined(near(e[new])))]
+        e = e[new]
+        kinds = [(SMALLEST, joined(found)), (NEAR, joined(near(e))), (REST, rest(e))]
     columns = {to: int64(np.concatenate([m[of] for _, m in kinds])) for to, of in (("doc_id", "doc"), ("source", "source"), ("i0", "i0"), ("i1", "i1"), ("shift", "shift"))}
     return pa.table(columns | {"kind": pa.array(np.concatenate([np.full(len(m), k, np.int32) for k, m in kinds]))})
 
 
-def uncovered(m: np.ndarray, cover: np.ndarray) -> np.ndarray:
-    """The matches with the starts from the first to the last that ``cover`` (rows of the same document) lacks."""
-    if not len(m) or not len(cover):
-        return m
-    top = int(max(m["i1"].max(), cover["i1"].max())) + 2
+def _open(i0: np.ndarray, i1: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of [i0, i1], the first and last starts that no [c0, c1] has; where all are had, the last is before the first."""
+    if not len(i0) or not len(c0):
+        return i0, i1
+    top = int(max(i1.max(), c1.max())) + 2
     steps = np.zeros(top + 1, np.int64)
-    np.add.at(steps, cover["i0"], 1)
-    np.add.at(steps, cover["i1"] + 1, -1)
+    np.add.at(steps, c0, 1)
+    np.add.at(steps, c1 + 1, -1)
     open_ = np.flatnonzero(np.cumsum(steps)[:top] == 0)  # top - 1 is always there
-    after, before = np.searchsorted(open_, m["i0"]), np.searchsorted(open_, m["i1"], "right") - 1
-    left = after <= before
+    after, before = np.searchsorted(open_, i0), np.searchsorted(open_, i1, "right") - 1
+    return open_[after], np.where(after <= before, open_[before], open_[after] - 1)
+
+
+def uncovered(m: np.ndarray, cover: np.ndarray) -> np.ndarray:
+    """The matches with the starts from the first to the last that ``cover`` (rows of the same document) lacks."""
+    lo, hi = _open(m["i0"], m["i1"], cover["i0"], cover["i1"])
+    left = lo <= hi
     out = m[left]
-    out["i0"], out["i1"] = open_[after[left]], open_[before[left]]
+    out["i0"], out["i1"] = lo[left], hi[left]
     return out
 
 
+def _asking(m: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
+    """REST rows of one document with the starts to try that no [c0, c1] has."""
+    m = m.copy()
+    lo, hi = m["i0"] + (m["shift"] >> 8 & 255), m["i0"] + (m["shift"] >> 16)
+    asks = np.flatnonzero(lo <= hi)
+    lo, hi = (x - m["i0"][asks] for x in _open(lo[asks], hi[asks], c0, c1))
+    m["shift"][asks] = m["shift"][asks] & 255 | np.where(lo <= hi, lo << 8 | hi << 16, 1 << 8)
+    return m
+
+
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, source, kind, m): a document's distinct matches. Those with smallest documents are one row without a source, others a row for each.
+    """(doc_id, source, kind, m): a document's distinct matches. Those with smallest documents, and REST, are one row without a source, others a row for each.
 
     Near matches stay where exact ones leave something. A list is bounded by its document's length.
     """
@@ -323,7 +365,10 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = m.field(4).to_numpy(zero_copy_only=False)
             smallest = joined(rows[of == SMALLEST])
             found = [(None, SMALLEST, smallest[np.argsort(smallest["i0"], kind="stable")])] if len(smallest) else []
-            for which, own in ((CHUNK, rows[of == CHUNK]), (NEAR, uncovered(rows[of == NEAR], rows[of != NEAR]))):
+            equal = rows[of < NEAR]
+            if (of == REST).any():
+                found.append((None, REST, _asking(rows[of == REST], equal["i0"], equal["i1"])))
+            for which, own in ((CHUNK, rows[of == CHUNK]), (NEAR, uncovered(rows[of == NEAR], equal))):
                 own = joined(own)
                 found += [(s, which, part) for s, part in record_slices(own["source"], own)]
             for s, which, part in found:
@@ -425,6 +470,7 @@ def repeated_starts(y: np.ndarray, x: np.ndarray, i0: np.ndarray, i1: np.ndarray
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, source, a, b, i0, i1): words and starts of near matches that hold."""
     hasher, t = Hasher(), PASSAGE - SHINGLE + 1
     last: tuple = (None, None, None)
     for batch in batches:
@@ -445,8 +491,122 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part = y[a : b + t]
                     place = np.minimum(np.searchsorted(last[2], part), len(last[2]) - 1)
                     inside = a + np.flatnonzero(last[2][place] == part)  # the span ends where shared shingles do
-                    rows.append((col["doc_id"][k].as_py(), source, int(inside[0]), int(inside[-1]) + SHINGLE))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "source", "a", "b"])
+                    rows.append((col["doc_id"][k].as_py(), source, int(inside[0]), int(inside[-1]) + SHINGLE, int(a), int(b)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], ["doc_id", "source", "a", "b", "i0", "i1"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """RUN rows of REST matches (m), without the starts that near matches (done) have."""
+    for batch in batches:
+        out = []
+        for k, doc in enumerate(batch.column(0).to_pylist()):
+            own = batch.column(1)[k]
+            m = np.empty(len(own.values), _MATCH)
+            m["doc"] = doc
+            for name, values in zip(("source", "i0", "i1", "shift"), _columns(own), strict=True):
+                m[name] = values
+            done = batch.column(2)[k]
+            c = [done.values.field(f).to_numpy(zero_copy_only=False) for f in (0, 1)] if done.is_valid else [np.empty(0, np.int64)] * 2
+            out.append(_asking(m, *c))
+        m = np.concatenate(out or [np.empty(0, _MATCH)])
+        columns = {"doc_id": m["doc"], "sig": m["source"], "i0": m["i0"], "more": m["i1"] - m["i0"], "c": m["shift"] & 255, "lo": m["shift"] >> 8 & 255, "hi": m["shift"] >> 16}
+        yield pa.RecordBatch.from_arrays([int64(x) for x in columns.values()], list(columns))
+
+
+def _shingled(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """RUN rows with the shingles that their starts' windows have."""
+        hasher, t = Hasher(), PASSAGE - SHINGLE + 1
+        for batch in batches:
+            rows, blobs = [], []
+            for doc, text, runs_ in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "text", "runs")), strict=True):
+                tokens = hasher.shingles(text.as_py())
+                own = np.stack([runs_.values.field(f).to_numpy(zero_copy_only=False) for f in range(6)], axis=1)
+                rows.append(np.c_[np.full(len(own), doc.as_py()), own])
+                blobs += [tokens[i0 : i0 + more + t].tobytes() for i0, more in own[:, 1:3].tolist()]
+            all_ = np.concatenate(rows or [np.empty((0, 7), np.int64)])
+            part = (all_[:, 1].astype(np.uint64) >> np.uint64(40)).astype(np.int64) & (parts - 1)
+            names = ["part", "doc_id", "sig", "i0", "more", "c", "lo", "hi"]
+            yield pa.RecordBatch.from_arrays([int64(part), *(int64(all_[:, i]) for i in range(7)), pa.array(blobs, pa.binary())], [*names, "tokens"])
+
+    return run
+
+
+def _tried(table: pa.Table) -> pa.Table:
+    """SPAN rows: starts that runs ask for and that a smaller document of the signature has."""
+    col = {n: table.column(n).to_numpy() for n in ("doc_id", "sig", "i0", "more", "c", "lo", "hi")}
+    order = np.lexsort((col["i0"], col["doc_id"], col["sig"]))
+    col = {n: x[order] for n, x in col.items()}
+    blobs, out = table.column("tokens"), []
+    edges = np.flatnonzero(np.r_[True, np.diff(col["sig"]) != 0, True])
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own = {n: x[a:b] for n, x in col.items()}
+        out += repeats_in_signature(own, [np.frombuffer(blobs[int(k)].as_buffer(), np.uint64) for k in order[a:b]])
+    return pa.table({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(("doc_id", "source", "a", "b"))})
+
+
+def repeats_in_signature(col: dict[str, np.ndarray], tokens: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """(doc, source, a, b) words of starts asked for (lo to hi from i0 on) that repeat those of smaller documents, which are tried one by one until one does.
+
+    Runs by document, with the shingles of their starts. All windows have the signature's minimum, so in a
+    table with it in one column they line up by columns. A window is compared, as a set, with those that have one of its
+    rarest shingles: as many as it may lack, and one more.
+    """
+    t, doc, n = PASSAGE - SHINGLE + 1, col["doc_id"], len(tokens)
+    length, left = np.array([len(x) for x in tokens]), t - 1 - col["c"]  # a run's shingles and its first column
+    values, ids = np.unique(np.concatenate(tokens), return_inverse=True)
+    run = np.repeat(np.arange(n), length)
+    column = left[run] + np.arange(len(run)) - np.repeat(np.cumsum(length) - length, length)
+    grid, last = np.full((n, 2 * t - 1), len(values), np.int32), np.full((n, 2 * t - 1), -1, np.int8)  # the last value: nothing
+    grid[run, column] = ids
+    order = np.lexsort((column, ids, run))
+    again = np.flatnonzero((run[order][1:] == run[order][:-1]) & (ids[order][1:] == ids[order][:-1]))
+    last[run[order[again + 1]], column[order[again + 1]]] = column[order[again]]  # where a run has the value before
+    sizes = np.stack([(last[:, s : s + t] < s).sum(axis=1) for s in range(t)], axis=1)  # of the windows, as sets
+    before, start = np.searchsorted(doc, doc), np.arange(t)
+    has = (start >= left[:, None]) & (start <= left[:, None] + col["more"][:, None])
+    fewest = np.where(has, sizes, t).min(axis=0)
+    least = np.maximum(-(-(sizes + fewest) * NUM // (DEN + NUM)), -(-sizes * NUM // DEN))  # what a window shares with one that is similar
+    once = np.delete(order, again + 1)
+    once = once[np.lexsort((run[once], ids[once]))]
+    holds, at = run[once], np.searchsorted(ids[once], np.arange(len(values) + 1))  # a value's runs
+    at = np.r_[at, len(once)]
+    count = np.diff(at)
+    early = np.r_[holds[at[:-2]], n]  # its first one
+    most = np.cumsum(np.pad(early[grid] < before[:, None], ((0, 0), (1, 0))), axis=1, dtype=np.int16)
+    first = left + col["lo"]
+    asks = has & (start >= first[:, None]) & (start <= (left + col["hi"])[:, None]) & (most[:, t:] - most[:, :t] >= least)
+    met, out = np.zeros(len(values) + 1, bool), []
+    for y in np.flatnonzero(asks.any(axis=1)):
+        start = np.flatnonzero(asks[y])
+        cells = start[:, None] + np.arange(t)
+        rank = np.argsort(np.where(last[y][cells] < start[:, None], count[grid[y][cells]], n + 1), axis=1)  # the rarest first, each once
+        few = np.arange(t) <= (sizes[y, start] - least[y, start])[:, None]
+        wanted = np.unique(grid[y][np.take_along_axis(cells, rank, 1)[few]])
+        some = np.zeros(before[y] + 1, bool)
+        for v in wanted.tolist():
+            some[np.minimum(holds[at[v] : at[v + 1]], before[y])] = True
+        some = np.flatnonzero(some[:-1])
+        done, step = 0, _BLOCK
+        while len(start) and done < len(some):
+            rows = some[done : done + step]
+            source = np.full(len(start), -1)
+            for j, s in enumerate(start.tolist()):
+                own = rows[has[rows, s]]
+                met[grid[y, s : s + t]] = True
+                both = (met[grid[own, s : s + t]] & (last[own, s : s + t] < s)).sum(axis=1)
+                met[grid[y, s : s + t]] = False
+                ok = np.flatnonzero(both * DEN >= (sizes[y, s] + sizes[own, s] - both) * NUM)
+                if len(ok):
+                    source[j] = own[ok[0]]
+            for k in np.unique(source[source >= 0]):
+                good, theirs = start[source == k], grid[k, left[k] : left[k] + length[k]]
+                for g in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1):
+                    inside = col["i0"][y] - left[y] + g[0] + np.flatnonzero(np.isin(grid[y, g[0] : g[-1] + t], theirs))
+                    out.append((int(doc[y]), int(doc[k]), int(inside[0]), int(inside[-1]) + SHINGLE))
+            start = start[source < 0]
+            done, step = done + len(rows), min(step * 2, _BLOCKS)
+    return out
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -460,6 +620,8 @@ def merged(spans: DataFrame) -> DataFrame:
 
 SPAN = "doc_id long, source long, a long, b long"
 LIST = "array<struct<source: long, i0: long, i1: long, shift: long>>"
+#: A run in a signature, its minimum's place, and from i0 on the starts to try, lo to hi (none: hi before lo).
+RUN = "doc_id long, sig long, i0 long, more long, c long, lo long, hi long"
 
 
 def exact_spans(matches: DataFrame) -> DataFrame:
@@ -490,8 +652,24 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ty = held.filter("is_y = 1").select("doc_id", F.col("text").alias("ty"))
     tx = held.filter("is_x = 1").select(F.col("doc_id").alias("source"), F.col("text").alias("tx"))
     both = pairs.hint("merge").join(ty, "doc_id").hint("merge").join(tx, "source").select("doc_id", "source", "m", "ty", "tx")
-    spans = scratch.keep(both.mapInArrow(_verify, SPAN).unionByName(exact_spans(matches)))
-    return scratch.finish(merged(spans))
+    close = scratch.keep(both.mapInArrow(_verify, f"{SPAN}, i0 long, i1 long"))
+    spans = close.drop("i0", "i1").unionByName(exact_spans(matches))
+    more = rest_spans(scratch, docs, matches.filter(F.col("kind") == REST).select("doc_id", "m"), close)
+    return scratch.finish(merged(spans if more is None else spans.unionByName(more)))
+
+
+def rest_spans(scratch: Scratch, docs: DataFrame, runs_: DataFrame, close: DataFrame) -> DataFrame | None:
+    """(doc_id, source, a, b): what the starts of REST runs that neither exact nor near matches (close) have repeat."""
+    done = close.groupBy("doc_id").agg(F.collect_list(F.struct("i0", "i1")).alias("done"))
+    asked = scratch.keep(runs_.hint("merge").join(done.hint("merge"), "doc_id", "left").select("doc_id", "m", "done").mapInArrow(_asked, RUN))
+    asking = asked.filter("lo <= hi")
+    if not asking.limit(1).count():
+        return None
+    last = asking.groupBy("sig").agg(F.max("doc_id").alias("last"))
+    met = asked.hint("merge").join(last.hint("merge"), "sig").filter("doc_id <= last")
+    kept = scratch.keep(met.groupBy("doc_id").agg(F.collect_list(F.struct("sig", "i0", "more", "c", "lo", "hi")).alias("runs")))
+    runs_ = matching(docs, kept, "doc_id").select("doc_id", "text", "runs").mapInArrow(_shingled(fragments(scratch.spark, docs)), f"part long, {RUN}, tokens binary")
+    return scratch.keep(runs_.groupBy("part").applyInArrow(_tried, SPAN))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
