@@ -11,12 +11,12 @@ where any two of their three minima agree.
 Equal subsequences: the runs of the first pair carry a hash of every subsequence (the exact key, 32
 bits on top of the signature's 64 and its place in the run). A start whose key a smaller document has
 repeats that document's passage; no text is read again for it. A chunk of text matches its own
-documents so, and ships only runs with a key that is new in the chunk; the reducer matches these with
-the smallest document of all. A chunk's matches are carried on to that document by joining both
+documents so, and ships only runs with a key that no smaller document of the chunk has, all places of a document with
+it; the reducer matches these with the smallest document of all. A chunk's matches are carried on to that document by joining both
 (member to chunk's first, chunk's first to smallest), so every exact repeat of 50 words is found and its source is the
 smallest doc_id that has it, however the rows are laid out.
 
-Near passages: among the runs with keys that are new everywhere (for the other pairs: with a new hash
+Near passages: among the runs with keys that no smaller document has (for the other pairs: with such a hash
 of the run's whole extent), each is matched with the first document of its signature and with the
 PREVIOUS ones before it. Where exact repeats do not cover a match already, it is verified on the shingles of both texts: a
 window of 50 words repeats when it lines up with a window of the other document at a Jaccard
@@ -177,15 +177,16 @@ def _by_place(e: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def exact(e: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of runs by (sig, doc, i0): which have a key first, and matches of starts whose key a smaller document has (as _MATCH rows of one start, and their runs)."""
+    """Of runs by (sig, doc, i0): which have a key that no smaller document has, and matches of starts whose key a smaller document has (as _MATCH rows of one start, and their runs)."""
     value, run, start = keyed(e, keys)
     order = np.argsort(value, kind="stable")
     opens = np.r_[True, value[order][1:] != value[order][:-1]][: len(order)]
     head = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
     new = np.zeros(len(e), bool)
-    new[run[order[opens]]] = True
     doc = e["doc"][run]
-    again = np.flatnonzero((doc[order] != doc[head]) & (e["exact"][run[order]] > 0))
+    own = doc[order] == doc[head]  # a document's further places of a key may repeat what others have, as its first one
+    new[run[order[own]]] = True
+    again = np.flatnonzero(~own & (e["exact"][run[order]] > 0))
     y, x = order[again], head[again]
     m = np.empty(len(y), _MATCH)
     m["doc"], m["source"], m["i0"], m["i1"], m["shift"] = doc[y], doc[x], start[y], start[y], start[x] - start[y]

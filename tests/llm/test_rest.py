@@ -62,3 +62,25 @@ def test_runs_of_a_signature_against_brute_force():
             assert {s for s, _, _ in spans} == set(own.values())
             started += len(own)
         assert started > 50
+
+
+def test_second_place_of_a_passage_in_one_document(spark):
+    """A document has a passage twice with the same words: both places repeat a smaller document, exact or near, in another chunk or not."""
+    import random
+
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, other = words(300), words(300)
+    near = [f"new{k}" if k % 60 == 30 else w for k, w in enumerate(other)]
+    rows = [(1, " ".join(words(30) + passage + words(30))), (2, " ".join(words(30) + other + words(30)))]
+    rows += [(5, " ".join(words(40) + passage + words(40) + passage + words(40))), (6, " ".join(words(40) + near + words(40) + near + words(40)))]
+    whole = substring_dedup.CHUNK_BYTES
+    try:
+        for size in (whole, 1):
+            substring_dedup.CHUNK_BYTES = size
+            docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+            found = {(r.doc_id, r.source_doc_id, r.start_word, r.n_words) for r in substring_dedup.substring_dedup(spark, docs).collect()}
+            assert {f for f in found if f[0] == 5} == {(5, 1, 40, 300), (5, 1, 380, 300)}
+            assert {f for f in found if f[0] == 6} == {(6, 2, 40, 300), (6, 2, 380, 300)}
+    finally:
+        substring_dedup.CHUNK_BYTES = whole
