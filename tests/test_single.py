@@ -94,3 +94,29 @@ def test_one_variable_counts_no_pairs(spark, monkeypatch):
         assert r.pca_body_size == len(held(facts, r.atoms[1:], v) & {f[r.functional] for f in facts if f[1] == r.atoms[0][1]}), r
     longer = [k for k in asked if len(k) == 3]
     assert longer and len(longer) == len(set(longer))
+
+
+def test_a_rule_alone_binds_as_among_others(spark):
+    """One rule's plan has no table of names, and finds what it finds next to a rule of the same shape."""
+    from hornspark.functions.terms import DIFFERENT
+    from hornspark.plans.batch import bindings, by_shape
+
+    facts = facts_of(5)
+    small = store(spark, facts)
+    constant = min(o for _, p, o in facts if p == "h")
+    rules = [
+        ((("?a", "h", "?b"), ("?a", "p", "?c"), ("?c", "q", "?b")), (("?a", "h", "?b"), ("?a", "u", "?c"), ("?c", "w", "?b")), ["?a", "?b"]),
+        ((("?a", "h", constant), ("?a", "p", "?b")), (("?a", "h", "b0"), ("?a", "u", "?b")), ["?a"]),
+        ((("?a", "h", "?b"), ("?c", "h", "?b"), ("?c", DIFFERENT, "a1")), (("?a", "h", "?b"), ("?c", "q", "?b"), ("?c", DIFFERENT, "z1")), ["?c"]),
+        ((("?a", "p", "?a"),), (("?a", "q", "?a"),), ["?a"]),
+        ((("?a", "h", "?b"), ("?c", "q", "?d")), (("?a", "h", "?b"), ("?c", "w", "?d")), ["?a"]),
+    ]
+    for one, other, keep in rules:
+        ((shape, rows),) = by_shape([(7, one), (8, other)]).items()
+        both = {tuple(r) for r in bindings(small, shape, rows, keep).collect()}
+        alone = bindings(small, shape, rows[:1], keep)
+        assert {tuple(r) for r in alone.collect()} == {r for r in both if r[0] == 7}
+        assert alone.schema["rid"].dataType.simpleString() == "bigint"
+    triangle, _, keep = rules[0]
+    ((shape, rows),) = by_shape([(7, triangle)]).items()
+    assert "@" not in bindings(small, shape, rows, keep)._jdf.queryExecution().optimizedPlan().toString()
