@@ -26,3 +26,16 @@ def test_pairs_are_made_once_and_not_shuffled(spark, monkeypatch, tasks):
         for out in (["?a", "?b"], ["?b", "?a"]):
             rows = [tuple(r) for r in query.select(small, out, text).collect()]
             assert len(rows) == len(set(rows)) and set(rows) == brute(facts, atoms, out), text
+
+
+def test_select_cycle_stores_its_relations_alone(spark, monkeypatch):
+    from hornspark.operators import catalogue
+    from hornspark.sources import star
+    from tests.oracle import DATA, same_rows
+
+    monkeypatch.setattr(star, "_STORED", {})
+    same_rows(spark, catalogue.QUERIES["select_cycle"], catalogue.SQL["select_cycle"])
+    assert [name for _, _, name in star._STORED] == ["star-customerNation-didEvent"]
+    catalogue.QUERIES["kb_sizes"](spark, str(DATA))
+    catalogue.QUERIES["select_cycle"](spark, str(DATA))
+    assert {name for _, _, name in star._STORED} == {"star-customerNation-didEvent", "star"}
